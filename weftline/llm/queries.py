@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import duplicates, survivors
+from weftline.llm import duplicates, leakage, packing, reading_level, survivors
 from weftline.session import materialize, table
 
 
@@ -42,7 +42,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).select("table_name", "group_key", "field_name", "value_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found}
+def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each document and the training sequences they stand in."""
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked item with the kind of the leak."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("kind = 'own text'").select("doc_id", "item_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).where("n_words >= 25 AND level >= 3.5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
 
 
 
