@@ -85,15 +85,14 @@ class Items:
             for w in ws:
                 self.id.setdefault(w, len(self.id) + 4)
         self.windows: dict[int, set[int]] = defaultdict(set)
-        self.exact: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        self.exact: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, ws in self.words.items():
             codes = self._codes(np.array([self.id[w] for w in ws], np.int64))
             for c in codes[codes >= 0].tolist():
                 self.windows[c].add(item)
-            at = defaultdict(list)
-            for p in range(len(ws) - EXACT + 1):
-                at[tuple(ws[p : p + EXACT])].append(p)
-            self.exact[item] = at
+            for p in range(len(ws) - EXACT, -1, -1):
+                self.exact[tuple(ws[p : p + EXACT])].append((item, p))
+        self.exact = dict(self.exact)
         self.known = np.array(sorted(self.windows), np.int64)
 
     @staticmethod
@@ -111,8 +110,8 @@ class Items:
             known &= part > 0
         return np.where(known & (content >= CONTENT), (code >> np.uint64(1)).astype(np.int64), -1)
 
-    def candidates(self, docs: list[list[str]]) -> dict[int, set[int]]:
-        """Items with a template window in common, by document index."""
+    def candidates(self, docs: list[list[str]]) -> dict[int, Counter[int]]:
+        """Items with template windows in common and how many, by document index."""
         get, ids, ends = self.id.get, [], []
         for ws in docs:
             ids += [get(w, 0) for w in ws]
@@ -124,27 +123,35 @@ class Items:
         hit = np.flatnonzero(codes >= 0)
         at = np.searchsorted(self.known, codes[hit]).clip(max=len(self.known) - 1)
         hit = hit[self.known[at] == codes[hit]]
-        found: dict[int, set[int]] = defaultdict(set)
+        found: dict[int, Counter[int]] = defaultdict(Counter)
         for d, c in zip(np.searchsorted(ends, hit, side="right").tolist(), codes[hit].tolist(), strict=True):
-            found[d] |= self.windows[c]
+            found[d].update(self.windows[c])
         return found
 
-    def own_words(self, item: int, ws: list[str]) -> tuple[int, int]:
-        """Words of the item that stand in the document in order, and its span in the document."""
-        at = self.exact[item]
-        hits = [(p, q) for p in range(len(ws) - EXACT + 1) for q in reversed(at.get(tuple(ws[p : p + EXACT]), ()))]
-        if not hits:
-            return 0, 0
+    def own_words(self, found: Counter[int], ws: list[str]) -> dict[int, int]:
+        """Words of each found item that stand in the document in order."""
+        hits: dict[int, list[int]] = defaultdict(list)
+        exact = self.exact
+        for three in zip(ws, ws[1:], ws[2:], strict=False):
+            if three in exact:
+                for item, q in exact[three]:
+                    if item in found:
+                        hits[item].append(q)  # of one place in falling order, so that a chain takes one of them
+        return {item: self._in_order(at) for item, at in hits.items()}
+
+    @staticmethod
+    def _in_order(at: list[int]) -> int:
+        """Words covered by the longest chain of rising item positions."""
         tails, tail_hit, back = [], [], []
-        for n, (_, q) in enumerate(hits):  # longest chain of rising item positions
+        for n, q in enumerate(at):
             k = bisect_left(tails, q)
             back.append(tail_hit[k - 1] if k else -1)
             tails[k : k + 1], tail_hit[k : k + 1] = [q], [n]
-        chain, n = [], tail_hit[-1]
+        covered, n = set(), tail_hit[-1]
         while n >= 0:
-            chain.append(hits[n])
+            covered.update(range(at[n], at[n] + EXACT))
             n = back[n]
-        return len({q + k for _, q in chain for k in range(EXACT)}), chain[0][0] - chain[-1][0] + EXACT
+        return len(covered)
 
     def slots(self, item: int, ws: list[str]) -> tuple[int, int, bool]:
         """Template words of the item that stand in order with any fillers; exchanged fillers; consistent ones."""
@@ -198,15 +205,16 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                     docs = [words(t or "") for t in batch.column(1).slice(i, CHUNK).to_pylist()]
                     out = []
                     for d, found in known.candidates(docs).items():
-                        for item in sorted(found):
-                            own, _ = known.own_words(item, docs[d])
-                            if own >= LEAST_WORDS:
-                                template, changed, _ = known.slots(item, docs[d])
-                                out.append((ids[d], item, own, template, changed, "own text"))
-                            else:
-                                template, changed, consistent = known.slots(item, docs[d])
-                                if template >= 2 * LEAST_WORDS and changed and consistent:
-                                    out.append((ids[d], item, own, template, changed, "other fillers"))
+                        own = known.own_words(found, docs[d])
+                        for item, windows in sorted(found.items()):
+                            n = own.get(item, 0)
+                            if n < LEAST_WORDS and windows < LEAST_WORDS:
+                                continue
+                            template, changed, consistent = known.slots(item, docs[d])
+                            if n >= LEAST_WORDS:
+                                out.append((ids[d], item, n, template, changed, "own text"))
+                            elif template >= 2 * LEAST_WORDS and changed and consistent:
+                                out.append((ids[d], item, n, template, changed, "other fillers"))
                     if out:
                         cols = list(zip(*out, strict=True))
                         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
