@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Separates the parts of a joined key; removed from inputs before it is used.
 SEP = "\u0001"
@@ -18,7 +18,7 @@ _MAY_COMPOSE = "[\\u0300-\\u1FFF\\u20D0-\\x{10FFFF}]"
 _NOISE = f"[^\\p{{L}}\\p{{Nd}}.,{SEP}]+|(?<!\\p{{Nd}})[.,]|[.,](?!\\p{{Nd}})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.operators.packed_values import split_values
 from weftline.session import table
 
 
@@ -16,7 +17,15 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
                                                  F.countDistinct("family_id").alias("n_families"))
 
 
-QUERIES: dict = {"property_coverage": flagship}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """All values of the records in which an entry holds several."""
+    return split_values([
+        ("property_values", table(spark, d, "property_values"), "value_id", "property_name", "source_values"),
+        ("family_conflicts", table(spark, d, "family_conflicts"), "conflict_id", "property_name", "source_values"),
+    ])
+
+
+QUERIES: dict = {"property_coverage": flagship, "p3_found": p3_found}
 ORACLE: dict = {
     "property_coverage": "SELECT lower(regexp_replace(property_name, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS property, count(*) AS n_rows, "
     "count(*) FILTER (WHERE len(source_values) > 0) AS n_filled, count(DISTINCT family_id) AS n_families FROM property_values GROUP BY 1",
