@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import duplicates, leakage, packing, reading_level, survivors
+from weftline.llm import duplicates, leakage, packing, reading_level, survivors, vocabulary
 from weftline.session import materialize, table
 
 
@@ -19,6 +19,16 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.count_copies(keys).select("table_name", "first_id", "copies")
 
 
+def p2_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every header cell with the entry it means and its distance."""
+    heads, terms = table(spark, d, "header_cells"), table(spark, d, "translation_terms").where("term_domain = 'header'")
+    return vocabulary.map_values(heads.select("header_id", "raw_header"), "raw_header", terms, "term", "canonical_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_mapped(spark, d).where("match_id IS NOT NULL").select("header_id", F.col("match_id").alias("canonical_id"))
+
+
 def _member_fields(df: DataFrame) -> survivors.Fields:
     area = df["normalized_width"].cast("long") * df["normalized_height"].cast("long")
     sized = F.when((df["normalized_width"] > 0) & (df["normalized_height"] > 0), area)
@@ -65,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).where("n_words >= 25 AND level >= 3.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_mapped, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
 
 
 
