@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import duplicates, leakage, packing, reading_level, survivors, vocabulary
+from weftline.llm import duplicates, leakage, linking, packing, reading_level, survivors, vocabulary
 from weftline.session import materialize, table
 
 
@@ -29,6 +29,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_mapped(spark, d).where("match_id IS NOT NULL").select("header_id", F.col("match_id").alias("canonical_id"))
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every image without a family that the cascade resolves, with the rule and its confidence."""
+    return linking.link(*(table(spark, d, t) for t in ("match_evidence", "token_evidence", "translation_terms")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_links(spark, d).select("evidence_id", "family_id")
+
+
 def _member_fields(df: DataFrame) -> survivors.Fields:
     area = df["normalized_width"].cast("long") * df["normalized_height"].cast("long")
     sized = F.when((df["normalized_width"] > 0) & (df["normalized_height"] > 0), area)
@@ -75,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).where("n_words >= 25 AND level >= 3.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_mapped, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_mapped, p4_found, p4_links, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
 
 
 
