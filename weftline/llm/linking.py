@@ -11,16 +11,17 @@ numbers (EAN), references in the shapes that the families' own references have,
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.session import materialize
+from weftline.session import materialize, work_root
 
 #: Digits written for letters, prefixes that cameras and scanners give and season prefixes (fixed values).
 LEET = str.maketrans("0134578", "oieastb")
@@ -31,8 +32,9 @@ LEAST_NAME = 5
 #: Prior right and wrong matches in a rule's precision.
 PRIOR = (1.0, 1.0)
 
-IMAGE_SCHEMA = "id long, job string, known string, numbers array<string>, eans array<string>, refs array<string>, near array<string>, glued array<string>, stems array<string>, names array<string>, joined array<string>, damaged array<string>, colors array<string>, types array<string>"
-FAMILY_SCHEMA = "job string, family string, eans array<string>, refs array<string>, near array<string>, glued array<string>, stems array<string>, names array<string>, damaged array<string>, colors array<string>, types array<string>"
+KEY_SCHEMA = "rule int, job string, key string, id long, known string, colors array<string>, types array<string>"
+INDEX_SCHEMA = "rule int, job string, key string, family string, colors array<string>, types array<string>"
+SHAPE_SCHEMA = "kind string, s string"
 
 
 def folded(s: str) -> str:
@@ -240,78 +242,116 @@ def family_keys(tokens: list[tuple[str, str]], lex: Lexicon) -> dict:
     return {"eans": sorted(eans), "refs": sorted(full), "near": sorted(near), "glued": sorted(full | eans), "stems": sorted(stems), "names": sorted(names), "damaged": sorted(damaged), "colors": sorted(colors), "types": sorted(types)}
 
 
-def families_of(tokens: DataFrame, lex_rows: list[tuple[str, str, str]]) -> DataFrame:
-    """One row of keys per job and family. Repeated tokens are dropped before the shuffle gathers a family's own."""
-    sc = tokens.sparkSession.sparkContext
-    held = sc.broadcast(lex_rows)
+#: The cascade: name, attribute of the image, attribute of the family, what stands beside it in the key, and
+#: whether colours and types that are not in the key must at least not contradict each other.
+RULES: list[tuple[str, str, str, tuple[str, ...], bool]] = [
+    ("family number", "numbers", "family", (), False),
+    ("article number", "eans", "eans", (), False),
+    ("reference", "refs", "refs", (), False),
+    ("name, colour and type", "names", "names", ("colors", "types"), False),
+    ("name and colour", "names", "names", ("colors",), True),
+    ("joined name and colour", "joined", "names", ("colors",), True),
+    ("damaged name, colour and type", "damaged", "damaged", ("colors", "types"), False),
+    ("damaged name and colour", "damaged", "damaged", ("colors",), True),
+    ("leading reference, colour and type", "stems", "stems", ("colors", "types"), False),
+    ("leading reference and colour", "stems", "stems", ("colors",), True),
+    ("name and type", "names", "names", ("types",), True),
+    ("name", "names", "names", (), True),
+    ("damaged name", "damaged", "damaged", (), True),
+    ("leading reference and type", "stems", "stems", ("types",), True),
+    ("leading reference", "stems", "stems", (), True),
+    ("reference with a counter", "glued", "glued", (), False),
+    ("family number with a counter", "glued", "family", (), False),
+    ("damaged reference", "near", "near", (), True),
+]
+
+
+def rule_keys(own: dict, side: int) -> Iterator[tuple[int, str]]:
+    """(rule, key) of an image (side 1) or a family (side 2): its attribute with each value that stands beside it."""
+    for n, rule in enumerate(RULES):
+        for combo in itertools.product(own[rule[side]], *(own[x] for x in rule[3])):
+            yield n, "|".join(combo)
+
+
+def gathered_tokens(tokens: DataFrame) -> DataFrame:
+    """(job, family, own) with a family's distinct tokens in the order of their first place.
+
+    Repeated tokens are dropped, counted map-side, before the shuffle gathers a family's own; the order tells
+    which piece of a cut value leads.
+    """
     slim = tokens.where("job_id IS NOT NULL AND family_id IS NOT NULL AND family_token IS NOT NULL")
-    # distinct tokens with their first place, counted map-side; the order tells which piece of a cut value leads
     slim = slim.groupBy(F.col("job_id").alias("job"), F.col("family_id").alias("family"), F.lower(F.coalesce("property_name", F.lit(""))).alias("prop"), F.lower("family_token").alias("token")).agg(F.min("token_id").alias("at"))
-    gathered = slim.groupBy("job", "family").agg(F.sort_array(F.collect_list(F.struct("at", "prop", "token"))).alias("own"))
+    return slim.groupBy("job", "family").agg(F.sort_array(F.collect_list(F.struct("at", "prop", "token"))).alias("own"))
+
+
+def family_rows(gathered: DataFrame, lex_rows: list[tuple[str, str, str]]) -> DataFrame:
+    """One row per rule, key and family."""
+    held = gathered.sparkSession.sparkContext.broadcast(lex_rows)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(held.value)
         for pdf in batches:
-            rows = [{"job": j, "family": f, **family_keys([(x["prop"], x["token"]) for x in own], lex)} for j, f, own in zip(pdf["job"], pdf["family"], pdf["own"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FAMILY_SCHEMA.split(", ")])
+            rows = []
+            for j, f, tokens in zip(pdf["job"], pdf["family"], pdf["own"], strict=True):
+                own = family_keys([(x["prop"], x["token"]) for x in tokens], lex) | {"family": [f]}
+                rows += [(n, j, k, f, own["colors"], own["types"]) for n, k in rule_keys(own, 2)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
 
-    return gathered.mapInPandas(keys, FAMILY_SCHEMA)
+    return gathered.mapInPandas(keys, INDEX_SCHEMA)
 
 
-def images_of(evidence: DataFrame, lex_rows: list[tuple[str, str, str]], shape_rows: list[tuple[str, str]]) -> DataFrame:
-    """One row of keys per image."""
-    sc = evidence.sparkSession.sparkContext
-    held = sc.broadcast((lex_rows, shape_rows))
+def image_rows(evidence: DataFrame, lex_rows: list[tuple[str, str, str]], shape_rows: list[tuple[str, str]]) -> DataFrame:
+    """One row per rule, key and image."""
+    held = evidence.sparkSession.sparkContext.broadcast((lex_rows, shape_rows))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, shapes = Lexicon(held.value[0]), Shapes(held.value[1])
         for pdf in batches:
-            rows = [{"id": i, "job": j, "known": k, **image_keys(n, s, lex, shapes)}
-                    for i, j, k, n, s in zip(pdf["evidence_id"], pdf["job_id"], pdf["final_family_id"], pdf["source_filename"], pdf["image_ngp_summary"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMAGE_SCHEMA.split(", ")])
+            rows = []
+            for i, j, known, name, summary in zip(pdf["evidence_id"], pdf["job_id"], pdf["final_family_id"], pdf["source_filename"], pdf["image_ngp_summary"], strict=True):
+                own = image_keys(name, summary, lex, shapes)
+                rows += [(n, j, k, i, known, own["colors"], own["types"]) for n, k in rule_keys(own, 1)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in KEY_SCHEMA.split(", ")])
 
     slim = evidence.where("evidence_id IS NOT NULL AND job_id IS NOT NULL").select("evidence_id", "job_id", "final_family_id", "source_filename", "image_ngp_summary")
-    return slim.mapInPandas(keys, IMAGE_SCHEMA)
-
-
-_COLOR, _TYPE = ("arrays_overlap(i.{0}, f.{0})".format(x) for x in ("colors", "types"))
-#: The two do not contradict each other: one says nothing, or they share a value.
-_COLOR_OK, _TYPE_OK = (f"(size(i.{x}) = 0 OR size(f.{x}) = 0 OR arrays_overlap(i.{x}, f.{x}))" for x in ("colors", "types"))
-
-#: The cascade: name, key of the image, key of the family, condition on the rest.
-RULES: list[tuple[str, str, str, str]] = [
-    ("family number", "numbers", "family", "true"),
-    ("article number", "eans", "eans", "true"),
-    ("reference", "refs", "refs", "true"),
-    ("name, colour and type", "names", "names", f"{_COLOR} AND {_TYPE}"),
-    ("name and colour", "names", "names", f"{_COLOR} AND {_TYPE_OK}"),
-    ("joined name and colour", "joined", "names", f"{_COLOR} AND {_TYPE_OK}"),
-    ("damaged name, colour and type", "damaged", "damaged", f"{_COLOR} AND {_TYPE}"),
-    ("damaged name and colour", "damaged", "damaged", f"{_COLOR} AND {_TYPE_OK}"),
-    ("leading reference, colour and type", "stems", "stems", f"{_COLOR} AND {_TYPE}"),
-    ("leading reference and colour", "stems", "stems", f"{_COLOR} AND {_TYPE_OK}"),
-    ("name", "names", "names", f"{_COLOR_OK} AND {_TYPE_OK}"),
-    ("damaged name", "damaged", "damaged", f"{_COLOR_OK} AND {_TYPE_OK}"),
-    ("leading reference", "stems", "stems", f"{_COLOR_OK} AND {_TYPE_OK}"),
-    ("reference with a counter", "glued", "glued", "true"),
-    ("family number with a counter", "glued", "family", "true"),
-    ("damaged reference", "near", "near", f"{_COLOR_OK} AND {_TYPE_OK}"),
-]
+    return slim.mapInPandas(keys, KEY_SCHEMA)
+
+
+def reference_shapes(gathered: DataFrame) -> DataFrame:
+    """(kind, s): the distinct shapes of whole references and of their leading parts."""
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
+        for pdf in batches:
+            for tokens in pdf["own"]:
+                full, stems = reference_forms([x["token"] for x in tokens if x["prop"] == "refco"])
+                seen |= {("full", shape(r)) for r in full} | {("stem", shape(r)) for r in stems}
+        yield pd.DataFrame(sorted(seen), columns=["kind", "s"])
+
+    return gathered.mapInPandas(shapes, SHAPE_SCHEMA).where("length(s) > 3").distinct()
+
+
+def cascade(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, known, family, rule): what each pass resolved, one row per resolved image.
+
+    ``index`` has each key once, with the least and greatest family that holds it. A pass is an exact join of
+    one rule's keys; each writes what it resolved into one table that the next pass's anti-join reads.
+    """
+    spark = keys.sparkSession
+    place = f"{work_root(spark)}/link-found-{uuid.uuid4().hex[:8]}"
+    schema = "id long, known string, family string, rule int"
+    spark.createDataFrame([], schema).write.parquet(f"{place}/pass=-1")
+    for n, rule in enumerate(RULES):
+        done = spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).select("id")
+        pairs = keys.where(F.col("rule") == n).join(index.where(F.col("rule") == n).drop("rule"), ["job", "key"])
+        pairs = pairs.join(done, "id", "left_anti")
+        found = pairs.groupBy("id").agg(F.min("known").alias("known"), F.min("lo").alias("family"), F.max("hi").alias("other"), F.bool_and(F.expr(_NO_CLASH) if rule[4] else F.lit(True)).alias("fits"))
+        found.where("family = other AND fits").select("id", "known", "family", F.lit(n).alias("rule")).write.parquet(f"{place}/pass={n}")
+    return spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).drop("pass")
 
 
-def cascade(images: DataFrame, families: DataFrame) -> DataFrame:
-    """(id, known, family, rule): what each pass resolved; one row per resolved image."""
-    left, done = images, []
-    for n, (name, mine, theirs, rest) in enumerate(RULES):
-        i = left.select("id", "job", "known", "colors", "types", F.explode(F.array_distinct(mine)).alias("key"))
-        key = F.array("family") if theirs == "family" else F.col(theirs)
-        f = families.select("job", "family", "colors", "types", F.explode(key).alias("key"))
-        pairs = i.alias("i").join(f.alias("f"), ["job", "key"]).where(rest)
-        found = pairs.groupBy("id").agg(F.min("known").alias("known"), F.min("family").alias("family"), F.max("family").alias("other"))
-        found = materialize(found.where("family = other").select("id", "known", "family", F.lit(name).alias("rule"), F.lit(n).alias("pass")), "link-pass")
-        done.append(found)
-        left = left.join(found.select("id"), "id", "left_anti")
-    return reduce(DataFrame.union, done)
+#: Colours and types do not contradict each other: one side says nothing, or they share a value.
+_NO_CLASH = " AND ".join(f"(size({x}) = 0 OR size(f_{x}) = 0 OR arrays_overlap({x}, f_{x}))" for x in ("colors", "types"))
 
 
 def link(evidence: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -322,13 +362,14 @@ def link(evidence: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
     each resolved; empty tables give an empty result; columns other than those named are never read.
     """
     lex_rows = [(r[0], r[1], r[2]) for r in terms.where("term_domain IN ('color', 'producttype')").select("term_domain", "canonical_id", "term").collect()]
-    families = materialize(families_of(tokens, lex_rows), "link-families")
-    forms = families.select(F.lit("full").alias("kind"), F.explode("refs").alias("r")).union(families.select(F.lit("stem"), F.explode("stems")))
-    masked = F.regexp_replace(F.regexp_replace("r", "[^0-9]", "a"), "[0-9]", "0")
-    shape_rows = [(r[0], r[1]) for r in forms.groupBy("kind", masked.alias("s")).agg(F.count("*").alias("n")).where(F.length("s") > 3).select("kind", "s").collect()]
-    images = materialize(images_of(evidence, lex_rows, shape_rows), "link-images")
-    found = materialize(cascade(images, families), "link-found")
+    gathered = materialize(gathered_tokens(tokens), "link-families")
+    shape_rows = [(r.kind, r.s) for r in reference_shapes(gathered).collect()]
+    index = family_rows(gathered, lex_rows).groupBy("rule", "job", "key").agg(
+        F.min("family").alias("lo"), F.max("family").alias("hi"), F.min("colors").alias("f_colors"), F.min("types").alias("f_types"))
+    index, keys = materialize(index, "link-index"), materialize(image_rows(evidence, lex_rows, shape_rows), "link-keys")
+    found = cascade(keys, index)
     right, wrong = PRIOR
     precision = found.where("known IS NOT NULL").groupBy("rule").agg(((F.count_if(F.col("known") == F.col("family")) + right) / (F.count("*") + right + wrong)).alias("confidence"))
+    names = F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("rule") + 1)
     out = found.where("known IS NULL").join(F.broadcast(precision.limit(len(RULES))), "rule", "left")
-    return out.select(F.col("id").alias("evidence_id"), F.col("family").alias("family_id"), "rule", F.coalesce("confidence", F.lit(right / (right + wrong))).alias("confidence"))
+    return out.select(F.col("id").alias("evidence_id"), F.col("family").alias("family_id"), names.alias("rule"), F.coalesce("confidence", F.lit(right / (right + wrong))).alias("confidence"))
