@@ -29,8 +29,8 @@ def composed(c: Column) -> Column:
 
 
 def fold_case(c: Column) -> Column:
-    """Full case folding: upper then lower, so that sharp s equals ss."""
-    return F.lower(F.upper(c))
+    """Without case: upper case, by which sharp s equals SS (lower case would keep it apart)."""
+    return F.upper(c)
 
 
 def canonical_text(c: Column) -> Column:

@@ -5,7 +5,7 @@ bars, bullets) and at doubled commas and slashes; single commas, slashes, plus s
 cut or belong to a value (decimals, dates, ranges). They span a lattice over the field, quoted spans being
 atomic. The model has, for each column (property), the frequency of each value and of each value shape, and
 how often each kind of mark cuts; it is learned from all fields of the column by forward-backward counts and
-renewed in ``ROUNDS`` rounds; Viterbi then takes the likeliest cuts.
+renewed in a few rounds; Viterbi then takes the likeliest cuts.
 
 Frequencies stand in a count-min sketch of fixed size, so the model that is sent to the tasks has the same
 size whatever the data's, and covers every value. Each round reads the distinct ambiguous fields only.
@@ -28,12 +28,13 @@ from weftline.session import materialize
 #: Buckets of one sketch row; rows of the sketch.
 WIDTH = 1 << 18
 DEPTH = 2
-ROUNDS = 3
 #: Undecided marks that one value may hold.
 JOINED = 12
 
-#: Weight of what a kind of mark mostly does in its column against the values beside it: values that return
-#: together in a few records are else taken for one.
+#: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
+#: beside it. At first the values alone decide, else the marks would settle before the values are known; at the
+#: end the marks weigh more, else values that return together in a few records are taken for one.
+ROUND_WEIGHTS = (0.0, 0.0, 1.0, 6.0)
 MARK_WEIGHT = 6.0
 
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
@@ -143,8 +144,9 @@ class Sketch:
 class Model:
     """Log chances of values and cuts of each column, read from a sketch."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: np.ndarray, mark_weight: float = MARK_WEIGHT):
         self.sketch = Sketch(table)
+        self.mark_weight = mark_weight
         self._value: dict[tuple[str, str], float] = {}
         self._cut: dict[tuple[str, str], tuple[float, float]] = {}
 
@@ -172,7 +174,7 @@ class Model:
                 yes, all_ = self.sketch.get(f"c\0{c}\0{kind}"), self.sketch.get(f"m\0{c}\0{kind}")
                 p = (yes + 4 * p) / (max(all_, yes) + 4)
             p = min(max(p, 1e-3), 1 - 1e-3)
-            got = self._cut[col, kind] = (MARK_WEIGHT * math.log(p), MARK_WEIGHT * math.log(1 - p))
+            got = self._cut[col, kind] = (self.mark_weight * math.log(p), self.mark_weight * math.log(1 - p))
         return got
 
 
@@ -301,11 +303,11 @@ def learn(entries: DataFrame) -> np.ndarray:
 
     base = _summed(distinct.where("sure"), count_sure, "col atoms n")
     table = base
-    for _ in range(ROUNDS):
+    for weight in ROUND_WEIGHTS:
         held = sc.broadcast(table)
 
-        def count_expected(pdf: pd.DataFrame, own: Sketch, held=held) -> None:
-            model = Model(held.value)
+        def count_expected(pdf: pd.DataFrame, own: Sketch, held=held, weight=weight) -> None:
+            model = Model(held.value, weight)
             for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True):  # once each: a repeated field is no further evidence
                 expected(model, col, list(atoms), 1.0, own)
 
