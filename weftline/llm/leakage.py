@@ -58,14 +58,13 @@ def is_number(w: str) -> bool:
 class Items:
     """The template windows and words of a shard of items."""
 
-    def __init__(self, rows: list[Row]):
-        shared = Counter(s for r in rows for s in {tuple(words(x)) for x in _SENTENCE.split(r.text)} if len(s) > 4)
+    def __init__(self, rows: list[Row], stock: set[str]):
         self.words: dict[int, list[str]] = {}
         cased: Counter[str] = Counter()
         lower: set[str] = set()
         for r in rows:
             sentences = [(x, tuple(words(x))) for x in _SENTENCE.split(plain(r.text))]
-            own = [x for x in sentences if x[1] and shared[x[1]] < 2]  # stock sentences stand in several items
+            own = [x for x in sentences if x[1] and " ".join(x[1]) not in stock]  # they stand in several items
             own = own or [x for x in sentences if x[1]]  # but an item that is repeated as a whole stays
             self.words[r.item_id] = [w for _, ws in own for w in ws]
             capital = set()
@@ -175,6 +174,19 @@ class Items:
         return len(covered), sum(a != b for a, b in pairs), one_to_one
 
 
+def sentences_of(items: DataFrame) -> DataFrame:
+    """(item_id, sentence): the distinct sentences of five or more words of each item, folded."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = set()
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own |= {(i, " ".join(w)) for w in map(words, _SENTENCE.split(t)) if len(w) > 4}
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s for _, s in own], pa.string())], names=["item_id", "sentence"])
+
+    return items.select("item_id", "text").mapInArrow(cut, "item_id long, sentence string")
+
+
 SCHEMA = "doc_id long, item_id long, own_words int, template_words int, changed_slots int, kind string"
 
 
@@ -191,11 +203,15 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-chars // SHARD_CHARS))
     sc = documents.sparkSession.sparkContext
+    sentences = sentences_of(rows)
+    stock = sentences.groupBy("sentence").agg((F.min("item_id") < F.max("item_id")).alias("shared")).where("shared")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def passed(shard: int) -> DataFrame:
         part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
-        held = sc.broadcast(Items(part.collect()))
+        # at most the shard's own sentences
+        known = stock if shards == 1 else stock.join(sentences_of(part).select("sentence").distinct(), "sentence", "left_semi")
+        held = sc.broadcast(Items(part.collect(), {r.sentence for r in known.collect()}))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value

@@ -234,7 +234,7 @@ def map_values(df: DataFrame, value: str, reference: DataFrame, term: str, ident
     Defined cases: null and blank values stay null; entries that are null or without letter or digit are
     ignored; equal entries of several ids tie and match nothing; ties between ids are unmatched; very long
     values match nothing that is shorter by more than the threshold; an empty list leaves all unmatched;
-    all columns of ``df`` are kept and none but ``value`` is read.
+    all columns of ``df`` are kept and none but ``value`` is read (columns that bear the results' names are replaced).
     """
     entries = reference.where(F.col(term).isNotNull() & F.col(ident).isNotNull()).select(F.col(term).cast("string").alias("t"), F.col(ident).cast("string").alias("i"))
     n = entries.count()
@@ -281,5 +281,5 @@ def _sharded(df: DataFrame, value: str, entries: DataFrame, shards: int) -> Data
         one = values.mapInPandas(search, "v string, distance int, id string")
         winners = one if winners is None else winners.union(one)
     best = winners.groupBy("v").agg(F.min(F.struct("distance", "id")).alias("lo"), F.max(F.struct((-F.col("distance")).alias("d"), "id")).alias("hi"))
-    best = best.where("lo.id = hi.id").select("v", F.col("lo").alias("_hit"))
-    return df.join(best, df[value] == best["v"], "left").drop("v")
+    best = best.where("lo.id = hi.id").select(F.col("v").alias("_value"), F.col("lo").alias("_hit"))
+    return df.join(best, df[value] == best["_value"], "left").drop("_value")
