@@ -2,8 +2,8 @@
 
 Method: expectation-maximisation segmentation. A field is cut at its sure marks (line breaks, semicolons,
 bars, bullets) and at doubled commas and slashes; single commas, slashes, plus signs and spaced dashes may
-cut or belong to a value (decimals, dates, ranges). They span a lattice over the field, quoted spans being
-atomic. The model has, for each column (property), the frequency of each value and of each value shape, and
+cut or belong to a value (decimals, dates, ranges). They span a lattice over the field, quoted spans and
+full dates being atomic. The model has, for each column (property), the frequency of each value and of each value shape, and
 how often each kind of mark cuts; it is learned from all fields of the column by forward-backward counts and
 renewed in a few rounds; Viterbi then takes the likeliest cuts.
 
@@ -34,12 +34,14 @@ JOINED = 12
 #: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
 #: beside it. At first the values alone decide, else the marks would settle before the values are known; at the
 #: end the marks weigh more, else values that return together in a few records are taken for one.
-ROUND_WEIGHTS = (0.0, 0.0, 1.0, 6.0)
+ROUND_WEIGHTS = (0.0, 3.0, 6.0, 6.0)
 MARK_WEIGHT = 6.0
 
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
 _SURE = re.compile(r"\s*(?:\\r\\n|\\n|\\r|\\t|[\r\n\t  \x0b\x0c]|[;|•·]|,,+|//+)\s*")
 _MAYBE = re.compile(r"\s*[,/+]\s*|\s+[-–—]+\s+|^[-–—]\s+|\s+[-–—]$")
+#: A full date is one atom.
+_DATE = re.compile(r"(?:(?:0?[1-9]|[12]\d|3[01])([/.\-])(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d|(?:19|20)\d\d([/.\-])(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01]))(?!\d)")
 
 
 def _quoted_end(s: str, i: int) -> int:
@@ -57,7 +59,7 @@ def _quoted_end(s: str, i: int) -> int:
 def fields(entry: str) -> list[list[str]]:
     """The fields of an entry between sure marks; each is [atom, mark, atom, mark, ..., atom].
 
-    Atoms are trimmed; a quoted span keeps its quotes and is one atom; empty atoms at either side of a mark
+    Atoms are trimmed; a quoted span keeps its quotes and is one atom, and so is a full date; empty atoms at either side of a mark
     that may cut are dropped with the mark.
     """
     out, own, start, i, fresh = [], [], 0, 0, True
@@ -67,6 +69,9 @@ def fields(entry: str) -> list[list[str]]:
         if fresh and c in _QUOTES and (j := _quoted_end(entry, i)) > 0:
             i, fresh = j, False
             continue
+        if c.isdigit() and not (i > start and entry[i - 1].isdigit()) and (m := _DATE.match(entry, i)):
+            i, fresh = m.end(), False
+            continue
         if m := _SURE.match(entry, i):
             own.append(entry[start:i].strip())
             out.append(own)
