@@ -32,9 +32,9 @@ DEPTH = 2
 JOINED = 12
 
 #: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
-#: beside it. At first the values alone decide, else the marks would settle before the values are known; at the
-#: end the marks weigh more, else values that return together in a few records are taken for one.
-ROUND_WEIGHTS = (0.0, 3.0, 6.0, 6.0)
+#: beside it: at first mostly the values decide; at the end the marks weigh more, else values that return
+#: together in a few records are taken for one.
+ROUND_WEIGHTS = (1.0, 3.0, 6.0, 6.0)
 MARK_WEIGHT = 6.0
 
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
@@ -113,12 +113,23 @@ def is_quoted(atom: str) -> bool:
     return len(atom) > 1 and atom[0] in _QUOTES and atom[-1] == _QUOTES[atom[0]]
 
 
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
+
+
 def shapes(v: str) -> tuple[str, float, str, float]:
-    """A value with its digits masked, and with its words masked too; each with the log chance of what is masked."""
+    """A value with its numbers masked (whole or decimal), and with its words masked too; each with the log
+    chance of what is masked. Masked numbers make 3,5% cotton one of a kind with 43% cotton."""
     digits = sum(c.isdigit() for c in v)
     letters = sum(c.isalpha() for c in v)
-    masked = re.sub(r"\d", "0", v)
-    return masked, -2.303 * digits, re.sub(r"[^\W\d_]+", "a", masked), -2.303 * digits - 3.0 * letters
+    masked, numbers = _NUMBER.subn("#", v)
+    marks = len(v) - len(masked) - digits + numbers
+    return masked, -2.303 * digits - marks, re.sub(r"[^\W\d_]+", "a", masked), -2.303 * digits - marks - 3.0 * letters
+
+
+def prior(kind: str) -> float:
+    """How likely a kind of mark cuts before anything is learned: commas between digits are mostly decimal
+    marks, spaced marks mostly cut."""
+    return 0.1 if kind == ",0000" else 0.9 if kind[1:3] == "11" else 0.5
 
 
 def _kind(mark: str, left: str, right: str) -> str:
@@ -174,7 +185,7 @@ class Model:
         """Log chances that a mark of this kind cuts, and that it doesn't."""
         got = self._cut.get((col, kind))
         if got is None:
-            p = 0.5  # all columns' share first, then the column's own
+            p = prior(kind)  # then all columns' share, then the column's own
             for c in ("*", col):
                 yes, all_ = self.sketch.get(f"c\0{c}\0{kind}"), self.sketch.get(f"m\0{c}\0{kind}")
                 p = (yes + 4 * p) / (max(all_, yes) + 4)
