@@ -621,3 +621,22 @@ h AS (SELECT x.job_id, x.canonical_id AS a, y.canonical_id AS b, count(*) AS fam
 
 # outer whitespace of any kind, as strip() sees it
 ORACLE = {k: re.sub(r"\btrim\((\w+)\)", r"regexp_replace(\1, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')", v) for k, v in ORACLE.items()}
+
+
+def pixel_features(spark: SparkSession, d: str) -> DataFrame:
+    """Picture features of vectors read as 8 x 8 grey pictures."""
+    from weftline.operators.images import image_features
+    e = table(spark, d, "embeddings").where("size(embedding) = 64")
+    byte = F.transform("embedding", lambda x: F.substring(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5))).cast("int") + 256), 2, 2))
+    pics = e.select(F.col("vec_id").alias("id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(byte, "")).alias("data"))
+    return image_features(pics)
+
+
+def whole_job(spark: SparkSession, d: str) -> DataFrame:
+    """Names matched through all brackets and siblings, ordered and named anew."""
+    from weftline.plans.jobs import match_names, ordered_manifest
+    images = table(spark, d, "match_evidence")
+    return ordered_manifest(materialize(match_names(images, table(spark, d, "token_evidence")), "outcome"), M.names(images))
+
+
+QUERIES |= {"pixel_features": pixel_features, "whole_job": whole_job}
