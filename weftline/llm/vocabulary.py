@@ -76,8 +76,8 @@ def fold(text: str) -> str:
 
 
 def threshold(length: int) -> int:
-    """Edits allowed for a folded text of this length."""
-    return 0 if length < 4 else 1 if length < 6 else 2 if length < 12 else 3
+    """Edits allowed for a folded text of this length: two at most, whole words differ by more."""
+    return 0 if length < 4 else 1 if length < 6 else 2
 
 
 class BKTree:
@@ -120,7 +120,7 @@ class Reference:
             if key := fold(term):
                 self.ids.setdefault(key, set()).add(ident)
         self.tree = BKTree(sorted(self.ids))
-        self.words = sorted({fold(w) for w in (words if words is not None else (w for t, _ in entries for w in t.split())) if fold(w)})
+        self.words = sorted({fold(w) for w in (words if words is not None else (w for t, _ in entries for w in re.findall(r"[^\W_]+", t))) if fold(w)})
         self.cache: dict[str, tuple[int, str] | None] = {}
 
     def nearest(self, key: str) -> tuple[int, str] | None:
@@ -138,7 +138,7 @@ class Reference:
         return self.cache[key]
 
     def completions(self, token: str) -> list[str]:
-        return [w for w in self.words if len(w) > len(token) and w.startswith(token)] if len(token) > 2 else []
+        return [w for w in self.words if len(w) > len(token) and w.startswith(token)] if len(token) > 1 else []
 
     def part(self, text: str) -> tuple[int, str] | None:
         """Closest entry of one reading's part, in its order or turned back at a comma, shortened or full."""
@@ -153,7 +153,8 @@ class Reference:
             options = [[p, *self.completions(p)] if t.endswith(".") else [p] for t, p in zip(tokens, plain, strict=True)]
             for words in itertools.product(*options):
                 hit = self.nearest("".join(words))
-                if hit and (best is None or hit < best):
+                # letters that a completion added are no evidence: the edits must suit what was written
+                if hit and hit[0] <= threshold(sum(map(len, plain))) and (best is None or hit < best):
                     best = hit
         return best
 
