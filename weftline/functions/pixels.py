@@ -173,3 +173,56 @@ def feathered(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     t = t[None, :, None] if a.ndim == 3 else t[None, :]
     mid = a[:, -width:] * (1 - t) + b[:, :width] * t
     return np.concatenate([a[:, :-width], mid.round().astype(a.dtype), b[:, width:]], axis=1)
+
+
+def jpeg_header(content: bytes) -> tuple[int, int, int] | None:
+    """Width, height and orientation (1 if not given) of a JPEG, from its header alone; None if it is none."""
+    if content[:2] != b"\xff\xd8":
+        return None
+    i, orientation = 2, 1
+    while i + 4 <= len(content) and content[i] == 0xFF:
+        marker, size = content[i + 1], int.from_bytes(content[i + 2 : i + 4], "big")
+        body = content[i + 4 : i + 2 + size]
+        if marker == 0xE1 and body[:6] == b"Exif\0\0":
+            orientation = _orientation(body[6:]) or 1
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
+            return int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), orientation
+        i += 2 + size
+    return None
+
+
+def _orientation(tiff: bytes) -> int | None:
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if not order or len(tiff) < 10:
+        return None
+    at = int.from_bytes(tiff[4:8], order)
+    for k in range(int.from_bytes(tiff[at : at + 2], order)):
+        e = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(e) == 12 and int.from_bytes(e[:2], order) == 0x0112:
+            v = int.from_bytes(e[8:10], order)
+            return v if 1 <= v <= 8 else None
+    return None
+
+
+def png_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG, from its header alone."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n" or len(content) < 24:
+        return None
+    return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+
+
+def oriented(a: np.ndarray, orientation: int) -> np.ndarray:
+    """A picture as it is meant to be seen, by its orientation mark (1 to 8)."""
+    if orientation in (2, 4, 5, 7):
+        a = a[:, ::-1]
+    turns = {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation, 0)
+    return np.ascontiguousarray(np.rot90(a, turns))
+
+
+def face_cut(a: np.ndarray, faces: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """A picture from three quarters down its lowest face on; as it is without faces."""
+    if not faces:
+        return a
+    x, y, w, h = max(faces, key=lambda f: f[1] + f[3] / 2)
+    cut = int(y + 0.75 * h)
+    return a[cut:] if 0 < cut < a.shape[0] else a

@@ -56,3 +56,32 @@ def image_features(images: DataFrame) -> DataFrame:
             yield out.astype({"width": "Int32", "height": "Int32", "hash_hi": "Int64", "hash_lo": "Int64", "clusters": "Int32"})
 
     return images.select(F.col("id").cast("string").alias("id"), "height", "width", "channels", "data").mapInPandas(run, FEATURES)
+
+
+PROBE = "id string, kind string, width int, height int, orientation int, conforming boolean, reason string"
+
+
+def probe(files: DataFrame, least_bytes: int = 2048, most_bytes: int = 262_144_000, least_side: int = 570) -> DataFrame:
+    """What a file (id, length, content) is by its header, and the first reason that keeps it out.
+
+    A JPEG that needs no turning is conforming: it can be copied as it is. Pixels are not decoded; sizes of
+    other kinds than JPEG and PNG stay null and don't keep a file out.
+    """
+    from weftline.sources.archives import kind_of
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, length, content in zip(pdf["id"], pdf["length"], pdf["content"], strict=True):
+                data = bytes(content or b"")
+                kind = kind_of(i or "", data[:16])
+                jpeg, png = P.jpeg_header(data), P.png_size(data)
+                w, h, o = jpeg or (*(png or (None, None)), None)
+                size = len(data) if length is None or length != length else int(length)
+                reason = ("missing" if content is None else "unsupported" if kind != "image" else "few bytes" if size < least_bytes else "many bytes" if size > most_bytes
+                          else "corrupt" if data[:2] == b"\xff\xd8" and not jpeg else "small picture" if w is not None and max(w, h) < least_side else None)
+                rows.append((i, kind, w, h, o, bool(jpeg) and o == 1, reason))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PROBE.split(", ")])
+            yield out.astype({c: "Int32" for c in ("width", "height", "orientation")})
+
+    return files.select(F.col("id").cast("string").alias("id"), F.col("length").cast("long").alias("length"), "content").mapInPandas(run, PROBE)

@@ -295,3 +295,37 @@ def best_by_record(df: DataFrame, group: list[str], order: list[Column]) -> Data
     """The first row of each group in the given order."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def meaningful_folders(img: DataFrame, vocabulary: DataFrame, noise: list[str], least_siblings: int = 2) -> DataFrame:
+    """(grp, parent, folder): folders that tell products apart: they hold a word of the vocabulary, and so many
+    folders beside them hold words that mean something. ``img`` has (id, grp, name), ``vocabulary`` (grp, key)."""
+    from weftline.functions.strings import BOUNDARY, CAMERA_PREFIXES, folded
+
+    path = img.select("grp", F.regexp_extract("name", "^(.*)[/\\\\][^/\\\\]*$", 1).alias("path")).where("path <> ''").distinct()
+    split = path.select("grp", F.regexp_extract("path", "^(.*?)[/\\\\]?[^/\\\\]*$", 1).alias("parent"), F.regexp_extract("path", "([^/\\\\]*)$", 1).alias("folder"))
+    words = F.flatten(F.transform(F.split(folded(F.col("folder")), "[^a-z0-9]+"), lambda t: F.split(t, BOUNDARY)))
+    dull = F.array(*[F.lit(w) for w in [*noise, *CAMERA_PREFIXES]])
+    telling = split.select("grp", "parent", "folder", F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(dull, t) & (~t.rlike("^[0-9]+$") | (F.length(t) >= MIN_DIGITS)))).alias("words")).where("size(words) > 0")
+    crowd = telling.groupBy("grp", "parent").agg(F.count("*").alias("n")).where(F.col("n") >= least_siblings).select("grp", "parent")
+    held = telling.select("grp", "parent", "folder", F.explode("words").alias("key")).join(vocabulary.select("grp", "key").distinct(), ["grp", "key"]).select("grp", "parent", "folder").distinct()
+    return held.join(crowd, ["grp", "parent"], "left_semi")
+
+
+def narrowed(candidates: DataFrame, tokens: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, grp, rec): each name's candidates narrowed by its tokens in their order; a token counts only if some,
+    but not all, of the candidates that are left hold it. ``tokens`` has (id, grp, n, key), n from 0.
+
+    One pass per place in the names, of which there are few; no candidate list is gathered.
+    """
+    from weftline.session import materialize
+
+    last = tokens.agg(F.max("n")).first()[0]
+    left = candidates.select("id", "grp", "rec")
+    for n in range(0 if last is None else last + 1):
+        key = tokens.where(F.col("n") == n).select("id", "key")
+        held = left.join(key, "id").join(postings.select("grp", "key", "rec", F.lit(1).alias("has")), ["grp", "key", "rec"], "left")
+        share = held.groupBy("id").agg(F.count("has").alias("some"), F.count("*").alias("all")).where("some > 0 AND some < all").select("id")
+        keep = held.where("has = 1").join(share, "id", "left_semi").select("id", "grp", "rec")
+        left = materialize(left.join(share, "id", "left_anti").union(keep), "narrowed")
+    return left
