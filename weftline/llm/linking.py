@@ -366,7 +366,8 @@ def link(evidence: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
     shape_rows = [(r.kind, r.s) for r in reference_shapes(gathered).collect()]
     index = family_rows(gathered, lex_rows).groupBy("rule", "job", "key").agg(
         F.min("family").alias("lo"), F.max("family").alias("hi"), F.min("colors").alias("f_colors"), F.min("types").alias("f_types"))
-    index, keys = materialize(index, "link-index"), materialize(image_rows(evidence, lex_rows, shape_rows), "link-keys")
+    # sorted by rule, so that a pass reads its own row groups only
+    index, keys = (materialize(df.sortWithinPartitions("rule"), name) for df, name in ((index, "link-index"), (image_rows(evidence, lex_rows, shape_rows), "link-keys")))
     found = cascade(keys, index)
     right, wrong = PRIOR
     precision = found.where("known IS NOT NULL").groupBy("rule").agg(((F.count_if(F.col("known") == F.col("family")) + right) / (F.count("*") + right + wrong)).alias("confidence"))
