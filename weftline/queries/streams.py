@@ -12,7 +12,7 @@ from weftline.streaming import progress as P
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of each event type."""
     out = P.run_to_table(P.stage_windows(P.event_stream(spark, d)), "stream-windows")
-    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:

@@ -494,7 +494,7 @@ _HEAD = f"""cells AS (SELECT header_id, source_file, sheet_name, column_index, c
 terms AS (SELECT canonical_id, array_to_string(regexp_extract_all({FOLD.format(x='term')}, '[a-z0-9]+'), ' ') AS term FROM translation_terms WHERE term_domain = 'header'),
 vocab AS (SELECT DISTINCT canonical_id, key FROM (SELECT canonical_id, unnest(string_split(term, ' ')) AS key FROM terms) WHERE key NOT IN ({', '.join(repr(w) for w in S.STOP_GENERAL)})),
 w AS (SELECT DISTINCT header_id, word FROM (SELECT header_id, unnest(words) AS word FROM cells) WHERE word NOT IN ({', '.join(repr(w) for w in S.STOP_GENERAL)})),
-hm AS (SELECT header_id, canonical_id, max(c) AS confidence FROM (SELECT header_id, canonical_id, 1.0 AS c FROM cells JOIN terms ON array_to_string(words, ' ') = term
+hm AS (SELECT header_id, canonical_id, max(c) AS confidence FROM (SELECT header_id, canonical_id, CAST(1.0 AS DOUBLE) AS c FROM cells JOIN terms ON array_to_string(words, ' ') = term
  UNION ALL SELECT header_id, canonical_id, 1.0 FROM w JOIN vocab ON word = key
  UNION ALL SELECT header_id, canonical_id, 0.75 FROM w JOIN vocab ON len(word) >= 4 AND len(key) >= 4 AND levenshtein(word, key) = 1 WHERE word NOT IN (SELECT key FROM vocab)) GROUP BY 1, 2)"""
 _PN = "lower(regexp_replace(property_name, '[^\\p{L}\\p{Nd}]+', '', 'g'))"
@@ -540,7 +540,7 @@ def _slots() -> str:
 _ORDERED = f"WITH {_SHOTS}, {_slots()}, compact AS (SELECT family, evidence_id, row_number() OVER (PARTITION BY family ORDER BY coalesce(slot, 4), nat, evidence_id) - 1 AS position FROM shots LEFT JOIN slots USING (family, evidence_id))"
 _RGB = "c AS (SELECT vec_id, label, " + ", ".join(f"CAST(least(255, greatest(0, floor((CAST(embedding[{i + 1}] AS DOUBLE) + 1) * 127.5))) AS INT) AS {x}" for i, x in enumerate("rgb")) + " FROM embeddings)"
 _SKIN = "(128.0 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128.0 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173)"
-_LUMA = "(0.299 * r + 0.587 * g + 0.114 * b)"
+_LUMA = "(0.299 * CAST(r AS DOUBLE) + 0.587 * g + 0.114 * b)"
 _BUCKET = "CAST(floor(r / 32) * 64 + floor(g / 32) * 8 + floor(b / 32) AS INT)"
 _PAL = "(VALUES " + ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(G.PALETTE.items())) + ") p(i, name, pr, pg, pb)"
 _HASH = "h AS (SELECT CAST(label AS VARCHAR) AS name, vec_id, CAST(list_sum([CASE WHEN CAST(embedding[i + 1] AS DOUBLE) > CAST(embedding[i + 2] AS DOUBLE) THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(0, 24)]) AS BIGINT) AS hash FROM embeddings)"
@@ -562,8 +562,8 @@ ORACLE = {
     "column_profile": _PROFILE,
     "key_columns": f"SELECT tab, col FROM ({_PROFILE}) WHERE n_values = filled AND filled = n_rows",
     "column_overlaps": "WITH v AS (" + " UNION ".join(f"SELECT '{t}' AS col, {c} AS value FROM (SELECT trim({c}) AS {c} FROM {t}) WHERE {c} <> ''" for t, c in FAMILY_COLUMNS) + "), n AS (SELECT col, count(*) AS n FROM v GROUP BY 1) SELECT x.col AS a, y.col AS b, count(*) AS shared, round(count(*) / least(min(p.n), min(q.n)), 6) AS ratio FROM v x JOIN v y ON x.value = y.value AND x.col < y.col JOIN n p ON p.col = x.col JOIN n q ON q.col = y.col GROUP BY 1, 2 HAVING count(*) / least(min(p.n), min(q.n)) > 0.2",
-    "filled_rows": "SELECT source_file, sheet_name, count(*) AS rows, sum(n) AS cells FROM (SELECT source_file, sheet_name, len([c for c in cells if trim(c) <> '']) AS n FROM worksheet_rows) WHERE n > 0 GROUP BY 1, 2",
-    "dense_width": "SELECT source_file, sheet_name, max(len(cells)) AS width, count(*) AS height, max(len(cells)) * count(*) - sum(len(cells)) AS padded FROM worksheet_rows WHERE cells IS NOT NULL GROUP BY 1, 2",
+    "filled_rows": "SELECT source_file, sheet_name, count(*) AS rows, CAST(sum(n) AS BIGINT) AS cells FROM (SELECT source_file, sheet_name, len([c for c in cells if trim(c) <> '']) AS n FROM worksheet_rows) WHERE n > 0 GROUP BY 1, 2",
+    "dense_width": "SELECT source_file, sheet_name, max(len(cells)) AS width, count(*) AS height, CAST(max(len(cells)) * count(*) - sum(len(cells)) AS BIGINT) AS padded FROM worksheet_rows WHERE cells IS NOT NULL GROUP BY 1, 2",
     "header_confidence": f"WITH {_HEAD} SELECT * FROM hm",
     "header_rows": f"WITH {_HEAD}, b AS (SELECT header_id, max(confidence) AS c FROM hm GROUP BY 1) SELECT source_file, sheet_name, count(*) AS filled, count(c) AS matched, round(avg(c), 6) AS confidence FROM cells LEFT JOIN b USING (header_id) WHERE len(words) > 0 GROUP BY 1, 2 HAVING count(c) >= 0.4 * count(*)",
     "header_ids": f"WITH {_HEAD}, o AS (SELECT key, min(canonical_id) AS lo, max(canonical_id) AS hi FROM vocab GROUP BY 1), s AS (SELECT header_id, min(lo) AS id FROM w LEFT JOIN o ON word = key GROUP BY 1 HAVING bool_and(coalesce(lo = hi, false)) AND min(lo) = max(hi)), p AS (SELECT term, min(canonical_id) AS id FROM terms GROUP BY 1) SELECT header_id, coalesce(p.id, s.id, nullif(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), ''), 'Column' || column_index) AS canonical FROM cells LEFT JOIN p ON term = array_to_string(words, ' ') LEFT JOIN s USING (header_id)",
@@ -606,7 +606,7 @@ h AS (SELECT x.job_id, x.canonical_id AS a, y.canonical_id AS b, count(*) AS fam
     "softmax_winners": "WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS v FROM embeddings), e AS (SELECT vec_id, v, list_max(v) AS m, list_sum([exp(x - list_max(v)) for x in v]) AS t FROM v) SELECT vec_id, 'd' || (list_position(v, m) - 1) AS name, round(1 / t, 6) AS share, 1 / t >= 0.25 AS influential FROM e",
     "converged_scores": "SELECT evidence_id, round(CASE WHEN accepted_matcher_name IS NOT NULL AND image_ngp_summary IS NOT NULL THEN least(1.0, coalesce(final_score, 0) + 0.25) ELSE coalesce(final_score, 0) END, 6) AS score FROM match_evidence",
     "colour_buckets": f"WITH {_RGB}, k AS (SELECT label, {_BUCKET} AS bucket, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY n DESC, bucket) AS rank FROM k) SELECT label, bucket, n, round(n / total, 6) AS share, rank FROM t WHERE rank <= 4 AND n >= 0.02 * total",
-    "colour_names": f"WITH {_RGB} SELECT vec_id, arg_min(name, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + i) AS name, round({_LUMA.replace('r +', 'any_value(r) +').replace('* g', '* any_value(g)').replace('* b)', '* any_value(b))')}, 4) AS luma, any_value({_SKIN}) AS skin FROM c, {_PAL} GROUP BY 1",
+    "colour_names": f"WITH {_RGB} SELECT vec_id, arg_min(name, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + i) AS name, round({_LUMA.replace('CAST(r AS', 'CAST(any_value(r) AS').replace('* g', '* any_value(g)').replace('* b)', '* any_value(b))')}, 4) AS luma, any_value({_SKIN}) AS skin FROM c, {_PAL} GROUP BY 1",
     "few_colours": f"WITH {_RGB}, k AS (SELECT label, {_BUCKET} AS k, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS t FROM k) SELECT label, count(*) FILTER (WHERE n >= 0.01 * t) AS clusters, count(*) FILTER (WHERE n >= 0.01 * t) <= 8 AS few FROM t GROUP BY 1",
     "value_moments": "SELECT label, count(x) AS n, round(avg(x), 6) AS mean, round(avg(x * x) - avg(x) * avg(x), 6) AS variance FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1",
     "robust_spread": "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS median FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, round(any_value(median), 6) AS median, round(quantile_cont(abs(value - median), 0.5), 6) AS spread FROM events JOIN m USING (event_type) WHERE value IS NOT NULL GROUP BY 1",
@@ -614,7 +614,7 @@ h AS (SELECT x.job_id, x.canonical_id AS a, y.canonical_id AS b, count(*) AS fam
     "value_ratios": f"WITH {_RGB} SELECT label, round(avg(CASE WHEN {_LUMA} < 64 THEN 1.0 ELSE 0.0 END), 6) AS dark, round(avg(CASE WHEN {_LUMA} > 192 THEN 1.0 ELSE 0.0 END), 6) AS bright, round(avg(CASE WHEN {_SKIN} THEN 1.0 ELSE 0.0 END), 6) AS skin FROM c GROUP BY 1",
     "image_geometry": "WITH m AS (SELECT member_id, CAST(normalized_width AS DOUBLE) AS w, CAST(normalized_height AS DOUBLE) AS h FROM dedup_members WHERE normalized_width > 0 AND normalized_height > 0), q AS (SELECT *, CAST(floor(greatest(w, h) * (1 + 2 * 0.042)) AS BIGINT) AS s, CASE WHEN least(w, h) >= 570 THEN 1.0::DOUBLE ELSE 570 / least(w, h) END AS sc FROM m) SELECT member_id, round(w / h, 6) AS aspect, s - s % 2 - 2 AS canvas, round(sc, 6) AS scale, sc <= 1.42::DOUBLE AS can_grow, round(1 - 2 * abs(least(w, h) / greatest(w, h) - 0.5), 6) AS centering FROM q",
     "box_overlaps": f"SELECT vec_id, i, j, round(overlap, 5) AS overlap FROM ({' UNION ALL '.join(_IOU)}) WHERE overlap > 0.1",
-    "near_hash_pairs": f"WITH {_HASH}, u AS (SELECT DISTINCT name, hash FROM h WHERE hash <> 0) SELECT x.name, x.hash AS a, y.hash AS b, bit_count(xor(x.hash, y.hash)) AS distance FROM u x JOIN u y ON x.name = y.name AND x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 4",
+    "near_hash_pairs": f"WITH {_HASH}, u AS (SELECT DISTINCT name, hash FROM h WHERE hash <> 0) SELECT x.name, x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM u x JOIN u y ON x.name = y.name AND x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 4",
     "media_kinds": f"SELECT CASE WHEN {_EXT} IN {_IMAGE_EXT} THEN 'image' WHEN {_EXT} IN ('.xlsx', '.csv', '.tsv', '.txt') THEN 'table' WHEN {_EXT} = '.zip' THEN 'archive' ELSE 'other' END AS kind, count(*) AS n FROM dedup_members GROUP BY 1",
     "import_reasons": f"SELECT member_id, CASE WHEN NOT coalesce({_EXT} IN {_IMAGE_EXT}, false) THEN 'unsupported' WHEN bytes_length IS NULL THEN 'missing' WHEN bytes_length < 2048 THEN 'few bytes' WHEN bytes_length > 262144000 THEN 'many bytes' WHEN greatest(normalized_width, normalized_height) < 570 THEN 'small picture' END AS reason FROM dedup_members",
 }

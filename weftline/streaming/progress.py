@@ -22,11 +22,17 @@ def event_stream(spark: SparkSession, d: str, name: str = "events", files_per_tr
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def utc_instant(df: DataFrame, name: str = "ts") -> DataFrame:
+    """``df`` whose time without zone is read as UTC, whatever the session's zone."""
+    if dict(df.dtypes)[name] != "timestamp_ntz":
+        return df
+    return df.withColumn(name, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name}))"))
+
+
 def stage_windows(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events, users and value of each type and window; events later than ``late`` are left out."""
-    w = F.window(F.col("ts").cast("timestamp"), size)
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    timed = utc_instant(events).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def latest_states(events: DataFrame) -> DataFrame:
@@ -36,7 +42,7 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 def once_each(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Events without repeated ids; ids are forgotten once they can't come again in time."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return utc_instant(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def kept(states: DataFrame, hours: int = 24, terminal: tuple[str, ...] = ("purchase",)) -> DataFrame:
