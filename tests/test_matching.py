@@ -85,3 +85,12 @@ def test_near_words(spark):
         return row[-1]
 
     assert got == {(a, b) for a in asked for b in lex if lev(a, b) == 1}
+
+
+def test_wordy_records_are_met_word_by_word(spark, monkeypatch):
+    tokens = [("10000001", "t", w) for w in ("red", "boot", "wool", "long")] + [("10000002", "t", w) for w in ("red", "hat")] + [("10000003", "t", w) for w in ("red", "boot")]
+    names = ["red boot wool.jpg", "red hat.jpg", "red boot.jpg", "red.jpg", "long wool boot.jpg"]
+    img, cat, *_ = data(spark, names, tokens)
+    one = sorted((r.id, r.rec, r.matched) for r in M.by_words(img, M.word_postings(cat)).collect())
+    monkeypatch.setattr(M, "PAIRED_WORDS", 3)
+    assert sorted((r.id, r.rec, r.matched) for r in M.by_words(img, M.word_postings(cat)).collect()) == one == [(0, "10000001", 3), (1, "10000002", 2), (4, "10000001", 3)]

@@ -95,3 +95,11 @@ def test_plan_checks(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 40").select("l_orderkey")
     assert checks.read_columns(df) == ["l_orderkey", "l_quantity"] and any("l_quantity" in f for f in checks.pushed_filters(df))
     assert not checks.cross_joins(df) and checks.cross_joins(spark.range(2).crossJoin(spark.range(3)))
+
+
+def test_exact_medians(spark):
+    r = random.Random(6)
+    rows = [("hot", r.randint(0, 9) / 2) for _ in range(999)] + [("two", 1.0), ("two", 4.0), ("one", 7.0), (None, 1.0), ("none", None)]
+    got = {x.g: x.median for x in R.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    hot = sorted(v for g, v in rows if g == "hot")
+    assert got == {"hot": hot[499], "two": 2.5, "one": 7.0}

@@ -25,6 +25,7 @@ PERMUTED_TOKENS = 12
 MIN_WORDS = 2
 IDENTIFIER_LENGTH = 4
 FUZZY_LENGTH = 4
+PAIRED_WORDS = 64
 
 
 def catalogue(tokens: DataFrame) -> DataFrame:
@@ -179,7 +180,8 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     """(id, rec, matched): names of which one record alone holds the most words, at least MIN_WORDS of them.
 
     Names and records meet on pairs of words: a single common word (a colour, a brand) joins nothing, and from
-    the pairs that match follows how many words match. Names in which a code of letters and digits is held by
+    the pairs that match follows how many words match. Records of more than PAIRED_WORDS words (few: each needs
+    that many postings) are met word by word instead, so their pairs are never listed. Names in which a code of letters and digits is held by
     no record at all are left out: the code names something that isn't there.
     """
     words = img.select("id", "grp", F.explode(filename_tokens(F.col("name"))).alias("word"))
@@ -190,10 +192,13 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     sets = keyed.groupBy("id", "grp", "key").agg(F.count("*").alias("n")).groupBy("id", "grp").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
     sets = sets.join(unknown, "id", "left_anti")
     mine = sets.select("id", "grp", F.explode("keys").alias("a"), "keys").select("id", "grp", "a", F.explode("keys").alias("b")).where("a.key < b.key OR (a.key = b.key AND a.n > 1)")
-    theirs = postings.groupBy("grp", "rec").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    wordy = postings.groupBy("grp", "rec").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_WORDS).select("grp", "rec")
+    theirs = postings.join(wordy, ["grp", "rec"], "left_anti").groupBy("grp", "rec").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     theirs = theirs.select("grp", "rec", F.explode("keys").alias("a"), "keys").select("grp", "rec", "a", F.explode("keys").alias("b")).where("a <= b")
     pairs = mine.select("id", "grp", F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).join(theirs, ["grp", "a", "b"])
     ends = pairs.select("id", "rec", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("an").alias("n")), F.struct(F.col("b").alias("key"), F.col("bn").alias("n")))).alias("e")).distinct()
+    single = sets.select("id", "grp", F.explode("keys").alias("e")).withColumn("key", F.col("e.key")).join(postings.join(wordy, ["grp", "rec"], "left_semi"), ["grp", "key"]).select("id", "rec", "e")
+    ends = ends.union(single)
     scored = ends.groupBy("id", "rec").agg(F.sum("e.n").alias("matched")).where(f"matched >= {MIN_WORDS}")
     best = scored.groupBy("id").agg(F.max(F.struct("matched", "rec")).alias("top"), F.min(F.struct((-F.col("matched")).alias("neg"), F.col("rec"))).alias("alt"))
     return best.where("top.rec = alt.rec").select("id", F.col("top.rec").alias("rec"), F.col("top.matched").alias("matched"))

@@ -25,6 +25,27 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str = "rank") ->
     return out.select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
 
 
+def cumulated(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
+    """``df`` (one row per group and value) with ``upto``: the sum of weights of the group's values up to its own,
+    and ``total``. Groups are split over tasks as in ``numbered``; a window sees one task's piece of a group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, group, value).withColumn("_task", F.spark_partition_id())
+    placed = materialize(ranged, "cumulated")
+    pieces = placed.groupBy("_task", group).agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_task", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("total"))
+    own = Window.partitionBy("_task", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("_own", F.sum(weight).over(own)).join(offsets, ["_task", group]).select(*df.columns, (F.col("_before") + F.col("_own")).alias("upto"), "total")
+
+
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): the exact median of each group of any size, from counts of its distinct values."""
+    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cum = cumulated(counts, group, "_v", "_c")
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
+    return cum.groupBy(group).agg(((F.min(F.when(F.col("upto") >= low, F.col("_v"))) + F.min(F.when(F.col("upto") >= high, F.col("_v")))) / 2).alias("median"))
+
+
 def first_of(df: DataFrame, group: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """The first row of each group by ``order``, as an aggregate with map-side combining."""
     key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*keep).alias("row"))

@@ -44,11 +44,13 @@ def moments(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.avg(x * x) - F.avg(x) * F.avg(x)).alias("variance"))
 
 
-def robust(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Median of each group and median distance from it, exact."""
-    x = F.col(value).cast("double")
-    mid = df.groupBy(*group).agg(F.expr(f"percentile(cast({value} as double), 0.5)").alias("median"))
-    return df.join(mid, group).groupBy(*group, "median").agg(F.expr(f"percentile(abs(cast({value} as double) - median), 0.5)").alias("spread"))
+def robust(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median, spread): the exact median of each group and the exact median distance from it."""
+    from weftline.operators.ranking import medians
+
+    mid = medians(df, group, value)
+    away = df.join(mid, group).select(group, F.abs(F.col(value).cast("double") - F.col("median")).alias("_away"))
+    return mid.join(medians(away, group, "_away").withColumnRenamed("median", "spread"), group)
 
 
 def plane(df: DataFrame, group: list[str], x: str, y: str, z: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import strings as S
+from weftline.operators.ranking import numbered
 from weftline.session import table
 
 #: SQL of the functions, on a text x.
@@ -67,11 +68,9 @@ def name_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of each file name in its job's natural order. A job is one window; ranks need all of it in order,
-    which Spark sorts in runs that spill."""
+    """Rank of each file name in its job's natural order."""
     m = table(spark, d, "match_evidence").select("evidence_id", "job_id", S.natural_key(F.col("source_filename")).alias("key"))
-    from pyspark.sql import Window
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("key", "evidence_id"))).select("evidence_id", "rank")
+    return numbered(m, "job_id", ["key", "evidence_id"]).select("evidence_id", "rank")
 
 
 def noise_free(spark: SparkSession, d: str) -> DataFrame:

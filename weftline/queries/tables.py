@@ -323,8 +323,10 @@ def ordered_import(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical_sets(spark: SparkSession, d: str) -> DataFrame:
     """Families' tokens against file tokens: union, intersection, difference and containment, as sizes."""
-    t = table(spark, d, "token_evidence").where("family_id IS NOT NULL").groupBy("family_id").agg(F.collect_set(F.lower("family_token")).alias("a"), F.collect_set(F.lower("filename_token")).alias("b"))
-    return t.select("family_id", F.size(F.array_union("a", "b")).alias("in_any"), F.size(F.array_intersect("a", "b")).alias("in_both"), F.size(F.array_except("a", "b")).alias("only_family"), (F.size(F.array_except("b", "a")) == 0).alias("contained"))
+    t = table(spark, d, "token_evidence").where("family_id IS NOT NULL")
+    both = F.array(F.struct(F.lower("family_token").alias("token"), F.lit(True).alias("a"), F.lit(False).alias("b")), F.struct(F.lower("filename_token").alias("token"), F.lit(False).alias("a"), F.lit(True).alias("b")))
+    flags = t.select("family_id", F.inline(both)).groupBy("family_id", "token").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).withColumn("held", F.col("token").isNotNull())
+    return flags.groupBy("family_id").agg(F.count_if("held").alias("in_any"), F.count_if(F.expr("held AND a AND b")).alias("in_both"), F.count_if(F.expr("held AND a AND NOT b")).alias("only_family"), (F.count_if(F.expr("held AND b AND NOT a")) == 0).alias("contained"))
 
 
 def unassigned_families(spark: SparkSession, d: str) -> DataFrame:
@@ -400,7 +402,7 @@ def value_moments(spark: SparkSession, d: str) -> DataFrame:
 
 def robust_spread(spark: SparkSession, d: str) -> DataFrame:
     """Median and median distance of event values, by type."""
-    r = A.robust(table(spark, d, "events").where("value IS NOT NULL"), ["event_type"], "value")
+    r = A.robust(table(spark, d, "events").where("value IS NOT NULL"), "event_type", "value")
     return r.select("event_type", F.round("median", 6).alias("median"), F.round("spread", 6).alias("spread"))
 
 
