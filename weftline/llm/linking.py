@@ -32,6 +32,9 @@ LEAST_NAME = 5
 #: Prior right and wrong matches in a rule's precision.
 PRIOR = (1.0, 1.0)
 
+#: Properties of families that rules read.
+PROPERTIES = ["refco", "ean", "label", "color", "producttype"]
+
 KEY_SCHEMA = "rule int, job string, key string, id long, known string, colors array<string>, types array<string>"
 INDEX_SCHEMA = "rule int, job string, key string, family string, colors array<string>, types array<string>"
 SHAPE_SCHEMA = "kind string, s string"
@@ -276,10 +279,11 @@ def rule_keys(own: dict, side: int) -> Iterator[tuple[int, str]]:
 def gathered_tokens(tokens: DataFrame) -> DataFrame:
     """(job, family, own) with a family's distinct tokens in the order of their first place.
 
-    Repeated tokens are dropped, counted map-side, before the shuffle gathers a family's own; the order tells
-    which piece of a cut value leads.
+    Only properties that rules read are taken; of those a family has few different values, however many rows
+    repeat them. Repeats are dropped, map-side, before the shuffle gathers a family's own; the order tells which
+    piece of a cut value leads.
     """
-    slim = tokens.where("job_id IS NOT NULL AND family_id IS NOT NULL AND family_token IS NOT NULL")
+    slim = tokens.where("job_id IS NOT NULL AND family_id IS NOT NULL AND family_token IS NOT NULL").where(F.lower("property_name").isin(PROPERTIES))
     slim = slim.groupBy(F.col("job_id").alias("job"), F.col("family_id").alias("family"), F.lower(F.coalesce("property_name", F.lit(""))).alias("prop"), F.lower("family_token").alias("token")).agg(F.min("token_id").alias("at"))
     return slim.groupBy("job", "family").agg(F.sort_array(F.collect_list(F.struct("at", "prop", "token"))).alias("own"))
 
