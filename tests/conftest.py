@@ -12,6 +12,8 @@ def spark():
     s = (SparkSession.builder.master("local[4]").appName("weftline-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from weftline.session import ship
+    ship(s)
     yield s
     s.stop()
 
