@@ -61,6 +61,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).select("table_name", "group_key", "field_name", "value_text")
 
 
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per image group, its gaps filled from the group's other records."""
+    members = table(spark, d, "dedup_members")
+    return survivors.surviving_records(members, table(spark, d, "source_trust"), _member_fields(members)).drop("undominated")
+
+
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each document and the training sequences they stand in."""
     return packing.pack(table(spark, d, "documents"))
@@ -84,7 +90,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).where("n_words >= 25 AND level >= 3.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_mapped, p4_found, p4_links, p5_found, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_mapped, p4_found, p4_links, p5_found, p5_survivors, p6_sequences, p7_found, p7_leaks, p8_found, p8_levels)}
 
 
 
@@ -121,7 +127,17 @@ def _best(table_name: str, key: str, ident: str, time: str, field: str, value: s
         AND {v} <> '' AND lower({v}) NOT IN {_MISSING}) WHERE rn = 1"""
 
 
+_FIELDS = ("family_id", "color_name", "product_type", "caption")
+_HELD = "CASE WHEN {v} <> '' AND lower({v}) NOT IN " + _MISSING + " THEN {v} END"
+_SURVIVORS = "WITH m AS (SELECT CAST(group_id AS VARCHAR) AS group_key, member_id, coalesce(trust_rank, 2147483647) AS rank, delivered_at, " + ", ".join(
+    _HELD.format(v=f"regexp_replace({f}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')") + f" AS {f}" for f in _FIELDS) + """ FROM dedup_members m LEFT JOIN source_trust t ON lower(trim(m.source_kind)) = t.source_kind
+  WHERE group_id IN (SELECT group_id FROM dedup_members GROUP BY 1 HAVING count(*) > 1)),
+s AS (SELECT group_key, member_id AS survivor_id FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY rank, delivered_at DESC NULLS LAST, """ + " + ".join(f"({f} IS NOT NULL)::INT" for f in _FIELDS) + """ DESC, member_id) AS rn FROM m) WHERE rn = 1)""" + "".join(
+    f", f_{f} AS (SELECT group_key, {f}, member_id AS i_{f} FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY rank, delivered_at DESC NULLS LAST, member_id) AS rn FROM m WHERE {f} IS NOT NULL) WHERE rn = 1)" for f in _FIELDS) + \
+    " SELECT group_key, survivor_id, " + ", ".join(_FIELDS) + ", " + " + ".join(f"coalesce((i_{f} <> survivor_id)::INT, 0)" for f in _FIELDS) + " AS filled FROM s" + "".join(f" LEFT JOIN f_{f} USING (group_key)" for f in _FIELDS)
+
 ORACLE = {
+    "p5_survivors": _SURVIVORS,
     "p1_found": _P1 + "SELECT r.table_name, g.first_id, r.id AS copy_id FROM r JOIN g USING (table_name, f, p, k) WHERE r.id <> g.first_id",
     "p1_records": _P1 + "SELECT table_name, first_id, copies FROM g",
     "p5_found": " UNION ALL ".join(

@@ -107,3 +107,24 @@ def survivors(df: DataFrame, trust: DataFrame, spec: Fields, least_rows: int = 2
         for f in names
     ])
     return layers.select("group_key", F.inline(fields)).where("value_text IS NOT NULL")
+
+
+def surviving_records(df: DataFrame, trust: DataFrame, spec: Fields, least_rows: int = 2) -> DataFrame:
+    """One record per group: (group_key, survivor_id, undominated, its fields, filled).
+
+    The backbone is the policy's first (trust, recency, smallest id) among the records that no other dominates
+    in completeness (how many fields it holds), recency and trust; fields that it lacks, or that a record
+    before it in the policy holds, come from those records, and ``filled`` counts them. A group is reduced
+    map-side to its newest record per rank and completeness before its skyline is taken.
+    """
+    base = ranked(df, trust, spec)
+    complete = sum(F.when(F.col(f"v_{f}").isNotNull(), 1).otherwise(0) for f in spec.values)
+    cells = base.groupBy("group_key", "_rank", complete.cast("long").alias("size")).agg(F.count("*").alias("_rows"), F.max(F.struct(F.col("_time").alias("time"), (-F.col("_id")).alias("neg_id"))).alias("newest"))
+    cell = F.struct((-F.col("_rank")).alias("trust"), F.col("newest.time").alias("time"), "size", F.col("newest.neg_id").alias("neg_id"))
+    groups = cells.groupBy("group_key").agg(F.sum("_rows").alias("_rows"), F.collect_list(cell).alias("cells")).where(F.col("_rows") >= least_rows)
+    records = groups.select("group_key", skyline(F.col("cells")).alias("front")).select("group_key", (-F.array_max("front")["neg_id"]).alias("survivor_id"), F.size("front").alias("undominated"))
+    fields = survivors(df, trust, Fields(spec.group, spec.id, spec.source, spec.time, spec.values), least_rows)
+    wide = fields.groupBy("group_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value_text"))).alias(f) for f in spec.values], F.collect_list("from_id").alias("_from"))
+    out = records.join(wide, "group_key", "left")
+    filled = F.coalesce(F.size(F.filter("_from", lambda i: i != F.col("survivor_id"))), F.lit(0))
+    return out.select("group_key", "survivor_id", "undominated", *spec.values, filled.alias("filled"))
