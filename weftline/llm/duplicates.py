@@ -24,7 +24,8 @@ def keyed(df: DataFrame, table_name: str, id_col: str, key: Column) -> DataFrame
 
     h1 and h2 are the 128-bit hash, h3 an independent check digest (other function seed and the length).
     """
-    slim = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("key IS NOT NULL AND id IS NOT NULL")
+    # exploding keeps the filled keys only; a filter on the key would be pushed below and compute it twice
+    slim = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id IS NOT NULL").select("id", F.explode(F.array_compact(F.array("key"))).alias("key"))
     return slim.select(
         F.lit(table_name).alias("table_name"), "id",
         F.xxhash64("key").alias("h1"),
