@@ -15,7 +15,7 @@ SEP = "\u0001"
 _MAY_COMPOSE = "[\\u0300-\\u1FFF\\u20D0-\\x{10FFFF}]"
 
 #: What is neither letter, digit nor part separator, and any full stop or comma that is no decimal mark.
-_NOISE = f"[^\\p{{L}}\\p{{Nd}}.,{SEP}]+|(?<!\\p{{Nd}})[.,]|[.,](?!\\p{{Nd}})"
+_NOISE = f"[^0-9A-Za-z\\p{{L}}\\p{{Nd}}.,{SEP}]+|[.,](?:(?!\\p{{Nd}})|(?<!\\p{{Nd}}[.,]))"
 
 
 @F.pandas_udf(T.StringType())

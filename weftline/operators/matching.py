@@ -139,7 +139,7 @@ def by_intersection(img: DataFrame, postings: DataFrame) -> DataFrame:
     held = postings.groupBy("grp", "key").agg(F.count("*").alias("n"))
     hits = sets.select("grp", "tokens", F.explode("tokens").alias("key")).join(held, ["grp", "key"])
     per = hits.groupBy("grp", "tokens").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("hits")).where("size(hits) >= 2")
-    first = per.select("grp", "tokens", F.col("hits")[0]["key"].alias("key"), F.transform(F.slice("hits", 2, PERMUTED_TOKENS * 2), lambda h: h["key"]).alias("rest"))
+    first = per.select("grp", "tokens", F.col("hits")[0]["key"].alias("key"), F.transform(F.slice("hits", F.lit(2), F.size("hits")), lambda h: h["key"]).alias("rest"))
     found = first.join(postings, ["grp", "key"]).select("grp", "tokens", "rec", F.size("rest").alias("want"), F.explode("rest").alias("key"))
     full = found.join(postings, ["grp", "key", "rec"]).groupBy("grp", "tokens", "rec", "want").agg(F.count("*").alias("got")).where("want = got")
     sole = full.groupBy("grp", "tokens").agg(F.min("rec").alias("rec"), F.max("rec").alias("other")).where("rec = other")

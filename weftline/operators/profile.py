@@ -73,7 +73,7 @@ def collate(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per key: its distinct values (without case), their tokens, the canonical value and if they conflict.
 
     A single value is canonical as it is; several are replaced by all their tokens in order. Values are made
-    distinct, map-side, before any group is gathered.
+    distinct, map-side, before any group is gathered; a record's row then holds all of them, as its definition asks.
     """
     distinct = values.where(strip(F.col(value)) != "").groupBy(*keys, F.lower(strip(F.col(value))).alias("_low")).agg(F.min(strip(F.col(value))).alias("_v"))
     gathered = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("values"), F.collect_list("_low").alias("_lows"))
