@@ -23,7 +23,7 @@ NAMES = {
     1: ("10000001_back.jpg", "10000001"), 2: ("abc_d123_ef 01.jpg", "10000001"), 3: ("ABCD123GHHero.jpg", "10000002"), 4: ("2100000000028.png", "10000002"), 5: ("zamofosk navy.jpg", "10000002"), 6: ("zamofosk.jpg", None),
     7: ("z4m0f05k r0t.jpg", "10000001"), 8: ("zamfoosk_red.tif", "10000001"), 9: ("MobiduneVerdeAzulado.jpg", "10000003"), 10: ("1234-0000 red.jpg", None), 11: ("1234 rot bag.jpg", "10000004"), 12: ("IMG_1234.jpg", None),
     13: ("red bag.jpg", None), 14: ("contains12345678/4.jpg", "10000003"), 15: ("AW24 mobidune back.jpg", "10000003"), 16: ("mobidune navy.jpg", None), 17: ("1234-567 back.jpg", "10000003"), 18: (None, None), 19: ("", None),
-    20: ("x" * 20_000 + ".jpg", None), 21: ("kupfer/mobidune/1.png", "10000003"), 22: ("02100000000011.jpg", "10000001"),
+    23: ("ABC-D123 navy back.jpg", "10000002"), 24: ("ABCD123EFB.jpg", "10000001"), 20: ("x" * 20_000 + ".jpg", None), 21: ("kupfer/mobidune/1.png", "10000003"), 22: ("02100000000011.jpg", "10000001"),
 }
 
 

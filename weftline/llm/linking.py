@@ -27,6 +27,8 @@ from weftline.session import materialize, work_root
 LEET = str.maketrans("0134578", "oieastb")
 CAMERA = {"img", "dsc", "dscf", "dscn", "pxl", "scan", "mvi", "gopr", "p10", "p", "bild", "photo", "foto", "image", "untitled", "kopie", "von", "neu", "finale", "client", "choix", "dcim", "snap"}
 SEASON = re.compile(r"^(?:ss|aw|fw|hw|pe|ai)\d{2}", re.I)
+#: Single letters for views that stand glued behind a reference (fixed values).
+VIEWS = "abf"
 #: Letters that a word must have to be taken for a damaged name.
 LEAST_NAME = 5
 #: Prior right and wrong matches in a rule's precision.
@@ -128,28 +130,33 @@ class Shapes:
         self.near = sorted({t for s in self.full for t in shortened(s)} - set(self.full), key=len, reverse=True)
 
     @staticmethod
-    def _runs(text: str) -> tuple[str, list[bool]]:
-        """Letters and digits of a text, and for each whether a run of its kind begins there."""
-        chars, begins, last = [], [], ""
-        for c in text:
+    def _runs(text: str) -> tuple[str, list[bool], list[bool]]:
+        """Folded letters and digits of a text; for each place whether a run of letters or digits begins there,
+        and whether a word does (a run, or a capital within letters)."""
+        chars, runs, words, last = [], [], [], ""
+        for k, c in enumerate(text):
             if c.isalnum():
                 kind = "0" if c.isdigit() else "a"
-                begins.append(kind != last)
-                chars.append(c)
+                capital = c.isupper() and bool(last) and (text[k - 1].islower() or text[k + 1 : k + 2].islower())
+                runs.append(kind != last)
+                words.append(kind != last or capital)
+                chars.append(folded(c)[:1] or c)
                 last = kind
             else:
                 last = ""
-        return "".join(chars), [*begins, True]
+        return "".join(chars), [*runs, True], [*words, True]
 
     def windows(self, text: str, shapes: list[str], taken: set[int] | None = None) -> list[tuple[int, str]]:
-        """Places and texts of the given shapes; digits at either end must not go on beyond it."""
-        s, begins = self._runs(text)
+        """Places and texts of the given shapes. Digits at either end must not go on beyond it, letters at the
+        end only as a new word or a view letter; letters before a reference may be glued to it."""
+        s, runs, words = self._runs(text)
         form, out = shape(s), []
         for want in shapes:
             i = form.find(want)
             while i >= 0:
                 j = i + len(want)
-                if (want[0] == "a" or begins[i]) and (want[-1] == "a" or begins[j]) and not (taken and taken & set(range(i, j))):
+                ends = runs[j] if want[-1] == "0" else words[j] or (s[j] in VIEWS and words[j + 1])
+                if (want[0] == "a" or runs[i]) and ends and not (taken and taken & set(range(i, j))):
                     out.append((i, s[i:j]))
                 i = form.find(want, i + 1)
         return out
@@ -173,16 +180,16 @@ def image_keys(name: str, summary: str, lex: Lexicon, shapes: Shapes) -> dict:
                 near.add("e" + run)
             if len(run) in (10, 15):
                 glued.add(run[:-2])
-        full = shapes.windows(low, shapes.full)
+        full = shapes.windows(text, shapes.full)
         refs |= {r for _, r in full}
         taken = {k for i, r in full for k in range(i, i + len(r))}
-        glued |= {r[:-2] for _, r in shapes.windows(low, [x + "00" for x in shapes.full])}
-        less = shapes.windows(low, shapes.near, taken)
+        glued |= {r[:-2] for _, r in shapes.windows(text, [x + "00" for x in shapes.full])}
+        less = shapes.windows(text, shapes.near, taken)
         near |= {"r" + r for _, r in less}
         taken |= {k for i, r in less for k in range(i, i + len(r)) if len(r) > 6}
         camera = {m.start(1) for m in re.finditer(r"(?:^|[^a-z])(?:" + "|".join(sorted(CAMERA, key=len, reverse=True)) + r")\s*(\d{3,})", low)}
         squeezed = {sum(c.isalnum() for c in low[:k]) for k in camera}
-        stems |= {r for i, r in shapes.windows(low, shapes.stem, taken) if i not in squeezed}
+        stems |= {r for i, r in shapes.windows(text, shapes.stem, taken) if i not in squeezed}
         words += words_of(text)
     colors, types, rest = lex.read(words)
     for field, value in re.findall(r"(\w+)=([^;]+)", summary or ""):
