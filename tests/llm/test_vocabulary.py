@@ -58,6 +58,16 @@ def test_shards_agree_with_one_tree(spark, monkeypatch):
     assert _mapped(spark, rows) == one
 
 
+def test_shards_agree_on_parts_completions_and_ties(spark, monkeypatch):
+    terms = [*TERMS, ("alpha beta", "one"), ("alpha beta", "two"), ("alphq betq", "three"), ("alqha betb", "four")]
+    rows = ["passform (vestibilita)", "vestibilità / passform", "passform vestibilità", "laun. date", "car. notes", "retail pri.", "price, ret.", "alpha beta", "lining - care notes", "retail size", "x" * 500, None]
+    one = _mapped(spark, rows, terms)
+    assert [one[i][0] for i in (0, 1, 2, 3, 7, 8)] == ["fit", "fit", "fit", "launch", "none", "none"]
+    for entries in (1, 2, 5):
+        monkeypatch.setattr(V, "TREE_ENTRIES", entries)
+        assert _mapped(spark, rows, terms) == one
+
+
 def test_columns_are_kept(spark):
     df = spark.createDataFrame([("lining", 5)], "raw string, id int")
     out = V.map_values(df, "raw", spark.createDataFrame(TERMS, "term string, ident string"), "term", "ident")

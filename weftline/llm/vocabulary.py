@@ -9,7 +9,9 @@ languages that stand side by side. Each reading is searched; a reading counts on
 same entry, so a value that shares a word with an entry and goes on differently stays unmatched.
 
 A list of at most ``TREE_ENTRIES`` entries is one tree, sent to all executors; a longer one is cut into shards
-by hash, every value is searched in each shard, and the shards' winners are merged by distance.
+by hash. Then a value's texts (its readings' parts, completed by the whole list's words) are looked up in every
+shard, the nearest entries of all shards are merged text by text, ties included, and only then is the value read:
+the result doesn't depend on how the list is cut.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.session import materialize
+
 TREE_ENTRIES = 20_000
 #: Values whose answer a task remembers at most.
 CACHE = 200_000
@@ -111,34 +116,26 @@ class BKTree:
         return found
 
 
-class Reference:
-    """A shard of the list: its tree, the ids behind each folded entry and its words."""
+def words_of(entries: list[tuple[str, str]]) -> set[str]:
+    """The folded words of a list's entries."""
+    return {f for t, _ in entries for w in re.findall(r"[^\W_]+", t) if (f := fold(w))}
 
-    def __init__(self, entries: list[tuple[str, str]], words: list[str] | None = None):
-        self.ids: dict[str, set[str]] = {}
-        for term, ident in entries:
-            if key := fold(term):
-                self.ids.setdefault(key, set()).add(ident)
-        self.tree = BKTree(sorted(self.ids))
-        self.words = sorted({fold(w) for w in (words if words is not None else (w for t, _ in entries for w in re.findall(r"[^\W_]+", t))) if fold(w)})
-        self.cache: dict[str, tuple[int, str] | None] = {}
+
+class Reader:
+    """How a value is read, given the list's words (sorted) and the nearest entry of a text."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
 
     def nearest(self, key: str) -> tuple[int, str] | None:
         """Distance and id of the closest entry within the threshold; None if there is none or ids tie."""
-        if key not in self.cache:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            if key in self.ids:
-                found = [(0, key)]
-            else:
-                found = self.tree.within(key, threshold(len(key)))
-            best = min((d for d, _ in found), default=None)
-            ids = {i for d, e in found if d == best for i in self.ids[e]}
-            self.cache[key] = (best, min(ids)) if len(ids) == 1 else None
-        return self.cache[key]
+        raise NotImplementedError
 
     def completions(self, token: str) -> list[str]:
-        return [w for w in self.words if len(w) > len(token) and w.startswith(token)] if len(token) > 1 else []
+        if len(token) < 2:
+            return []
+        at = bisect_right(self.words, token)
+        return list(itertools.takewhile(lambda w: w.startswith(token), itertools.islice(self.words, at, None)))
 
     def part(self, text: str) -> tuple[int, str] | None:
         """Closest entry of one reading's part, in its order or turned back at a comma, shortened or full."""
@@ -183,6 +180,62 @@ class Reference:
         return best
 
 
+class Reference(Reader):
+    """A list, or a shard of it: its tree, the ids behind each folded entry and its words."""
+
+    def __init__(self, entries: list[tuple[str, str]]):
+        super().__init__(sorted(words_of(entries)))
+        self.ids: dict[str, set[str]] = {}
+        for term, ident in entries:
+            if key := fold(term):
+                self.ids.setdefault(key, set()).add(ident)
+        self.tree = BKTree(sorted(self.ids))
+        self.cache: dict[str, tuple[int, str] | None] = {}
+
+    def closest(self, key: str) -> tuple[int, set[str]] | None:
+        """Distance and ids of the closest entries within the threshold, ties included."""
+        if key in self.ids:
+            return 0, self.ids[key]
+        found = self.tree.within(key, threshold(len(key)))
+        best = min((d for d, _ in found), default=None)
+        return None if best is None else (best, {i for d, e in found if d == best for i in self.ids[e]})
+
+    def nearest(self, key: str) -> tuple[int, str] | None:
+        if key not in self.cache:
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            found = self.closest(key)
+            self.cache[key] = (found[0], min(found[1])) if found and len(found[1]) == 1 else None
+        return self.cache[key]
+
+
+class Asked(Reader):
+    """Gathers every text whose nearest entry a value's readings may ask for; those too long for any entry are left out."""
+
+    def __init__(self, words: list[str], longest: int):
+        super().__init__(words)
+        self.longest = longest
+        self.keys: set[str] = set()
+
+    def nearest(self, key: str) -> None:
+        if len(key) - threshold(len(key)) <= self.longest:
+            self.keys.add(key)
+
+    def of(self, raw: str) -> set[str]:
+        self.keys = set()
+        self.match(raw)
+        return self.keys
+
+
+class Answered(Reader):
+    """Reads a value by the answers that all shards gave together."""
+
+    answers: dict[str, tuple[int, str]] = {}
+
+    def nearest(self, key: str) -> tuple[int, str] | None:
+        return self.answers.get(key)
+
+
 def repaired(raw: str) -> str:
     """Composed text; UTF-8 that was read as a single-byte code is read again."""
     if "Ã" in raw or "Â" in raw or "â€" in raw:
@@ -265,22 +318,50 @@ def map_values(df: DataFrame, value: str, reference: DataFrame, term: str, ident
 
 
 def _sharded(df: DataFrame, value: str, entries: DataFrame, shards: int) -> DataFrame:
-    """Each distinct value is searched in every shard of the list; the closest of the shards' winners is joined
-    back. A shard's task holds its own entries only; values stream past it in batches."""
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
-    winners = None
+    """The texts that the distinct values' readings ask for are searched in every shard of the list, each once; the
+    nearest entries of all shards are merged by text, and the values are read from the merged answers. A search task
+    holds its own shard only, the reading tasks the list's distinct words; values stream past them in batches."""
+    sc = df.sparkSession.sparkContext
+    held, words, longest = [], set(), 0
     for s in range(shards):
-        part = entries.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == s)
-        held = df.sparkSession.sparkContext.broadcast(sorted((r.t, r.i) for r in part.collect()))
+        own = sorted((r.t, r.i) for r in entries.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == s).collect())
+        words |= words_of(own)
+        longest = max([longest, *(len(fold(t)) for t, _ in own)])
+        held.append(sc.broadcast(own))
+    known = sc.broadcast(sorted(words))
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ref = Reference(held.value)
-            for pdf in batches:
-                hits = [(v, *h) for v in pdf["v"] if (h := ref.match(v))]
-                yield pd.DataFrame(hits, columns=["v", "distance", "id"])
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Asked(known.value, longest)
+        for pdf in batches:
+            yield pd.DataFrame([(v, k) for v in pdf["v"] for k in sorted(reader.of(v))], columns=["v", "key"])
 
-        one = values.mapInPandas(search, "v string, distance int, id string")
-        winners = one if winners is None else winners.union(one)
-    best = winners.groupBy("v").agg(F.min(F.struct("distance", "id")).alias("lo"), F.max(F.struct((-F.col("distance")).alias("d"), "id")).alias("hi"))
-    best = best.where("lo.id = hi.id").select(F.col("v").alias("_value"), F.col("lo").alias("_hit"))
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
+    asked = materialize(values.mapInPandas(ask, "v string, key string"), "vocabulary-asked")
+    keys = materialize(asked.select("key").distinct(), "vocabulary-keys")
+    found = None
+    for own in held:
+
+        def search(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
+            ref = Reference(own.value)
+            for pdf in batches:
+                hits = [(k, h[0], min(h[1]), max(h[1])) for k in pdf["key"] if (h := ref.closest(k))]
+                yield pd.DataFrame(hits, columns=["key", "distance", "lo", "hi"])
+
+        one = keys.mapInPandas(search, "key string, distance int, lo string, hi string")
+        found = one if found is None else found.union(one)
+    near = found.groupBy("key").agg(F.min(F.struct("distance", "lo")).alias("a"), F.max(F.struct((-F.col("distance")).alias("d"), "hi")).alias("b"))
+    near = near.where("a.lo = b.hi").select("key", "a.distance", F.col("a.lo").alias("id"))
+    answers = asked.join(near, "key").groupBy("v").agg(F.collect_list(F.struct("key", "distance", "id")).alias("hits"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Answered(known.value)
+        for pdf in batches:
+            out = []
+            for v, hits in zip(pdf["v"], pdf["hits"], strict=True):
+                reader.answers = {h["key"]: (int(h["distance"]), h["id"]) for h in hits}
+                if hit := reader.match(v):
+                    out.append((v, *hit))
+            yield pd.DataFrame(out, columns=["v", "distance", "id"])
+
+    best = answers.mapInPandas(read, "v string, distance int, id string").select(F.col("v").alias("_value"), F.struct("distance", "id").alias("_hit"))
     return df.join(best, df[value] == best["_value"], "left").drop("_value")
