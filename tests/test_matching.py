@@ -63,6 +63,21 @@ def test_brackets(spark):
     assert {r.id: r.new_name for r in ordered_manifest(match_names(images, tokens), img).collect()}[9] == "20000007_det0.jpg"
 
 
+def test_later_brackets(spark):
+    names = ["red_boot.jpg", "gren_sandal.jpg", "darkblue_clog.jpg", "hero_shot_x.jpg", "KQWZY_front.jpg", "velvet cape.jpg", "velvet cape noir.jpg", "IMG_photo.jpg", "x_7654321_y.jpg", "reed_hat.jpg"]
+    fams = [("20000001", "c", "rouge"), ("20000001", "t", "boot"), ("20000002", "c", "green"), ("20000002", "t", "sandal"), ("20000003", "c", "dark blue"), ("20000003", "t", "clog"), ("20000004", "x", "other"), ("20000005", "refco", "k-q-w-z-y"),
+            ("20000006", "x", "thing"), ("20000007", "color", "ivory"), ("20000007", "producttype", "scarf"), ("20000008", "e", "917654321"), ("20000009", "c", "reef"), ("20000009", "t", "rees")]
+    _, _, images, tokens = data(spark, names, fams)
+    images = images.withColumn("image_ngp_summary", F.when(F.col("evidence_id") == 7, "color=ivory;type=scarf"))
+    known = spark.createDataFrame([(5, "20000006")], "id long, rec string")
+    terms = spark.createDataFrame([("color", "ivory", "c1"), ("producttype", "scarf", "t1"), ("color", "red", "c2"), ("color", "rouge", "c2")], "term_domain string, term string, canonical_id string")
+    synonyms = terms.select("term", F.col("canonical_id").alias("group_id"))
+    sheets = spark.createDataFrame([(1, ["20000004", "hero-shot-x"])], "row_id long, cells array<string>")
+    out = {r.id: (r.rec, r.bracket) for r in match_names(images, tokens, known, synonyms, terms, sheets).collect()}
+    assert out == {0: ("20000001", "words"), 1: ("20000002", "near words"), 2: ("20000003", "words"), 3: ("20000004", "cell"), 4: ("20000005", "cell start"), 5: ("20000006", "known"), 6: ("20000006", "related sibling"),
+                   7: ("20000007", "narrowed"), 8: ("20000008", "contained"), 9: (None, None)}  # one mistyped word is no two
+
+
 def test_empty(spark):
     img, cat, images, tokens = data(spark, [], [])
     assert match_names(images, tokens).count() == 0

@@ -14,7 +14,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from weftline.functions.strings import concatenation_distance, digit_runs, digits_only, filename_tokens, profile_tokens, stem
+from weftline.functions.strings import collapsed_stem, concatenation_distance, digit_runs, digits_only, filename_tokens, profile_tokens, stem
 
 MIN_DIGITS = 5
 MAX_DIGITS = 18
@@ -176,19 +176,29 @@ def grouped_words(words: DataFrame, synonyms: DataFrame | None) -> DataFrame:
     return words.join(s, "key", "left").withColumn("key", F.coalesce("group_id", "key")).drop("group_id")
 
 
-def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+def unknown_codes(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(id): names in which a code of letters and digits is held by no record at all."""
+    words = img.select("id", "grp", F.explode(filename_tokens(F.col("name"))).alias("word"))
+    keyed = grouped_words(words.withColumn("key", F.col("word")), synonyms)
+    codes = keyed.where((F.length("word") >= IDENTIFIER_LENGTH) & F.col("word").rlike("[0-9]") & F.col("word").rlike("[^0-9]"))
+    return codes.join(postings.select("grp", "key").distinct(), ["grp", "key"], "left_anti").select("id").distinct()
+
+
+def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(id, rec, matched): names of which one record alone holds the most words, at least MIN_WORDS of them.
 
     Names and records meet on pairs of words: a single common word (a colour, a brand) joins nothing, and from
     the pairs that match follows how many words match. Records of more than PAIRED_WORDS words (few: each needs
     that many postings) are met word by word instead, so their pairs are never listed. Names in which a code of letters and digits is held by
-    no record at all are left out: the code names something that isn't there.
+    no record at all are left out: the code names something that isn't there. ``near`` (grp, word, key) gives
+    words that stand for one that no record has.
     """
     words = img.select("id", "grp", F.explode(filename_tokens(F.col("name"))).alias("word"))
     keyed = grouped_words(words.withColumn("key", F.col("word")), synonyms)
-    known = postings.select("grp", "key").distinct()
-    codes = keyed.where((F.length("word") >= IDENTIFIER_LENGTH) & F.col("word").rlike("[0-9]") & F.col("word").rlike("[^0-9]"))
-    unknown = codes.join(known, ["grp", "key"], "left_anti").select("id").distinct()
+    unknown = unknown_codes(img, postings, synonyms)
+    if near is not None:
+        lacks = keyed.join(postings.select("grp", "key").distinct(), ["grp", "key"], "left_anti").select("id", "grp", "word")
+        keyed = keyed.unionByName(grouped_words(lacks.join(near, ["grp", "word"]), synonyms).distinct())
     sets = keyed.groupBy("id", "grp", "key").agg(F.count("*").alias("n")).groupBy("id", "grp").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
     sets = sets.join(unknown, "id", "left_anti")
     mine = sets.select("id", "grp", F.explode("keys").alias("a"), "keys").select("id", "grp", "a", F.explode("keys").alias("b")).where("a.key < b.key OR (a.key = b.key AND a.n > 1)")
@@ -199,7 +209,11 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     ends = pairs.select("id", "rec", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("an").alias("n")), F.struct(F.col("b").alias("key"), F.col("bn").alias("n")))).alias("e")).distinct()
     single = sets.select("id", "grp", F.explode("keys").alias("e")).withColumn("key", F.col("e.key")).join(postings.join(wordy, ["grp", "rec"], "left_semi"), ["grp", "key"]).select("id", "rec", "e")
     ends = ends.union(single)
-    scored = ends.groupBy("id", "rec").agg(F.sum("e.n").alias("matched")).where(f"matched >= {MIN_WORDS}")
+    if near is None:
+        scored = ends.groupBy("id", "rec").agg(F.sum("e.n").alias("matched"))
+    else:  # a word may stand for several keys, yet counts once
+        scored = ends.select("id", "rec", F.col("e.key").alias("key")).join(keyed.select("id", "key", "word"), ["id", "key"]).groupBy("id", "rec").agg(F.countDistinct("word").alias("matched"))
+    scored = scored.where(f"matched >= {MIN_WORDS}")
     best = scored.groupBy("id").agg(F.max(F.struct("matched", "rec")).alias("top"), F.min(F.struct((-F.col("matched")).alias("neg"), F.col("rec"))).alias("alt"))
     return best.where("top.rec = alt.rec").select("id", F.col("top.rec").alias("rec"), F.col("top.matched").alias("matched"))
 
@@ -227,6 +241,48 @@ def neighbour_words(cat: DataFrame) -> DataFrame:
     return pairs.select("grp", "rec", F.explode(F.array(F.concat("p.a", "p.b"), F.concat("p.b", "p.a"))).alias("key")).distinct()
 
 
+def feature_candidates(images: DataFrame, tokens: DataFrame, terms: DataFrame, used: DataFrame) -> DataFrame:
+    """(id, grp, rec): names with the records of their group in the same colour and type that no name is matched to.
+
+    ``images`` has (id, grp, color, type), ``terms`` the terms of both domains, ``used`` the (grp, rec) that are taken.
+    """
+    terms = terms.where("term_domain IN ('color', 'producttype')").select("term_domain", F.lower("term").alias("term"), "canonical_id").distinct()
+    tokens = tokens.where("job_id IS NOT NULL AND family_id IS NOT NULL")
+
+    def canon(domain: str, prop: str) -> tuple[DataFrame, DataFrame]:
+        t = terms.where(F.col("term_domain") == domain).select("term", "canonical_id")
+        fam = tokens.where(F.col("property_name") == prop).select(F.col("job_id").alias("grp"), F.col("family_id").alias("rec"), F.lower("family_token").alias("term")).join(t, "term").select("grp", "rec", F.col("canonical_id").alias(f"{prop}_id")).distinct()
+        return t.select(F.col("term").alias(f"{prop}_term"), F.col("canonical_id").alias(f"{prop}_id")), fam
+
+    ct, cf = canon("color", "color")
+    pt, pf = canon("producttype", "producttype")
+    fam = cf.join(pf, ["grp", "rec"]).join(used, ["grp", "rec"], "left_anti")
+    own = images.join(ct, images["color"] == ct["color_term"]).join(pt, images["type"] == pt["producttype_term"]).select("id", "grp", "color_id", "producttype_id")
+    return own.join(fam, ["grp", "color_id", "producttype_id"]).select("id", "grp", "rec").distinct()
+
+
+def by_cell(img: DataFrame, sheet_rows: DataFrame) -> DataFrame:
+    """(id, rec): names whose collapsed stem a sheet's cell holds, all such rows having one and the same record number."""
+    rows = sheet_rows.select("row_id", F.explode("cells").alias("c")).where("c IS NOT NULL")
+    pieces = rows.select("row_id", F.trim("c").alias("c"), F.explode(F.split(F.lower(F.trim("c")), "[\\s,;]+")).alias("p"))
+    numbers = rows.where(F.trim("c").rlike("^[0-9]{8}$")).groupBy("row_id").agg(F.min(F.trim("c")).alias("lo"), F.max(F.trim("c")).alias("hi")).where("lo = hi").select("row_id", F.col("lo").alias("rec"))
+    keys = pieces.select("row_id", F.translate("p", " _-.", "").alias("key")).where("length(key) >= 6 AND NOT key RLIKE '^[0-9]{8}$'").distinct()
+    index = keys.join(numbers, "row_id").groupBy("key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
+    return img.select("id", collapsed_stem(F.col("name")).alias("key")).join(index.where("lo = hi"), "key").select("id", F.col("lo").alias("rec"))
+
+
+def by_cell_start(img: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, rec): names whose collapsed stem starts with a reference of exactly one record of their group.
+
+    The stem's leading parts are listed and joined, which makes the search for starts an equi-join.
+    """
+    stems = img.select("id", "grp", collapsed_stem(F.col("name")).alias("s"))
+    starts = stems.where("length(s) >= 5").select("id", "grp", F.explode(F.transform(F.sequence(F.lit(5), F.length("s")), lambda n: F.substr("s", F.lit(1), n))).alias("key"))
+    cat = tokens.where("property_name = 'refco' AND job_id IS NOT NULL AND family_token IS NOT NULL")
+    index = cat.select(F.col("job_id").alias("grp"), F.col("family_id").alias("rec"), F.translate(F.lower("family_token"), " _-.", "").alias("key")).where("length(key) >= 5")
+    return _sole(starts.join(holders(index), ["grp", "key"]))
+
+
 def rare_profiles(img: DataFrame, ratio: float = 0.5, floor: int = 10) -> DataFrame:
     """(id, grp, profile): each name's profile words without those that more than ``ratio`` of the group (and
     ``floor``) carry."""

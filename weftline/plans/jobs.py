@@ -5,28 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions import strings as S
-from weftline.operators import matching as M, ranking as R
+from weftline.operators import matching as M, ranking as R, rules as U
 from weftline.session import materialize
 
 
-def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(id, rec, bracket, reason): names through all brackets, then their siblings.
+def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None = None, synonyms: DataFrame | None = None, terms: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
+    """(id, rec, bracket, reason): names through all brackets, each on what those before it left open.
 
-    Brackets that do not depend on each other are taken at once and the first that found a record counts; words
-    are tried on what digits left open, and siblings on what both left open.
+    The order: families known before; digits (one run, neighbouring runs, all runs together, runs in any order);
+    words with synonyms and neighbouring words, then with words one edit away; records without a name that share
+    colour and type, narrowed by digits; cells of sheets that name the file, and references that it starts with;
+    digits within longer ones; names with the same rare words, then with some of the same.
+
+    Synonyms (term, group_id), terms (term_domain, term, canonical_id) with images' ``image_ngp_summary``, and
+    sheets' rows each feed brackets that are skipped without them. A code that names no record speaks against a
+    match by related words. Digit brackets that do not depend on each other are taken at once.
     """
     img, cat = M.names(images), M.catalogue(tokens)
     postings = materialize(M.digit_postings(cat), "digit-postings")
     index = materialize(M.holders(postings), "digit-index")
-    numeric = materialize(M.first_bracket([("digits", M.by_digits(img, index)), ("concatenated", M.by_concatenation(img, index)), ("intersection", M.by_intersection(img, postings)), ("contained", M.by_containment(img, index))]), "numeric")
-    left = img.join(numeric.select("id"), "id", "left_anti")
-    permuted = M.by_permutation(left, index).select("id", F.lit("permuted").alias("bracket"), "rec")
-    words = M.by_words(left.join(permuted.select("id"), "id", "left_anti"), M.word_postings(cat)).select("id", F.lit("words").alias("bracket"), "rec")
-    found = materialize(numeric.union(permuted).union(words), "found")
-    sure = found.select("id", "rec") if known is None else found.select("id", "rec").union(known.select("id", "rec")).groupBy("id").agg(F.min("rec").alias("rec"))
+    own = cat.select("grp", "rec").distinct()
+    settled = img.select("id").join(known.groupBy("id").agg(F.min("rec").alias("rec")), "id") if known is not None else img.select("id", F.lit(None).cast("string").alias("rec")).where("false")
+    found = materialize(settled.select("id", F.lit("known").alias("bracket"), "rec"), "found-known")
+
+    def left() -> DataFrame:
+        return img.join(found.select("id"), "id", "left_anti")
+
+    def add(bracket: str, matched: DataFrame) -> None:
+        nonlocal found
+        new = matched.join(found.select("id"), "id", "left_anti").select("id", F.lit(bracket).alias("bracket"), "rec")
+        found = found.union(materialize(new, "found"))
+
+    rest = left()
+    numeric = M.first_bracket([("digits", M.by_digits(rest, index)), ("concatenated", M.by_concatenation(rest, index)), ("intersection", M.by_intersection(rest, postings))])
+    found = found.union(materialize(numeric, "numeric"))
+    add("permuted", M.by_permutation(left(), index))
+    lexicon = M.word_postings(cat)
+    words = materialize(M.word_postings(cat, synonyms).unionByName(M.neighbour_words(cat)).distinct(), "word-postings")
+    add("words", M.by_words(left(), words, synonyms))
+    rest = left()
+    asked = rest.select("grp", F.explode(S.filename_tokens(F.col("name"))).alias("word"))
+    add("near words", M.by_words(rest, words, synonyms, M.near_words(asked, lexicon.select("grp", "key").distinct())))
+    if terms is not None and "image_ngp_summary" in images.columns:
+        f = U.feature_map(F.col("image_ngp_summary"))
+        told = images.select(F.col("evidence_id").alias("id"), F.try_element_at(f, F.lit("color")).alias("color"), F.try_element_at(f, F.lit("type")).alias("type")).where("color IS NOT NULL AND type IS NOT NULL")
+        rest = left()
+        used = found.join(img.select("id", "grp"), "id").select("grp", "rec").distinct()
+        candidates = materialize(M.feature_candidates(rest.join(told, "id"), tokens, terms, used), "candidates")
+        digits = rest.join(candidates.select("id").distinct(), "id", "left_semi").select("id", F.posexplode(M.digit_tokens(F.col("name"))).alias("n", "key"))
+        narrowed = M.narrowed(candidates, digits, postings)
+        add("narrowed", narrowed.groupBy("id").agg(F.min("rec").alias("rec"), F.count("*").alias("n")).where("n = 1"))
+    if sheets is not None:
+        rest = left()
+        add("cell", M.by_cell(rest, sheets).join(rest.select("id", "grp"), "id").join(own, ["grp", "rec"], "left_semi"))
+    add("cell start", M.by_cell_start(left(), tokens))
+    add("contained", M.by_containment(left(), index))
     profiles = materialize(M.rare_profiles(img), "profiles")
-    equal = M.by_equal_profile(profiles, sure).select("id", F.lit("equal sibling").alias("bracket"), "rec")
-    found = found.union(equal.join(found.select("id"), "id", "left_anti"))
+    sure = found.select("id", "rec")
+    equal = materialize(M.by_equal_profile(profiles, sure), "equal")
+    related = M.by_related_profile(profiles, sure).join(M.unknown_codes(left(), words, synonyms), "id", "left_anti")
+    add("equal sibling", equal)
+    add("related sibling", related)
     return M.outcome(img, found, postings)
 
 

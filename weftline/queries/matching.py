@@ -95,7 +95,7 @@ def sibling_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Every name with its first bracket's family, or the reason that it has none."""
+    """Every name with its first digit bracket's family, or the reason that it has none (all brackets: ``whole_job``)."""
     img, cat = _parts(spark, d)
     postings = materialize(M.digit_postings(cat), "digit-postings")
     index = materialize(M.holders(postings), "digit-index")
@@ -109,13 +109,8 @@ def name_in_cell(spark: SparkSession, d: str) -> DataFrame:
     Rows give their cells' collapsed pieces and their one eight-digit number; a name leads to the number if
     all rows with its stem agree.
     """
-    rows = table(spark, d, "worksheet_rows").select("row_id", F.explode("cells").alias("c")).where("c IS NOT NULL")
-    pieces = rows.select("row_id", F.trim("c").alias("c"), F.explode(F.split(F.lower(F.trim("c")), "[\\s,;]+")).alias("p"))
-    numbers = rows.where(F.trim("c").rlike("^[0-9]{8}$")).groupBy("row_id").agg(F.min(F.trim("c")).alias("lo"), F.max(F.trim("c")).alias("hi")).where("lo = hi").select("row_id", F.col("lo").alias("rec"))
-    keys = pieces.select("row_id", F.translate("p", " _-.", "").alias("key")).where("length(key) >= 6 AND NOT key RLIKE '^[0-9]{8}$'").distinct()
-    index = keys.join(numbers, "row_id").groupBy("key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
-    img = table(spark, d, "match_evidence").select(F.col("evidence_id").alias("id"), S.collapsed_stem(F.col("source_filename")).alias("key"))
-    return img.join(index.where("lo = hi"), "key").select("id", F.col("lo").alias("rec"))
+    img = table(spark, d, "match_evidence").select(F.col("evidence_id").alias("id"), F.col("source_filename").alias("name"))
+    return M.by_cell(img, table(spark, d, "worksheet_rows"))
 
 
 def name_starts_with_cell(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +118,8 @@ def name_starts_with_cell(spark: SparkSession, d: str) -> DataFrame:
 
     The stem's leading parts are listed and joined, which makes the search for starts an equi-join.
     """
-    img = table(spark, d, "match_evidence").select(F.col("evidence_id").alias("id"), F.col("job_id").alias("grp"), S.collapsed_stem(F.col("source_filename")).alias("s"))
-    starts = img.where("length(s) >= 5").select("id", "grp", F.explode(F.transform(F.sequence(F.lit(5), F.length("s")), lambda n: F.substr("s", F.lit(1), n))).alias("key"))
-    cat = table(spark, d, "token_evidence").where("property_name = 'refco' AND job_id IS NOT NULL AND family_token IS NOT NULL")
-    index = cat.select(F.col("job_id").alias("grp"), F.col("family_id").alias("rec"), F.translate(F.lower("family_token"), " _-.", "").alias("key")).where("length(key) >= 5")
-    return starts.join(M.holders(index), ["grp", "key"]).groupBy("id").agg(F.min("lo").alias("rec"), F.max("hi").alias("other")).where("rec = other").drop("other")
+    img = table(spark, d, "match_evidence").select(F.col("evidence_id").alias("id"), F.col("job_id").alias("grp"), F.col("source_filename").alias("name"))
+    return M.by_cell_start(img, table(spark, d, "token_evidence"))
 
 
 QUERIES = {f.__name__: f for f in (match_digits, ambiguous_digits, match_concatenated, match_permuted, match_intersection, match_contained, match_words, match_neighbours, fuzzy_words, sibling_equal, sibling_related, match_cascade, name_in_cell, name_starts_with_cell)}

@@ -41,21 +41,9 @@ def narrowed_families(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "match_evidence").where("final_family_id IS NULL AND job_id IS NOT NULL AND source_filename IS NOT NULL")
     f = U.feature_map(F.col("image_ngp_summary"))
     img = m.select(F.col("evidence_id").alias("id"), F.col("job_id").alias("grp"), F.col("source_filename").alias("name"), F.try_element_at(f, F.lit("color")).alias("color"), F.try_element_at(f, F.lit("type")).alias("type")).where("color IS NOT NULL AND type IS NOT NULL")
-    terms = table(spark, d, "translation_terms").where("term_domain IN ('color', 'producttype')").select("term_domain", F.lower("term").alias("term"), "canonical_id").distinct()
-    tokens = table(spark, d, "token_evidence").where("job_id IS NOT NULL AND family_id IS NOT NULL")
     used = table(spark, d, "match_evidence").where("final_family_id IS NOT NULL").select(F.col("job_id").alias("grp"), F.col("final_family_id").alias("rec")).distinct()
-
-    def canon(domain: str, prop: str) -> tuple[DataFrame, DataFrame]:
-        t = terms.where(F.col("term_domain") == domain).select("term", "canonical_id")
-        fam = tokens.where(F.col("property_name") == prop).select(F.col("job_id").alias("grp"), F.col("family_id").alias("rec"), F.lower("family_token").alias("term")).join(t, "term").select("grp", "rec", F.col("canonical_id").alias(f"{prop}_id")).distinct()
-        return t.select(F.col("term").alias(f"{prop}_term"), F.col("canonical_id").alias(f"{prop}_id")), fam
-
-    ct, cf = canon("color", "color")
-    pt, pf = canon("producttype", "producttype")
-    fam = cf.join(pf, ["grp", "rec"]).join(used, ["grp", "rec"], "left_anti")
-    own = img.join(ct, img["color"] == ct["color_term"]).join(pt, img["type"] == pt["producttype_term"]).select("id", "grp", "name", "color_id", "producttype_id")
-    cand = own.join(fam, ["grp", "color_id", "producttype_id"]).select("id", "grp", "rec").distinct()
-    toks = own.select("id", F.posexplode(M.digit_tokens(F.col("name"))).alias("n", "key"))
+    cand = M.feature_candidates(img, table(spark, d, "token_evidence"), table(spark, d, "translation_terms"), used)
+    toks = img.join(cand.select("id").distinct(), "id", "left_semi").select("id", F.posexplode(M.digit_tokens(F.col("name"))).alias("n", "key"))
     left = M.narrowed(cand, toks, M.digit_postings(M.catalogue(table(spark, d, "token_evidence"))))
     return left.groupBy("id").agg(F.count("*").alias("families"), F.min("rec").alias("first_family"))
 

@@ -638,7 +638,11 @@ def whole_job(spark: SparkSession, d: str) -> DataFrame:
     """Names matched through all brackets and siblings, ordered and named anew."""
     from weftline.plans.jobs import match_names, ordered_manifest
     images = table(spark, d, "match_evidence")
-    return ordered_manifest(materialize(match_names(images, table(spark, d, "token_evidence")), "outcome"), M.names(images))
+    known = images.where("final_family_id IS NOT NULL").select(F.col("evidence_id").alias("id"), F.col("final_family_id").alias("rec"))
+    terms = table(spark, d, "translation_terms")
+    synonyms = terms.where("term_domain IN ('color', 'producttype')").select(F.lower("term").alias("term"), F.col("canonical_id").alias("group_id"))
+    matched = match_names(images, table(spark, d, "token_evidence"), known, synonyms, terms, table(spark, d, "worksheet_rows"))
+    return ordered_manifest(materialize(matched, "outcome"), M.names(images))
 
 
 QUERIES |= {"pixel_features": pixel_features, "whole_job": whole_job}
