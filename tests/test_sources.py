@@ -129,3 +129,12 @@ def test_image_features(spark):
     got = {r.id: r for r in image_features(spark.createDataFrame(rows, "id string, height int, width int, channels int, data binary")).collect()}
     assert got["ok"].box == [10, 5, 10, 5] and got["ok"].route == "centre" and got["short"].box is None and got["none"].width is None
     assert as_array(bytes(16), 2, 2, 4).tolist() == np.full((2, 2, 3), 255).tolist() and got["alpha"].bright == 1
+
+
+def test_once_each_over_many_files(spark, tmp_path):
+    import datetime as dt
+    rows = [(i % 100, dt.datetime(2024, 1, 1) + dt.timedelta(days=37 * i % 300), "view") for i in range(200)]
+    for n in range(20):
+        spark.createDataFrame(rows[n::20], "event_id long, ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = S.run_to_table(S.once_each(S.event_stream(spark, str(tmp_path))).select("event_id"), "t", "append")
+    assert sorted(r.event_id for r in got.collect()) == list(range(100))

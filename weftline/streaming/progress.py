@@ -40,9 +40,9 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", F.col("m.ts").alias("ts"), F.col("m.event_type").alias("event_type"))
 
 
-def once_each(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Events without repeated ids; ids are forgotten once they can't come again in time."""
-    return utc_instant(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def once_each(events: DataFrame) -> DataFrame:
+    """Events without repeated ids, however far apart and in whatever order they come: state grows with distinct ids."""
+    return utc_instant(events).dropDuplicates(["event_id"])
 
 
 def kept(states: DataFrame, hours: int = 24, terminal: tuple[str, ...] = ("purchase",)) -> DataFrame:
