@@ -64,6 +64,28 @@ def test_near_hashes_are_complete(spark):
     assert got == {(a, b) for a in hashes for b in hashes if a < b and bin(a ^ b).count("1") <= 3}
 
 
+def test_near_wide_hashes_are_complete(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(6)]
+    hashes = sorted({b ^ sum(1 << k for k in r.sample(range(128), r.randint(0, 5))) for b in base for _ in range(12)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = {(signed(h >> 64), signed(h & (1 << 64) - 1)): h for h in hashes}
+    df = spark.createDataFrame([("n", *h) for h in halves], "name string, hash_hi long, hash_lo long")
+    for radius in (0, 1, 6):
+        got = {frozenset(((x.a_hi, x.a_lo), (x.b_hi, x.b_lo))) for x in H.near_wide_hashes(df, radius).collect()}
+        assert got == {frozenset((a, b)) for a in halves for b in halves if a < b and bin(halves[a] ^ halves[b]).count("1") <= radius}
+
+
+def test_near_vectors_read_all_numbers(spark, tmp_path):
+    from weftline.queries import QUERIES
+    same = [float(i % 2) for i in range(30)]
+    rows = [(1, 0, same + [float(i) for i in range(34)]), (2, 0, same + [float(-i) for i in range(34)])]  # differ after place 25 only
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["near_vector_pairs"](spark, str(tmp_path)).count() == 0
+    assert {r.anchor for r in QUERIES["vector_groups"](spark, str(tmp_path)).collect()}.__len__() == 2
+    assert {r.name for r in QUERIES["softmax_of_all"](spark, str(tmp_path)).collect()} == {"d63", "d1"}
+
+
 def test_merged_groups():
     assert P.merged_groups(["a", "b", "c", "d"], [("a", "c"), ("c", "d")]) == {"a": "a", "b": "b", "c": "a", "d": "a"}
 

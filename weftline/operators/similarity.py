@@ -28,6 +28,24 @@ def near_hashes(df: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFram
     return near.where(F.col("distance") <= radius).select("name", "a", "b", "distance").distinct()
 
 
+def near_wide_hashes(df: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(name, a_hi, a_lo, b_hi, b_lo, distance): ``near_hashes`` of 128 bits in two halves, ``hash_hi`` and ``hash_lo``.
+
+    The halves share the radius + 1 bands, so one band of one half is equal.
+    """
+    h = df.where("hash_hi <> 0 OR hash_lo <> 0").select("name", "hash_hi", "hash_lo").distinct()
+    bands = []
+    for half, n in (("hash_hi", (radius + 2) // 2), ("hash_lo", (radius + 1) // 2)):
+        width = -(-64 // n) if n else 64
+        mask = (1 << width) - 1 if width < 64 else -1
+        bands += [F.struct(F.lit(f"{half}{i}").alias("band"), F.shiftrightunsigned(half, i * width).bitwiseAND(F.lit(mask).cast("bigint")).alias("part")) for i in range(n)]
+    cut = h.select("name", "hash_hi", "hash_lo", F.inline(F.array(*bands)))
+    a, b = (cut.select("name", "band", "part", F.col("hash_hi").alias(f"{x}_hi"), F.col("hash_lo").alias(f"{x}_lo")) for x in "ab")
+    near = a.join(b, ["name", "band", "part"]).where("a_hi < b_hi OR (a_hi = b_hi AND a_lo < b_lo)")
+    near = near.withColumn("distance", F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo"))))
+    return near.where(F.col("distance") <= radius).select("name", "a_hi", "a_lo", "b_hi", "b_lo", "distance").distinct()
+
+
 def anchors(hashes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(name, hash, anchor): each hash with the hash of the group that takes it, in order of ``first``.
 

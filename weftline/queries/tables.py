@@ -646,3 +646,41 @@ def whole_job(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"pixel_features": pixel_features, "whole_job": whole_job}
+
+
+def _vector_hashes(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("label").cast("string").alias("name"), "vec_id", H.difference_hash(F.transform("embedding", lambda x: x.cast("double"))).alias("hash"))
+
+
+def near_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct hashes of all 64 numbers (63 bits) of one label that differ in six bits or less."""
+    return H.near_hashes(_vector_hashes(spark, d).select("name", "hash"))
+
+
+def vector_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector with the hash, of all its numbers, of the group that takes it."""
+    h = materialize(_vector_hashes(spark, d), "hashes")
+    firsts = materialize(h.where("hash <> 0").groupBy("name", "hash").agg(F.min("vec_id").alias("first")), "hash-firsts")
+    return h.join(H.anchors(firsts, H.near_hashes(h.select("name", "hash"))), ["name", "hash"]).select("vec_id", "name", "anchor")
+
+
+def near_picture_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct 128-bit hashes of the vectors' pictures of one label that differ in six bits or less."""
+    names = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("name"))
+    return H.near_wide_hashes(pixel_features(spark, d).select("id", "hash_hi", "hash_lo").join(names, "id"))
+
+
+def softmax_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest of all numbers of each vector as a share of their exponentials."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    names = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.concat(F.lit("d"), i.cast("string")))
+    w = e.select("vec_id", A.winner(names, A.softmax(F.col("v"))).alias("w"))
+    return w.select("vec_id", "w.name", F.round("w.score", 6).alias("share"), (F.col("w.score") >= 0.25).alias("influential"))
+
+
+QUERIES |= {f.__name__: f for f in (near_vector_pairs, vector_groups, near_picture_pairs, softmax_of_all)}
+ORACLE |= {
+    "near_vector_pairs": ORACLE["near_hash_pairs"].replace("range(0, 24)", "range(0, 63)").replace("<= 4", "<= 6"),
+    "softmax_of_all": ORACLE["softmax_winners"].replace("embedding[1:10]", "embedding"),
+}
