@@ -80,3 +80,20 @@ def test_forward_backward_agrees_with_enumeration():
     share = 1 / (1 + pow(2.718281828459045, one - two))
     assert abs(into.get("v\0c\0a") - share) < 1e-6 and abs(into.get("v\0c\0a/b") - (1 - share)) < 1e-6
     assert P.best_cuts(model, "c", f) == (["a", "b"] if two > one else ["a/b"])
+
+
+def test_sketch_follows_the_keys(spark):
+    entries = spark.range(60_000).selectExpr("'x' AS col", "concat('v', translate(lpad(id, 6, '0'), '0123456789', 'abcdefghij')) AS entry")
+    table = P.learn(entries)
+    sketch = P.Sketch(table)
+    unseen = ["w" + "".join(chr(97 + int(c)) for c in f"{i:06}") for i in range(20_000)]
+    assert sum(sketch.get(f"v\0x\0{v}") > 0 for v in unseen) <= 0.002 * len(unseen)
+
+
+def test_cuts_do_not_depend_on_other_columns(spark):
+    rows, _ = corpus(2)
+    alone = run(spark, rows)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    others = [(100_000 + i, f"other {i % 30}", [f"w{i:06}".translate(letters)]) for i in range(60_000)]
+    got = run(spark, rows + others)
+    assert {k: v for k, v in got.items() if k < 100_000} == alone

@@ -7,15 +7,17 @@ full dates being atomic. The model has, for each column (property), the frequenc
 how often each kind of mark cuts; it is learned from all fields of the column by forward-backward counts and
 renewed in a few rounds; Viterbi then takes the likeliest cuts.
 
-Frequencies stand in a count-min sketch of fixed size, so the model that is sent to the tasks has the same
-size whatever the data's, and covers every value. Each round reads the distinct ambiguous fields only.
+Frequencies stand in a count-min sketch whose width follows the distinct keys that can be asked for, so that a
+value never seen gets a false count in about one of 5,000 cases, however many others there are; the model that is
+sent to the tasks grows with them. Each round reads the distinct ambiguous fields only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,9 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.session import materialize
 
-#: Buckets of one sketch row; rows of the sketch.
+#: Least buckets of one sketch row; rows of the sketch; buckets of a row for each distinct key.
 WIDTH = 1 << 18
-DEPTH = 2
+DEPTH = 4
+ROOM = 8
 #: Undecided marks that one value may hold.
 JOINED = 12
 
@@ -139,15 +142,15 @@ def _kind(mark: str, left: str, right: str) -> str:
 
 
 class Sketch:
-    """Count-min sketch of fixed size over text keys."""
+    """Count-min sketch over text keys; its rows' places are independent (rows of one CRC with other seeds are not:
+    keys of one length that meet in one row meet in all)."""
 
     def __init__(self, table: np.ndarray | None = None):
         self.table = np.zeros((DEPTH, WIDTH)) if table is None else table
+        self.width = self.table.shape[1]
 
-    @staticmethod
-    def at(key: str) -> list[int]:
-        raw = key.encode()
-        return [zlib.crc32(raw, 0x9E3779B9 * d & 0xFFFFFFFF) % WIDTH for d in range(DEPTH)]
+    def at(self, key: str) -> list[int]:
+        return [x % self.width for x in struct.unpack(f"<{DEPTH}Q", hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8 * DEPTH).digest())]
 
     def add(self, key: str, n: float) -> None:
         for d, i in enumerate(self.at(key)):
@@ -275,25 +278,49 @@ def _add_value(into: Sketch, col: str, v: str, n: float) -> None:
     into.add(f"n\0{col}", n)
 
 
+def _keys(col: str, f: list[str]) -> Iterator[str]:
+    """Every key of values and shapes that a field's segments can have."""
+    n = len(f) // 2 + 1
+    for end in range(n):
+        for start in range(end, max(-1, end - JOINED - 1), -1):
+            if start < end and (is_quoted(f[2 * start]) or is_quoted(f[2 * end])):
+                break
+            key = unquoted("".join(f[2 * start : 2 * end + 1])).casefold()
+            masked, _, form, _ = shapes(key)
+            yield from (f"v\0{col}\0{key}", f"d\0{col}\0{masked}", f"s\0{col}\0{form}")
+
+
+def _width(distinct: DataFrame) -> int:
+    """Buckets of a sketch row for all keys of the fields."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = {k for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True) for k in _keys(col, list(atoms))}
+            yield pd.DataFrame({"h": [int.from_bytes(hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for k in own]}, dtype="int64")
+
+    keys = distinct.select("col", "atoms").mapInPandas(hashes, "h long").agg(F.approx_count_distinct("h")).first()[0]
+    return max(WIDTH, 1 << max(0, ROOM * keys - 1).bit_length())
+
+
 def column_key(name: Column) -> Column:
     """Columns are the same if their names' letters and digits are."""
     return F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "[^\\p{L}\\p{Nd}]+", ""))
 
 
-def _summed(df: DataFrame, fn, args: str) -> np.ndarray:
-    """Sum of the sketches that ``fn`` makes of the partitions; at most DEPTH * WIDTH numbers reach the driver."""
+def _summed(df: DataFrame, fn, args: str, width: int) -> np.ndarray:
+    """Sum of the sketches that ``fn`` makes of the partitions; at most DEPTH * width numbers reach the driver."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Sketch()
+        own = Sketch(np.zeros((DEPTH, width)))
         for pdf in batches:
             fn(pdf, own)
         at = np.flatnonzero(own.table)
         yield pd.DataFrame({"at": at, "n": own.table.ravel()[at]})
 
     cells = df.selectExpr(*args.split()).mapInPandas(part, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(DEPTH * WIDTH)
+    table = np.zeros(DEPTH * width)
     table[cells["at"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    return table.reshape(DEPTH, WIDTH)
+    return table.reshape(DEPTH, width)
 
 
 def learn(entries: DataFrame) -> np.ndarray:
@@ -317,7 +344,8 @@ def learn(entries: DataFrame) -> np.ndarray:
         for col, atoms, n in zip(pdf["col"], pdf["atoms"], pdf["n"], strict=True):
             _add_value(own, col, atoms[0], n)
 
-    base = _summed(distinct.where("sure"), count_sure, "col atoms n")
+    width = _width(distinct)
+    base = _summed(distinct.where("sure"), count_sure, "col atoms n", width)
     table = base
     for weight in ROUND_WEIGHTS:
         held = sc.broadcast(table)
@@ -327,7 +355,7 @@ def learn(entries: DataFrame) -> np.ndarray:
             for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True):  # once each: a repeated field is no further evidence
                 expected(model, col, list(atoms), 1.0, own)
 
-        table = base + _summed(distinct.where("NOT sure"), count_expected, "col atoms n")
+        table = base + _summed(distinct.where("NOT sure"), count_expected, "col atoms n", width)
     return table
 
 
