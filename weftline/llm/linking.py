@@ -1,8 +1,9 @@
 """Matching entities across sources without keys: images of a job to the families its tokens describe.
 
-Method: a deterministic cascade of rules. Each pass is an exact join within the job on a weaker combination of
-attributes; it resolves the records that it leads to exactly one family and takes them out (anti-join) before
-the next pass. A match's confidence is its rule's precision on the records whose family is known, smoothed.
+Method: a deterministic cascade of rules. Each pass is an exact join within the job on weaker combinations of
+attributes; it resolves the records that a rule leads to exactly one family (the first such rule counts) and takes
+them out (anti-join) before the next pass makes its keys. A match's confidence is its rule's precision, smoothed, on
+the records whose family is known; those go through all passes, so that every rule is measured that applies to any.
 
 Attributes are read from a file name with its folders and from the image summary: family numbers, article
 numbers (EAN), references in the shapes that the families' own references have, their leading part, words
@@ -11,7 +12,6 @@ numbers (EAN), references in the shapes that the families' own references have,
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 import uuid
@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.session import materialize, work_root
 
@@ -37,8 +37,8 @@ PRIOR = (1.0, 1.0)
 #: Properties of families that rules read.
 PROPERTIES = ["refco", "ean", "label", "color", "producttype"]
 
-KEY_SCHEMA = "rule int, job string, key string, id long, known string, colors array<string>, types array<string>"
-INDEX_SCHEMA = "rule int, job string, key string, family string, colors array<string>, types array<string>"
+IMAGE_ATTRIBUTES = ["numbers", "eans", "refs", "near", "glued", "stems", "names", "joined", "colors", "types"]
+FAMILY_ATTRIBUTES = ["family", "eans", "refs", "near", "glued", "stems", "names", "colors", "types"]
 SHAPE_SCHEMA = "kind string, s string"
 
 
@@ -106,19 +106,19 @@ class Lexicon:
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a file name: cut at marks and digits, at capitals, and with digits read as letters."""
-    out = []
+    """Words of a file name, cut at marks, digits and capitals; those with digits read as letters come first, so
+    that the words of one term stay side by side."""
+    read, plain = [], []
     for token in re.split(r"[^\w]|_", text):
         if not token:
             continue
-        stem = re.sub(r"(?<=[A-Za-z])0\d$", "", token)  # a counter at the end
-        if re.fullmatch(r"[A-Za-z0134578]+", stem) and re.search(r"[A-Za-z]\d|\d[A-Za-z]", stem) and len(re.findall("[A-Za-z]", stem)) > 1:
-            spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z0-9])", " ", stem) if re.search("[a-z]", stem) else stem
-            out += [(w, True) for w in spaced.translate(LEET).split()]
+        for stem in dict.fromkeys([re.sub(r"(?<=[A-Za-z])0\d$", "", token), re.sub(r"(?i)(?:det|f)\d$|0\d$", "", token)]):  # without a view or counter
+            if re.fullmatch(r"[A-Za-z0134578]+", stem) and re.search(r"[A-Za-z]\d|\d[A-Za-z]", stem) and len(re.findall("[A-Za-z]", stem)) > 1:
+                spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z0-9])", " ", stem) if re.search("[a-z]", stem) else stem
+                read += spaced.translate(LEET).split()
         for part in re.findall(r"[^\W\d_]+", token):
-            spaced = re.sub(r"(?<=[^\W\dA-Z_])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][^\W\dA-Z_])", " ", part)
-            out += [(w, False) for w in spaced.split()]
-    return [compact(w) for w, _ in out if compact(w)]
+            plain += re.sub(r"(?<=[^\W\dA-Z_])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][^\W\dA-Z_])", " ", part).split()
+    return [compact(w) for w in (*read, *plain) if compact(w)]
 
 
 class Shapes:
@@ -146,9 +146,10 @@ class Shapes:
                 last = ""
         return "".join(chars), [*runs, True], [*words, True]
 
-    def windows(self, text: str, shapes: list[str], taken: set[int] | None = None) -> list[tuple[int, str]]:
+    def windows(self, text: str, shapes: list[str], taken: set[int] | None = None, within: list[tuple[int, int]] = ()) -> list[tuple[int, str]]:
         """Places and texts of the given shapes. Digits at either end must not go on beyond it, letters at the
-        end only as a new word or a view letter; letters before a reference may be glued to it."""
+        end only as a new word or a view letter; letters before a reference may be glued to it. Texts that touch a
+        ``taken`` place or lie in one of the stretches ``within`` are left out."""
         s, runs, words = self._runs(text)
         form, out = shape(s), []
         for want in shapes:
@@ -156,7 +157,7 @@ class Shapes:
             while i >= 0:
                 j = i + len(want)
                 ends = runs[j] if want[-1] == "0" else words[j] or (s[j] in VIEWS and words[j + 1])
-                if (want[0] == "a" or runs[i]) and ends and not (taken and taken & set(range(i, j))):
+                if (want[0] == "a" or runs[i]) and ends and not (taken and taken & set(range(i, j))) and not any(a <= i and j <= b for a, b in within):
                     out.append((i, s[i:j]))
                 i = form.find(want, i + 1)
         return out
@@ -180,16 +181,21 @@ def image_keys(name: str, summary: str, lex: Lexicon, shapes: Shapes) -> dict:
                 near.add("e" + run)
             if len(run) in (10, 15):
                 glued.add(run[:-2])
+            bare = run[1:-2] if run[0] == "0" else run[:-2]  # before a counter
+            if len(bare) == 13:
+                glued.add(bare)
+            elif len(bare) == 12:
+                near.add("e" + bare)
         full = shapes.windows(text, shapes.full)
         refs |= {r for _, r in full}
         taken = {k for i, r in full for k in range(i, i + len(r))}
         glued |= {r[:-2] for _, r in shapes.windows(text, [x + "00" for x in shapes.full])}
         less = shapes.windows(text, shapes.near, taken)
         near |= {"r" + r for _, r in less}
-        taken |= {k for i, r in less for k in range(i, i + len(r)) if len(r) > 6}
+        whole = [(i, i + len(r)) for i, r in [*full, *less] if len(r) > 6]
         camera = {m.start(1) for m in re.finditer(r"(?:^|[^a-z])(?:" + "|".join(sorted(CAMERA, key=len, reverse=True)) + r")\s*(\d{3,})", low)}
         squeezed = {sum(c.isalnum() for c in low[:k]) for k in camera}
-        stems |= {r for i, r in shapes.windows(text, shapes.stem, taken) if i not in squeezed}
+        stems |= {r for i, r in shapes.windows(text, shapes.stem, within=whole) if i not in squeezed}
         words += words_of(text)
     colors, types, rest = lex.read(words)
     for field, value in re.findall(r"(\w+)=([^;]+)", summary or ""):
@@ -200,9 +206,8 @@ def image_keys(name: str, summary: str, lex: Lexicon, shapes: Shapes) -> dict:
             types = types or {hit[1]}
     names = sorted({w for w in rest if len(w) > 3 and w not in CAMERA})
     joined = sorted({a + b for a, b in zip(rest, rest[1:], strict=False)})
-    damaged = sorted({v for w in names if len(w) >= LEAST_NAME for v in [w, *shortened(w)]})
     return {"numbers": sorted(numbers), "eans": sorted(eans), "refs": sorted(refs), "near": sorted(near), "glued": sorted(glued), "stems": sorted(stems),
-            "names": names, "joined": joined, "damaged": damaged, "colors": sorted(colors), "types": sorted(types)}
+            "names": names, "joined": joined, "colors": sorted(colors), "types": sorted(types)}
 
 
 def reference_forms(tokens: list[str]) -> tuple[set[str], set[str]]:
@@ -247,40 +252,94 @@ def family_keys(tokens: list[tuple[str, str]], lex: Lexicon) -> dict:
         colors = {lex.of[w][1] for w in whole} | {lex.of[w][1] for w in ordered if lex.of.get(w, ("",))[0] == "color" and not any(w in x for x in whole)}
     types = {lex.of[c][1] for t in by.get("producttype", []) if lex.of.get(c := compact(t), ("",))[0] == "producttype"}
     names = {c for t in by.get("label", []) if len(c := compact(t)) > 3}
-    near = {"r" + v for r in full for v in shortened(r)} | {"e" + v for e in eans for v in shortened(e)}
-    damaged = {v for w in names if len(w) >= LEAST_NAME for v in [w, *shortened(w)]}
-    return {"eans": sorted(eans), "refs": sorted(full), "near": sorted(near), "glued": sorted(full | eans), "stems": sorted(stems), "names": sorted(names), "damaged": sorted(damaged), "colors": sorted(colors), "types": sorted(types)}
-
-
-#: The cascade: name, attribute of the image, attribute of the family, what stands beside it in the key, and
-#: whether colours and types that are not in the key must at least not contradict each other.
-RULES: list[tuple[str, str, str, tuple[str, ...], bool]] = [
-    ("family number", "numbers", "family", (), False),
-    ("article number", "eans", "eans", (), False),
-    ("reference", "refs", "refs", (), False),
-    ("name, colour and type", "names", "names", ("colors", "types"), False),
-    ("name and colour", "names", "names", ("colors",), True),
-    ("joined name and colour", "joined", "names", ("colors",), True),
-    ("damaged name, colour and type", "damaged", "damaged", ("colors", "types"), False),
-    ("damaged name and colour", "damaged", "damaged", ("colors",), True),
-    ("leading reference, colour and type", "stems", "stems", ("colors", "types"), False),
-    ("leading reference and colour", "stems", "stems", ("colors",), True),
-    ("name and type", "names", "names", ("types",), True),
-    ("name", "names", "names", (), True),
-    ("damaged name", "damaged", "damaged", (), True),
-    ("leading reference and type", "stems", "stems", ("types",), True),
-    ("leading reference", "stems", "stems", (), True),
-    ("reference with a counter", "glued", "glued", (), False),
-    ("family number with a counter", "glued", "family", (), False),
-    ("damaged reference", "near", "near", (), True),
+    whole = {"r" + r for r in full} | {"e" + e for e in eans}
+    return {"eans": sorted(eans), "refs": sorted(full), "near": sorted(whole), "glued": sorted(full | eans), "stems": sorted(stems), "names": sorted(names), "colors": sorted(colors), "types": sorted(types)}
+
+
+#: The cascade's passes, each with its rules in order: name, attribute of the image, attribute of the family, the
+#: forms in which they may differ, what stands beside it in the key, and whether colours and types that are not in
+#: the key must at least not contradict each other.
+PASSES: list[list[tuple[str, str, str, str, tuple[str, ...], bool]]] = [
+    [
+        ("family number", "numbers", "family", "same", (), False),
+        ("article number", "eans", "eans", "same", (), False),
+        ("reference", "refs", "refs", "same", (), False),
+        ("name, colour and type", "names", "names", "same", ("colors", "types"), False),
+        ("name and colour", "names", "names", "same", ("colors",), True),
+        ("joined name and colour", "joined", "names", "same", ("colors",), True),
+    ],
+    [
+        ("damaged name, colour and type", "names", "names", "shorter", ("colors", "types"), False),
+        ("damaged name and colour", "names", "names", "shorter", ("colors",), True),
+        ("leading reference, colour and type", "stems", "stems", "same", ("colors", "types"), False),
+        ("leading reference and colour", "stems", "stems", "same", ("colors",), True),
+        ("name and type", "names", "names", "same", ("types",), True),
+        ("name", "names", "names", "same", (), True),
+    ],
+    [
+        ("damaged name", "names", "names", "shorter", (), True),
+        ("leading reference and type", "stems", "stems", "same", ("types",), True),
+        ("leading reference", "stems", "stems", "same", (), True),
+        ("reference with a counter", "glued", "glued", "same", (), False),
+        ("family number with a counter", "glued", "family", "same", (), False),
+        ("damaged reference", "near", "near", "lost", (), True),
+        ("changed reference, colour and type", "refs", "refs", "changed", ("colors", "types"), False),
+        ("changed reference and colour", "refs", "refs", "changed", ("colors",), True),
+    ],
 ]
+RULES = [rule for rules in PASSES for rule in rules]
 
 
-def rule_keys(own: dict, side: int) -> Iterator[tuple[int, str]]:
-    """(rule, key) of an image (side 1) or a family (side 2): its attribute with each value that stands beside it."""
-    for n, rule in enumerate(RULES):
-        for combo in itertools.product(own[rule[side]], *(own[x] for x in rule[3])):
-            yield n, "|".join(combo)
+def _without(s: Column, mark: str = "") -> Column:
+    """The text's variants with one character less, or with ``mark`` for it."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit(mark), F.substring(s, i + 1, F.length(s))))
+
+
+def _swapped(s: Column) -> Column:
+    """For each two neighbours, the text with both in alphabetical order behind a mark: equal for a text and for
+    the same with these two exchanged."""
+    at = lambda i: F.substring(s, i, F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit("~"), F.least(at(i), at(i + 1)), F.greatest(at(i), at(i + 1)), F.substring(s, i + 2, F.length(s))))
+    return F.when(F.length(s) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def forms(texts: Column, how: str, of_family: bool) -> Column:
+    """The keys under which texts meet that are the same, differ by edits that deleting one character on either
+    side explains (shorter), lack one character in the image (lost), or have one character changed or two
+    neighbours exchanged (changed)."""
+    if how == "shorter":
+        texts = F.filter(texts, lambda s: F.length(s) >= LEAST_NAME)
+        return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.concat(F.array(s), _without(s)))))
+    if how == "lost" and of_family:  # the first character tells the kind
+        return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.transform(_without(F.substring(s, F.lit(2), F.length(s))), lambda v: F.concat(F.substring(s, 1, 1), v)))))
+    if how == "changed":
+        return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.concat(_without(s, "*"), _swapped(s)))))
+    return texts
+
+
+def _beside(keys: Column, values: Column) -> Column:
+    return F.flatten(F.transform(keys, lambda k: F.transform(values, lambda v: F.concat_ws("|", k, v))))
+
+
+def _with_rule(keys: Column, n: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(n).alias("rule"), k.alias("key")))
+
+
+def rule_keys(own: DataFrame, first: int, rules: list[tuple], of_family: bool) -> DataFrame:
+    """``own`` with one row per rule and key: an attribute's forms with each value that stands beside them. A key
+    is null, and its row left out, where one of them is missing."""
+    side, arrays = (2 if of_family else 1), []
+    made: dict[tuple[str, str], str] = {}
+    for rule in rules:  # forms that several rules share are made once
+        if (what := (rule[side], rule[3])) not in made:
+            made[what] = f"_{rule[side]}_{rule[3]}"
+    own = own.select("*", *[forms(F.col(attr), how, of_family).alias(name) for (attr, how), name in made.items()])
+    for n, rule in enumerate(rules, first):
+        keys = F.col(made[rule[side], rule[3]])
+        for beside in rule[4]:
+            keys = _beside(keys, F.col(beside))
+        arrays.append(_with_rule(keys, n))
+    return own.select("*", F.inline(F.concat(*arrays)))
 
 
 def gathered_tokens(tokens: DataFrame) -> DataFrame:
@@ -295,37 +354,31 @@ def gathered_tokens(tokens: DataFrame) -> DataFrame:
     return slim.groupBy("job", "family").agg(F.sort_array(F.collect_list(F.struct("at", "prop", "token"))).alias("own"))
 
 
-def family_rows(gathered: DataFrame, lex_rows: list[tuple[str, str, str]]) -> DataFrame:
-    """One row per rule, key and family."""
+def family_attributes(gathered: DataFrame, lex_rows: list[tuple[str, str, str]]) -> DataFrame:
+    """(job, family, attributes), one row per family of a job."""
     held = gathered.sparkSession.sparkContext.broadcast(lex_rows)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(held.value)
         for pdf in batches:
-            rows = []
-            for j, f, tokens in zip(pdf["job"], pdf["family"], pdf["own"], strict=True):
-                own = family_keys([(x["prop"], x["token"]) for x in tokens], lex) | {"family": [f]}
-                rows += [(n, j, k, f, own["colors"], own["types"]) for n, k in rule_keys(own, 2)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
+            rows = [family_keys([(x["prop"], x["token"]) for x in tokens], lex) | {"job": j, "family": [f]} for j, f, tokens in zip(pdf["job"], pdf["family"], pdf["own"], strict=True)]
+            yield pd.DataFrame(rows, columns=["job", *FAMILY_ATTRIBUTES])
 
-    return gathered.mapInPandas(keys, INDEX_SCHEMA)
+    return gathered.mapInPandas(read, "job string, " + ", ".join(f"{a} array<string>" for a in FAMILY_ATTRIBUTES))
 
 
-def image_rows(evidence: DataFrame, lex_rows: list[tuple[str, str, str]], shape_rows: list[tuple[str, str]]) -> DataFrame:
-    """One row per rule, key and image."""
+def image_attributes(evidence: DataFrame, lex_rows: list[tuple[str, str, str]], shape_rows: list[tuple[str, str]]) -> DataFrame:
+    """(id, job, known, attributes), one row per image."""
     held = evidence.sparkSession.sparkContext.broadcast((lex_rows, shape_rows))
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, shapes = Lexicon(held.value[0]), Shapes(held.value[1])
         for pdf in batches:
-            rows = []
-            for i, j, known, name, summary in zip(pdf["evidence_id"], pdf["job_id"], pdf["final_family_id"], pdf["source_filename"], pdf["image_ngp_summary"], strict=True):
-                own = image_keys(name, summary, lex, shapes)
-                rows += [(n, j, k, i, known, own["colors"], own["types"]) for n, k in rule_keys(own, 1)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in KEY_SCHEMA.split(", ")])
+            rows = [image_keys(name, summary, lex, shapes) for name, summary in zip(pdf["source_filename"], pdf["image_ngp_summary"], strict=True)]
+            yield pd.DataFrame(rows, columns=IMAGE_ATTRIBUTES).assign(id=pdf["evidence_id"], job=pdf["job_id"], known=pdf["final_family_id"])
 
-    slim = evidence.where("evidence_id IS NOT NULL AND job_id IS NOT NULL").select("evidence_id", "job_id", "final_family_id", "source_filename", "image_ngp_summary")
-    return slim.mapInPandas(keys, KEY_SCHEMA)
+    slim = evidence.where("evidence_id IS NOT NULL AND job_id IS NOT NULL").select(F.col("evidence_id").cast("long").alias("evidence_id"), "job_id", "final_family_id", "source_filename", "image_ngp_summary")
+    return slim.mapInPandas(read, ", ".join(f"{a} array<string>" for a in IMAGE_ATTRIBUTES) + ", id long, job string, known string")
 
 
 def reference_shapes(gathered: DataFrame) -> DataFrame:
@@ -342,22 +395,32 @@ def reference_shapes(gathered: DataFrame) -> DataFrame:
     return gathered.mapInPandas(shapes, SHAPE_SCHEMA).where("length(s) > 3").distinct()
 
 
-def cascade(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, known, family, rule): what each pass resolved, one row per resolved image.
+def cascade(images: DataFrame, families: DataFrame) -> DataFrame:
+    """(id, known, family, rule): for images without a family one row, of the first rule that leads to exactly one;
+    for the others one row of each rule that does, by which the rules' precision is taken.
 
-    ``index`` has each key once, with the least and greatest family that holds it. A pass is an exact join of
-    one rule's keys; each writes what it resolved into one table that the next pass's anti-join reads.
+    A pass is an exact join of its rules' keys with an index that has each key once, with the least and greatest
+    family that holds it: a key that many images share is a hot key of one side only, which Spark's adaptive
+    execution splits. Images that a pass resolved are taken out before the next one makes its keys.
     """
-    spark = keys.sparkSession
+    spark = images.sparkSession
     place = f"{work_root(spark)}/link-found-{uuid.uuid4().hex[:8]}"
-    schema = "id long, known string, family string, rule int"
-    spark.createDataFrame([], schema).write.parquet(f"{place}/pass=-1")
-    for n, rule in enumerate(RULES):
-        done = spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).select("id")
-        pairs = keys.where(F.col("rule") == n).join(index.where(F.col("rule") == n).drop("rule"), ["job", "key"])
-        pairs = pairs.join(done, "id", "left_anti")
-        found = pairs.groupBy("id").agg(F.min("known").alias("known"), F.min("lo").alias("family"), F.max("hi").alias("other"), F.bool_and(F.expr(_NO_CLASH) if rule[4] else F.lit(True)).alias("fits"))
-        found.where("family = other AND fits").select("id", "known", "family", F.lit(n).alias("rule")).write.parquet(f"{place}/pass={n}")
+    schema, first = "id long, known string, family string, rule int", 0
+    for n, rules in enumerate(PASSES):
+        left = images
+        if n:
+            done = spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).where("known IS NULL").select("id")
+            left = images.join(done, "id", "left_anti")
+        index = rule_keys(families, first, rules, True).groupBy("job", "rule", "key").agg(
+            F.min(F.element_at("family", 1)).alias("lo"), F.max(F.element_at("family", 1)).alias("hi"), F.min("colors").alias("f_colors"), F.min("types").alias("f_types"))
+        strict = [k for k, rule in enumerate(rules, first) if rule[5]]
+        pairs = rule_keys(left, first, rules, False).select("id", "known", "job", "rule", "key", "colors", "types").join(index, ["job", "rule", "key"])
+        found = pairs.groupBy("id", "rule").agg(F.min("known").alias("known"), F.min("lo").alias("family"), F.max("hi").alias("other"), F.bool_and(~F.col("rule").isin(strict) | F.expr(_NO_CLASH)).alias("fits"))
+        found = found.where("family = other AND fits")
+        best = found.groupBy("id").agg(F.min("known").alias("known"), F.min(F.struct("rule", "family")).alias("first"), F.collect_list(F.struct("rule", "family")).alias("all"))
+        best = best.select("id", "known", F.inline(F.expr("if(known IS NULL, array(first), all)")))
+        best.select("id", "known", "family", "rule").write.parquet(f"{place}/pass={n}")
+        first += len(rules)
     return spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).drop("pass")
 
 
@@ -375,11 +438,9 @@ def link(evidence: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
     lex_rows = [(r[0], r[1], r[2]) for r in terms.where("term_domain IN ('color', 'producttype')").select("term_domain", "canonical_id", "term").collect()]
     gathered = materialize(gathered_tokens(tokens), "link-families")
     shape_rows = [(r.kind, r.s) for r in reference_shapes(gathered).collect()]
-    index = family_rows(gathered, lex_rows).groupBy("rule", "job", "key").agg(
-        F.min("family").alias("lo"), F.max("family").alias("hi"), F.min("colors").alias("f_colors"), F.min("types").alias("f_types"))
-    # sorted by rule, so that a pass reads its own row groups only
-    index, keys = (materialize(df.sortWithinPartitions("rule"), name) for df, name in ((index, "link-index"), (image_rows(evidence, lex_rows, shape_rows), "link-keys")))
-    found = cascade(keys, index)
+    families = materialize(family_attributes(gathered, lex_rows), "link-attributes")
+    images = materialize(image_attributes(evidence, lex_rows, shape_rows), "link-images")
+    found = cascade(images, families)
     right, wrong = PRIOR
     precision = found.where("known IS NOT NULL").groupBy("rule").agg(((F.count_if(F.col("known") == F.col("family")) + right) / (F.count("*") + right + wrong)).alias("confidence"))
     names = F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("rule") + 1)
