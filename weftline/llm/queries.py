@@ -129,12 +129,18 @@ def _best(table_name: str, key: str, ident: str, time: str, field: str, value: s
 
 _FIELDS = ("family_id", "color_name", "product_type", "caption")
 _HELD = "CASE WHEN {v} <> '' AND lower({v}) NOT IN " + _MISSING + " THEN {v} END"
-_SURVIVORS = "WITH m AS (SELECT CAST(group_id AS VARCHAR) AS group_key, member_id, coalesce(trust_rank, 2147483647) AS rank, delivered_at, " + ", ".join(
-    _HELD.format(v=f"regexp_replace({f}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')") + f" AS {f}" for f in _FIELDS) + """ FROM dedup_members m LEFT JOIN source_trust t ON lower(trim(m.source_kind)) = t.source_kind
+_COUNT = "(" + " + ".join(f"({f} IS NOT NULL)::INT" for f in _FIELDS) + ")"
+#: Layers by peeling: a record's layer is the length of the longest chain of records that dominate one another down to it.
+_SURVIVORS = "WITH RECURSIVE m AS (SELECT CAST(group_id AS VARCHAR) AS group_key, member_id, coalesce(trust_rank, 2147483647) AS rank, coalesce(delivered_at, TIMESTAMP '0001-01-01') AS t, " + ", ".join(
+    _HELD.format(v=f"regexp_replace({f}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')") + f" AS {f}" for f in _FIELDS) + f""" FROM dedup_members m LEFT JOIN source_trust t ON lower(trim(m.source_kind)) = t.source_kind
   WHERE group_id IN (SELECT group_id FROM dedup_members GROUP BY 1 HAVING count(*) > 1)),
-s AS (SELECT group_key, member_id AS survivor_id FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY rank, delivered_at DESC NULLS LAST, """ + " + ".join(f"({f} IS NOT NULL)::INT" for f in _FIELDS) + """ DESC, member_id) AS rn FROM m) WHERE rn = 1)""" + "".join(
-    f", f_{f} AS (SELECT group_key, {f}, member_id AS i_{f} FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY rank, delivered_at DESC NULLS LAST, member_id) AS rn FROM m WHERE {f} IS NOT NULL) WHERE rn = 1)" for f in _FIELDS) + \
-    " SELECT group_key, survivor_id, " + ", ".join(_FIELDS) + ", " + " + ".join(f"coalesce((i_{f} <> survivor_id)::INT, 0)" for f in _FIELDS) + " AS filled FROM s" + "".join(f" LEFT JOIN f_{f} USING (group_key)" for f in _FIELDS)
+r AS (SELECT *, {_COUNT} AS n FROM m QUALIFY row_number() OVER (PARTITION BY group_key, rank, {', '.join(f + ' IS NULL' for f in _FIELDS)} ORDER BY t DESC, member_id) = 1),
+d AS (SELECT x.member_id AS id, y.member_id AS over FROM r x JOIN r y ON x.group_key = y.group_key AND y.rank <= x.rank AND y.t >= x.t AND y.n >= x.n AND (y.rank < x.rank OR y.t > x.t OR y.n > x.n)),
+l AS (SELECT member_id AS id, 1 AS layer FROM r UNION SELECT d.id, l.layer + 1 FROM l JOIN d ON d.over = l.id),
+k AS (SELECT r.*, layer FROM r JOIN (SELECT id, max(layer) AS layer FROM l GROUP BY 1) ON id = member_id),
+s AS (SELECT group_key, member_id AS survivor_id, """ + ", ".join(f"{f} AS o_{f}" for f in _FIELDS) + """ FROM k QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY layer, rank, t DESC, n DESC, member_id) = 1)""" + "".join(
+    f", f_{f} AS (SELECT group_key, {f} FROM k WHERE {f} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY layer, rank, t DESC, n DESC, member_id) = 1)" for f in _FIELDS) + \
+    " SELECT group_key, survivor_id, " + ", ".join(_FIELDS) + ", " + " + ".join(f"(o_{f} IS NULL AND {f} IS NOT NULL)::INT" for f in _FIELDS) + " AS filled FROM s" + "".join(f" LEFT JOIN f_{f} USING (group_key)" for f in _FIELDS)
 
 ORACLE = {
     "p5_survivors": _SURVIVORS,

@@ -1,14 +1,18 @@
-"""Best representative of each duplicate group, field by field.
+"""Best representative of each duplicate group: one value per field, or one record filled from the others.
 
-Method: skyline selection. A record competes for a field with three qualities: it holds the field
-(completeness), its recency and the trust in its source. Records that another record beats in one quality
-and equals in the rest are dominated. Among the undominated a lexicographic policy decides; where they lack
-the field the next dominance layer fills it.
+Method: skyline selection. Records compete with three qualities: completeness, recency and the trust in their
+source. A record that another one beats in one quality and equals in the rest is dominated. The undominated ones
+are the first layer; without them, the next undominated ones are the second, and so on. In a layer a lexicographic
+policy decides: trust, recency, completeness, smallest id.
 
-A group may be of any size. Trust has few ranks (those of the trust table and one for all others), so each
-group is first reduced, with map-side combining, to the policy's best holder per field and rank. Within one
-rank that holder is undominated, and whatever it beats can't be the survivor; so the layers are taken over
-at most one holder per rank, in one short array per group.
+``surviving_records`` takes the policy's first record of the first layer and fills its nulls from layer after layer.
+``survivors`` answers field by field; there completeness is to hold the field, so the policy's first holder is in the
+first layer always, and the further layers can't change a value.
+
+A group may be of any size. Trust has few ranks (those of the trust table and one for all others) and few sets of
+fields can be held, so each group is first reduced, with map-side combining, to the newest record per rank and set of
+held fields (per rank, for one field). Older ones of the same rank and set hold nothing that their newest doesn't, so
+layers are taken over the newest, in one short array per group.
 """
 
 from __future__ import annotations
@@ -109,22 +113,43 @@ def survivors(df: DataFrame, trust: DataFrame, spec: Fields, least_rows: int = 2
     return layers.select("group_key", F.inline(fields)).where("value_text IS NOT NULL")
 
 
+def layered(cells: Column) -> Column:
+    """The entries of a short array (trust, time, size, ...) by layer (first -1, then -2, ...) and in the policy's order
+    within it. An entry's layer comes next after the last one that has an entry which dominates it; dominating
+    entries come before it in the policy's order."""
+    start = F.filter(F.transform(cells, lambda c: F.struct(F.lit(0).alias("layer"), c.alias("cell"))), lambda c: F.lit(False))
+
+    def put(done: Column, c: Column) -> Column:
+        above = F.filter(done, lambda y: _dominates(y["cell"], c))
+        return F.concat(done, F.array(F.struct((F.coalesce(F.array_min(F.transform(above, lambda y: y["layer"])), F.lit(0)) - 1).alias("layer"), c.alias("cell"))))
+
+    return F.sort_array(F.aggregate(F.sort_array(cells, asc=False), start, put), asc=False)
+
+
 def surviving_records(df: DataFrame, trust: DataFrame, spec: Fields, least_rows: int = 2) -> DataFrame:
     """One record per group: (group_key, survivor_id, undominated, its fields, filled).
 
-    The backbone is the policy's first (trust, recency, smallest id) among the records that no other dominates
-    in completeness (how many fields it holds), recency and trust; fields that it lacks, or that a record
-    before it in the policy holds, come from those records, and ``filled`` counts them. A group is reduced
-    map-side to its newest record per rank and completeness before its skyline is taken.
+    The survivor is the policy's first among the records that no other dominates in completeness (how many fields it
+    holds), recency and trust. Its own values stay; each null is filled from the first layer that holds the field, by
+    the policy within it. ``filled`` counts them, ``undominated`` the first layer. Defined cases as of ``survivors``;
+    where no record holds a field it is null, and a group without any value has a survivor of nulls.
     """
     base = ranked(df, trust, spec)
-    complete = sum(F.when(F.col(f"v_{f}").isNotNull(), 1).otherwise(0) for f in spec.values)
-    cells = base.groupBy("group_key", "_rank", complete.cast("long").alias("size")).agg(F.count("*").alias("_rows"), F.max(F.struct(F.col("_time").alias("time"), (-F.col("_id")).alias("neg_id"))).alias("newest"))
-    cell = F.struct((-F.col("_rank")).alias("trust"), F.col("newest.time").alias("time"), "size", F.col("newest.neg_id").alias("neg_id"))
+    names = list(spec.values)
+    held = [F.col(f"v_{f}").isNotNull().cast("long") for f in names]
+    newest = F.max(F.struct(F.col("_time").alias("time"), (-F.col("_id")).alias("neg_id"), *[F.col(f"v_{f}").alias(f) for f in names])).alias("newest")
+    cells = base.groupBy("group_key", "_rank", *[h.alias(f"h_{f}") for h, f in zip(held, names, strict=True)]).agg(F.count("*").alias("_rows"), newest)
+    size = sum((F.col(f"h_{f}") for f in names), F.lit(0).cast("long")).alias("size")
+    cell = F.struct((-F.col("_rank")).alias("trust"), F.col("newest.time").alias("time"), size, F.col("newest.neg_id").alias("neg_id"), *[F.col("newest")[f].alias(f) for f in names])
     groups = cells.groupBy("group_key").agg(F.sum("_rows").alias("_rows"), F.collect_list(cell).alias("cells")).where(F.col("_rows") >= least_rows)
-    records = groups.select("group_key", skyline(F.col("cells")).alias("front")).select("group_key", (-F.array_max("front")["neg_id"]).alias("survivor_id"), F.size("front").alias("undominated"))
-    fields = survivors(df, trust, Fields(spec.group, spec.id, spec.source, spec.time, spec.values), least_rows)
-    wide = fields.groupBy("group_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value_text"))).alias(f) for f in spec.values], F.collect_list("from_id").alias("_from"))
-    out = records.join(wide, "group_key", "left")
-    filled = F.coalesce(F.size(F.filter("_from", lambda i: i != F.col("survivor_id"))), F.lit(0))
-    return out.select("group_key", "survivor_id", "undominated", *spec.values, filled.alias("filled"))
+    groups = groups.select("group_key", layered(F.col("cells")).alias("layers"))
+    first = F.col("layers")[0]["cell"]
+    fill = {f: _first_held(f) for f in names}
+    return groups.select(
+        "group_key", (-first["neg_id"]).alias("survivor_id"), F.size(F.filter("layers", lambda c: c["layer"] == -1)).alias("undominated"),
+        *[fill[f].alias(f) for f in names],
+        sum((F.when(first[f].isNull() & fill[f].isNotNull(), 1).otherwise(0) for f in names), F.lit(0)).alias("filled"))
+
+
+def _first_held(f: str) -> Column:
+    return F.get(F.filter(F.transform("layers", lambda c: c["cell"][f]), lambda v: v.isNotNull()), F.lit(0))
