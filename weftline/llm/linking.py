@@ -43,6 +43,8 @@ SHAPE_SCHEMA = "kind string, s string"
 
 
 def folded(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
 
 
@@ -127,10 +129,11 @@ class Shapes:
     def __init__(self, shapes: list[tuple[str, str]]):
         self.full = sorted({s for kind, s in shapes if kind == "full"}, key=len, reverse=True)
         self.stem = sorted({s for kind, s in shapes if kind == "stem"}, key=len, reverse=True)
+        self.counted = [x + "00" for x in self.full]
         self.near = sorted({t for s in self.full for t in shortened(s)} - set(self.full), key=len, reverse=True)
 
     @staticmethod
-    def _runs(text: str) -> tuple[str, list[bool], list[bool]]:
+    def runs(text: str) -> tuple[str, list[bool], list[bool]]:
         """Folded letters and digits of a text; for each place whether a run of letters or digits begins there,
         and whether a word does (a run, or a capital within letters)."""
         chars, runs, words, last = [], [], [], ""
@@ -146,11 +149,12 @@ class Shapes:
                 last = ""
         return "".join(chars), [*runs, True], [*words, True]
 
-    def windows(self, text: str, shapes: list[str], taken: set[int] | None = None, within: list[tuple[int, int]] = ()) -> list[tuple[int, str]]:
-        """Places and texts of the given shapes. Digits at either end must not go on beyond it, letters at the
+    @staticmethod
+    def windows(runs_of: tuple[str, list[bool], list[bool]], shapes: list[str], taken: set[int] | None = None, within: list[tuple[int, int]] = ()) -> list[tuple[int, str]]:
+        """Places and texts of the given shapes in a text's ``runs``. Digits at either end must not go on beyond it, letters at the
         end only as a new word or a view letter; letters before a reference may be glued to it. Texts that touch a
         ``taken`` place or lie in one of the stretches ``within`` are left out."""
-        s, runs, words = self._runs(text)
+        s, runs, words = runs_of
         form, out = shape(s), []
         for want in shapes:
             i = form.find(want)
@@ -186,16 +190,17 @@ def image_keys(name: str, summary: str, lex: Lexicon, shapes: Shapes) -> dict:
                 glued.add(bare)
             elif len(bare) == 12:
                 near.add("e" + bare)
-        full = shapes.windows(text, shapes.full)
+        parts = shapes.runs(text)
+        full = shapes.windows(parts, shapes.full)
         refs |= {r for _, r in full}
         taken = {k for i, r in full for k in range(i, i + len(r))}
-        glued |= {r[:-2] for _, r in shapes.windows(text, [x + "00" for x in shapes.full])}
-        less = shapes.windows(text, shapes.near, taken)
+        glued |= {r[:-2] for _, r in shapes.windows(parts, shapes.counted)}
+        less = shapes.windows(parts, shapes.near, taken)
         near |= {"r" + r for _, r in less}
         whole = [(i, i + len(r)) for i, r in [*full, *less] if len(r) > 6]
         camera = {m.start(1) for m in re.finditer(r"(?:^|[^a-z])(?:" + "|".join(sorted(CAMERA, key=len, reverse=True)) + r")\s*(\d{3,})", low)}
         squeezed = {sum(c.isalnum() for c in low[:k]) for k in camera}
-        stems |= {r for i, r in shapes.windows(text, shapes.stem, within=whole) if i not in squeezed}
+        stems |= {r for i, r in shapes.windows(parts, shapes.stem, within=whole) if i not in squeezed}
         words += words_of(text)
     colors, types, rest = lex.read(words)
     for field, value in re.findall(r"(\w+)=([^;]+)", summary or ""):
@@ -283,7 +288,6 @@ PASSES: list[list[tuple[str, str, str, str, tuple[str, ...], bool]]] = [
         ("reference with a counter", "glued", "glued", "same", (), False),
         ("family number with a counter", "glued", "family", "same", (), False),
         ("damaged reference", "near", "near", "lost", (), True),
-        ("changed reference, colour and type", "refs", "refs", "changed", ("colors", "types"), False),
         ("changed reference and colour", "refs", "refs", "changed", ("colors",), True),
     ],
 ]
@@ -395,28 +399,37 @@ def reference_shapes(gathered: DataFrame) -> DataFrame:
     return gathered.mapInPandas(shapes, SHAPE_SCHEMA).where("length(s) > 3").distinct()
 
 
+def hashed() -> list[Column]:
+    """128 bits of a key within its job and rule: fixed in width, so that sorting and grouping are cheap."""
+    return [F.xxhash64("job", "rule", "key").alias("h1"), F.xxhash64(F.lit("second half"), "key", "rule", "job").alias("h2")]
+
+
 def cascade(images: DataFrame, families: DataFrame) -> DataFrame:
     """(id, known, family, rule): for images without a family one row, of the first rule that leads to exactly one;
     for the others one row of each rule that does, by which the rules' precision is taken.
 
     A pass is an exact join of its rules' keys with an index that has each key once, with the least and greatest
-    family that holds it: a key that many images share is a hot key of one side only, which Spark's adaptive
-    execution splits. Images that a pass resolved are taken out before the next one makes its keys.
+    number of a family that holds it: a key that many images share is a hot key of one side only, which Spark's
+    adaptive execution splits. Images that a pass resolved are taken out before the next one makes its keys.
     """
     spark = images.sparkSession
     place = f"{work_root(spark)}/link-found-{uuid.uuid4().hex[:8]}"
     schema, first = "id long, known string, family string, rule int", 0
+    whose = images.select("row", "id", "known", "colors", "types")
+    own = families.select("number", F.element_at("family", 1).alias("family"), F.col("colors").alias("f_colors"), F.col("types").alias("f_types"))
     for n, rules in enumerate(PASSES):
         left = images
         if n:
             done = spark.read.schema(schema + ", pass int").option("basePath", place).parquet(place).where("known IS NULL").select("id")
             left = images.join(done, "id", "left_anti")
-        index = rule_keys(families, first, rules, True).groupBy("job", "rule", "key").agg(
-            F.min(F.element_at("family", 1)).alias("lo"), F.max(F.element_at("family", 1)).alias("hi"), F.min("colors").alias("f_colors"), F.min("types").alias("f_types"))
+        keys = rule_keys(families, first, rules, True)
+        index = keys.select(*hashed(), "number").groupBy("h1", "h2").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+        keys = rule_keys(left, first, rules, False)
+        pairs = keys.select(*hashed(), "row", "rule").join(index, ["h1", "h2"])
+        alone = pairs.groupBy("row", "rule").agg(F.min("lo").alias("number"), F.max("hi").alias("other")).where("number = other").drop("other")
         strict = [k for k, rule in enumerate(rules, first) if rule[5]]
-        pairs = rule_keys(left, first, rules, False).select("id", "known", "job", "rule", "key", "colors", "types").join(index, ["job", "rule", "key"])
-        found = pairs.groupBy("id", "rule").agg(F.min("known").alias("known"), F.min("lo").alias("family"), F.max("hi").alias("other"), F.bool_and(~F.col("rule").isin(strict) | F.expr(_NO_CLASH)).alias("fits"))
-        found = found.where("family = other AND fits")
+        found = alone.join(whose, "row").join(own, "number")
+        found = found.where(~F.col("rule").isin(strict) | F.expr(_NO_CLASH))
         best = found.groupBy("id").agg(F.min("known").alias("known"), F.min(F.struct("rule", "family")).alias("first"), F.collect_list(F.struct("rule", "family")).alias("all"))
         best = best.select("id", "known", F.inline(F.expr("if(known IS NULL, array(first), all)")))
         best.select("id", "known", "family", "rule").write.parquet(f"{place}/pass={n}")
@@ -432,14 +445,14 @@ def link(evidence: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """(evidence_id, family_id, rule, confidence) of the images without a family that the cascade resolves.
 
     Defined cases: null names give nothing to join on; images without job, and tokens without job, family or
-    text, are left out; names that lead to several families in a pass go on to the next; repeated images are
-    each resolved; empty tables give an empty result; columns other than those named are never read.
+    text, are left out; names that lead to several families by a rule go on to the next; repeated images are one,
+    resolved by the first rule that resolves any of them; empty tables give an empty result; columns other than those named are never read.
     """
     lex_rows = [(r[0], r[1], r[2]) for r in terms.where("term_domain IN ('color', 'producttype')").select("term_domain", "canonical_id", "term").collect()]
     gathered = materialize(gathered_tokens(tokens), "link-families")
     shape_rows = [(r.kind, r.s) for r in reference_shapes(gathered).collect()]
-    families = materialize(family_attributes(gathered, lex_rows), "link-attributes")
-    images = materialize(image_attributes(evidence, lex_rows, shape_rows), "link-images")
+    families = materialize(family_attributes(gathered, lex_rows).withColumn("number", F.monotonically_increasing_id()), "link-attributes")
+    images = materialize(image_attributes(evidence, lex_rows, shape_rows).withColumn("row", F.monotonically_increasing_id()), "link-images")
     found = cascade(images, families)
     right, wrong = PRIOR
     precision = found.where("known IS NOT NULL").groupBy("rule").agg(((F.count_if(F.col("known") == F.col("family")) + right) / (F.count("*") + right + wrong)).alias("confidence"))
