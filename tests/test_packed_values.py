@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
 from weftline.operators import packed_values as P
@@ -68,26 +71,77 @@ def test_empty(spark):
     assert run(spark, []) == {}
 
 
-def test_forward_backward_agrees_with_enumeration():
-    sketch = P.Sketch()
-    for v, n in (("a", 5), ("b", 3), ("a/b", 1)):
-        P._add_value(sketch, "c", v, n)
-    model, into = P.Model(sketch.table), P.Sketch()
-    f = ["a", "/", "b"]
-    P.expected(model, "c", f, 1.0, into)
-    cut, keep = model.cut("c", P._kind("/", "a", "b"))
-    two, one = model.value("c", "a") + model.value("c", "b") + cut, model.value("c", "a/b") + keep
-    share = 1 / (1 + pow(2.718281828459045, one - two))
-    assert abs(into.get("v\0c\0a") - share) < 1e-6 and abs(into.get("v\0c\0a/b") - (1 - share)) < 1e-6
-    assert P.best_cuts(model, "c", f) == (["a", "b"] if two > one else ["a/b"])
-
-
-def test_sketch_follows_the_keys(spark):
-    entries = spark.range(60_000).selectExpr("'x' AS col", "concat('v', translate(lpad(id, 6, '0'), '0123456789', 'abcdefghij')) AS entry")
-    table = P.learn(entries)
-    sketch = P.Sketch(table)
-    unseen = ["w" + "".join(chr(97 + int(c)) for c in f"{i:06}") for i in range(20_000)]
-    assert sum(sketch.get(f"v\0x\0{v}") > 0 for v in unseen) <= 0.002 * len(unseen)
+def model_of(values):
+    counts = {}
+    for v, n in values:
+        for h in P.value_keys("c", v)[:3]:
+            counts[h] = counts.get(h, 0) + n
+    keys = sorted(counts)
+    return P.Model(np.array(keys, np.int64), np.array([counts[k] for k in keys], float), {"c": float(sum(n for _, n in values))}, {("c", ",00aa"): (3.0, 9.0)}, 1.0)
+
+
+def every_path(model, f):
+    """All ways to cut a field, with their log weights, by enumeration."""
+    n = len(f) // 2 + 1
+    quoted = [P.is_quoted(f[2 * k]) for k in range(n)]
+    cuts = [model.cut("c", P._kind(f[2 * k + 1], f[2 * k], f[2 * k + 2])) for k in range(n - 1)]
+    out = []
+    for mask in itertools.product((0, 1), repeat=n - 1):
+        w, start, path = 0.0, 0, []
+        for k in range(n):
+            if k == n - 1 or mask[k]:
+                text = "".join(f[2 * start : 2 * k + 1])
+                if start < k and any(quoted[start : k + 1]):
+                    w = -math.inf
+                own = P.Lattices()
+                own.add("c", [text])
+                w += float(model.segment_values(own)[0]) if k - start <= P.JOINED else P.UNSEEN - P.PER_CHARACTER * (len(text) + 1)
+                path.append((start, k))
+                start = k + 1
+            if k < n - 1:
+                w += cuts[k][0] if mask[k] else cuts[k][1]
+        out.append((w, path))
+    return out
+
+
+@pytest.mark.parametrize("joined", [1, 2, 12])
+def test_paths_agree_with_enumeration(monkeypatch, joined):
+    """Also where values are longer than those that the lattice holds one by one."""
+    monkeypatch.setattr(P, "JOINED", joined)
+    model = model_of([("a", 5), ("b", 3), ("a,b", 4), ("b,a,b", 3), ("cc", 2), ("a,b,cc,a", 6)])
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randint(2, 7)
+        f = [r.choice(["a", "b", "cc", '"q"', "long unknown text"]) if k % 2 == 0 else r.choice([",", ", ", "/"]) for k in range(2 * n - 1)]
+        own = P.Lattices()
+        own.add("c", f)
+        own = P.Lattices.of_frame(own.frame())
+        ways = every_path(model, f)
+        top = max(w for w, _ in ways)
+        total = sum(math.exp(w - top) for w, _ in ways)
+        (best,) = P.paths(model, own, P.best_path)
+        assert abs(dict((tuple(p), w) for w, p in ways)[tuple(best)] - top) < 1e-9
+        p, q = P.expected(model, own)
+        for k in range(n - 1):
+            assert abs(q[k] - sum(math.exp(w - top) for w, path in ways if any(e == k for _, e in path)) / total) < 1e-9
+        for s, e, x in zip(own.start, own.end, p, strict=True):
+            assert abs(x - sum(math.exp(w - top) for w, path in ways if (s, e) in path) / total) < 1e-9
+
+
+def test_long_enumerations_and_long_values(spark):
+    """A hundred values are cut, a hundred numbers with commas between (mostly decimal marks) may be one: no bound on either."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = [(i, "x", [w]) for i, w in enumerate(words * 3)] + [(1000, "x", [",".join(words)]), (1001, "y", ["; ".join(["p"] * 5)]), (1002, "x", [", ".join(f"unseen text number {i} of a long prose" for i in range(3000))])]
+    got = run(spark, rows)
+    assert got[1000] == words and len(got[1001]) == 5 and set(got) <= {1000, 1001, 1002}
+
+
+def test_model_holds_what_returns_and_is_asked_for(spark):
+    rows = [("x", f"only {i}") for i in range(500)] + [("x", "red")] * 5 + [("x", "blue")] * 4 + [("x", "green")] * 9 + [("x", "red, blue")] + [("y", "red, blue")]
+    model = P.learn(spark.createDataFrame(rows, "col string, entry string"))
+    has = lambda v, col="x": P.value_keys(col, v)[0] in set(model.keys.tolist())
+    assert has("red") and has("blue") and not has("green") and not has("only 3") and not has("red", "y") and len(model.keys) < 12
+    assert model.got(np.array([P.value_keys("x", "red")[0]]))[0] > 4.5
 
 
 def test_cuts_do_not_depend_on_other_columns(spark):

@@ -7,32 +7,32 @@ full dates being atomic. The model has, for each column (property), the frequenc
 how often each kind of mark cuts; it is learned from all fields of the column by forward-backward counts and
 renewed in a few rounds; Viterbi then takes the likeliest cuts.
 
-Frequencies stand in a count-min sketch whose width follows the distinct keys that can be asked for, so that a
-value never seen gets a false count in about one of 5,000 cases, however many others there are; the model that is
-sent to the tasks grows with them. Each round reads the distinct ambiguous fields only.
+The lattices of the distinct ambiguous fields are made once and written: each segment with the hashes of its value
+and of its shapes. A round looks their counts up and adds up, by hash, what is expected of each. Only keys that such
+segments ask for and that stand more than once are in the model, exactly, at 16 bytes each; a key that stands once says
+nothing to the field that it comes from. Values longer than ``JOINED`` undecided marks may be as long as they are; they
+are valued by their length alone, in linear time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.session import materialize
 
-#: Least buckets of one sketch row; rows of the sketch; buckets of a row for each distinct key.
-WIDTH = 1 << 18
-DEPTH = 4
-ROOM = 8
-#: Undecided marks that one value may hold.
+#: Undecided marks up to which a value's own frequency is learned.
 JOINED = 12
+#: Cut fields that a task remembers at most.
+CACHE = 200_000
 
 #: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
 #: beside it: at first mostly the values decide; at the end the marks weigh more, else values that return
@@ -141,165 +141,207 @@ def _kind(mark: str, left: str, right: str) -> str:
     return f"{mark.strip()}{int(mark[:1].isspace())}{int(mark[-1:].isspace())}{side(left[-1:])}{side(right[:1])}"
 
 
-class Sketch:
-    """Count-min sketch over text keys; its rows' places are independent (rows of one CRC with other seeds are not:
-    keys of one length that meet in one row meet in all)."""
-
-    def __init__(self, table: np.ndarray | None = None):
-        self.table = np.zeros((DEPTH, WIDTH)) if table is None else table
-        self.width = self.table.shape[1]
-
-    def at(self, key: str) -> list[int]:
-        return [x % self.width for x in struct.unpack(f"<{DEPTH}Q", hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8 * DEPTH).digest())]
-
-    def add(self, key: str, n: float) -> None:
-        for d, i in enumerate(self.at(key)):
-            self.table[d, i] += n
-
-    def get(self, key: str) -> float:
-        return min(self.table[d, i] for d, i in enumerate(self.at(key)))
+def key_hash(kind: str, col: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}\0{col}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def value_keys(col: str, v: str) -> tuple[int, int, int, float, float, float]:
+    """Hashes of a value, of it with masked numbers and of its form, the log chances of what is masked, and the log
+    chance of a value never seen, by its length."""
+    key = unquoted(v).casefold()
+    masked, digits, form, chance = shapes(key)
+    return key_hash("v", col, key), key_hash("d", col, masked), key_hash("s", col, form), digits, chance, UNSEEN - PER_CHARACTER * (len(key) + 1)
+
+
+#: Log share of values never seen, and what each of their characters costs.
+UNSEEN = math.log(0.05)
+PER_CHARACTER = 3.5
+
+
+@dataclass
+class Lattices:
+    """Fields of a batch as flat arrays: segments of one field after another (by end, from the nearest start on), the
+    marks of one field after another, and what long values need of fields that can have them."""
+
+    cols: list[str] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    segments: list[int] = field(default_factory=list)
+    start: list[int] = field(default_factory=list)
+    end: list[int] = field(default_factory=list)
+    hv: list[int] = field(default_factory=list)
+    hd: list[int] = field(default_factory=list)
+    hs: list[int] = field(default_factory=list)
+    digits: list[float] = field(default_factory=list)
+    form: list[float] = field(default_factory=list)
+    floor: list[float] = field(default_factory=list)
+    kinds: list[str] = field(default_factory=list)
+    lengths: list[list[int] | None] = field(default_factory=list)
+    quoted: list[list[bool] | None] = field(default_factory=list)
+
+    def add(self, col: str, f: list[str]) -> None:
+        n, before = len(f) // 2 + 1, len(self.start)
+        quoted = [is_quoted(f[2 * k]) for k in range(n)]
+        for end in range(n):
+            for start in range(end, max(-1, end - JOINED - 1), -1):
+                if start < end and (quoted[start] or quoted[end]):
+                    break
+                hv, hd, hs, digits, form, floor = value_keys(col, "".join(f[2 * start : 2 * end + 1]))
+                self.start.append(start); self.end.append(end); self.hv.append(hv); self.hd.append(hd); self.hs.append(hs)  # noqa: E702
+                self.digits.append(digits); self.form.append(form); self.floor.append(floor)  # noqa: E702
+        self.cols.append(col)
+        self.sizes.append(n)
+        self.segments.append(len(self.start) - before)
+        self.kinds += [_kind(f[2 * k + 1], f[2 * k], f[2 * k + 2]) for k in range(n - 1)]
+        long = n > JOINED + 1
+        self.lengths.append([len(x) for x in f] if long else None)
+        self.quoted.append(quoted if long else None)
+
+    #: Per field, as a table holds it.
+    SCHEMA = ("col string, size int, start array<int>, end array<int>, hv array<long>, hd array<long>, hs array<long>, digits array<double>, form array<double>, floor array<double>, "
+              "kinds array<string>, lengths array<int>, quoted array<boolean>")
+
+    def frame(self) -> pd.DataFrame:
+        at = np.concatenate([[0], np.cumsum(self.segments)])
+        mark = np.concatenate([[0], np.cumsum([n - 1 for n in self.sizes])])
+        cut = lambda xs, where: [xs[a:b] for a, b in zip(where, where[1:], strict=False)]
+        return pd.DataFrame({"col": self.cols, "size": self.sizes, **{k: cut(getattr(self, k), at) for k in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")},
+                             "kinds": cut(self.kinds, mark), "lengths": self.lengths, "quoted": self.quoted})
+
+    @classmethod
+    def of_frame(cls, pdf: pd.DataFrame) -> Lattices:
+        flat = lambda name: np.concatenate([np.asarray(x) for x in pdf[name]]) if len(pdf) else np.zeros(0)
+        return cls(pdf["col"].tolist(), pdf["size"].tolist(), [len(x) for x in pdf["start"]], *(flat(k) for k in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
+                   [k for own in pdf["kinds"] for k in own], list(pdf["lengths"]), list(pdf["quoted"]))
+
+
+@dataclass
 class Model:
-    """Log chances of values and cuts of each column, read from a sketch."""
-
-    def __init__(self, table: np.ndarray, mark_weight: float = MARK_WEIGHT):
-        self.sketch = Sketch(table)
-        self.mark_weight = mark_weight
-        self._value: dict[tuple[str, str], float] = {}
-        self._cut: dict[tuple[str, str], tuple[float, float]] = {}
-
-    def value(self, col: str, v: str) -> float:
-        got = self._value.get((col, v))
-        if got is None:
-            if len(self._value) > 300_000:
-                self._value.clear()
-            key = unquoted(v).casefold()
-            masked, digits, form, chance = shapes(key)
-            n = self.sketch.get(f"n\0{col}") + 1
-            exact = max(0.0, self.sketch.get(f"v\0{col}\0{key}") - 1) / n  # less what the field at hand gave itself
-            near = max(0.0, self.sketch.get(f"d\0{col}\0{masked}") - 1) / n * math.exp(max(-600, digits))
-            like = self.sketch.get(f"s\0{col}\0{form}") / n * math.exp(max(-600, chance))
-            got = math.log(0.4 * exact + 0.4 * near + 0.15 * like + 0.05 * math.exp(max(-600, -3.5 * (len(key) + 1))) + 1e-290)
-            self._value[col, v] = got
-        return got
+    """Counts of values and shapes by hash (sorted; those of more than one), values per column, and per column and kind
+    of mark how often it cut of how many."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    values: dict[str, float]
+    cuts: dict[tuple[str, str], tuple[float, float]]
+    mark_weight: float = MARK_WEIGHT
+
+    def got(self, hashes: np.ndarray) -> np.ndarray:
+        """Count of each key, less what the field at hand gave itself."""
+        if not len(self.keys):
+            return np.zeros(len(hashes))
+        at = np.searchsorted(self.keys, hashes).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, np.maximum(0.0, self.counts[at] - 1), 0.0)
+
+    def segment_values(self, own: Lattices) -> np.ndarray:
+        """Log chance of each segment as a value."""
+        n = np.repeat([self.values.get(c, 0.0) + 1 for c in own.cols], own.segments)
+        seen = [self.got(np.asarray(h, np.int64)) / n for h in (own.hv, own.hd, own.hs)]
+        known = 0.4 * seen[0] + 0.4 * seen[1] * np.exp(np.maximum(-600, own.digits)) + 0.15 * seen[2] * np.exp(np.maximum(-600, own.form))
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(known), own.floor)
 
     def cut(self, col: str, kind: str) -> tuple[float, float]:
         """Log chances that a mark of this kind cuts, and that it doesn't."""
-        got = self._cut.get((col, kind))
-        if got is None:
-            p = prior(kind)  # then all columns' share, then the column's own
-            for c in ("*", col):
-                yes, all_ = self.sketch.get(f"c\0{c}\0{kind}"), self.sketch.get(f"m\0{c}\0{kind}")
-                p = (yes + 4 * p) / (max(all_, yes) + 4)
-            p = min(max(p, 1e-3), 1 - 1e-3)
-            got = self._cut[col, kind] = (self.mark_weight * math.log(p), self.mark_weight * math.log(1 - p))
-        return got
-
-
-def edges(model: Model, col: str, f: list[str]) -> list[list[tuple[int, float]]]:
-    """The lattice of a field: for each end, (start, log weight) of the segments that end there.
-
-    A quoted atom is a segment of its own. Weights hold the value, the marks that stay inside and the cut
-    before the segment.
-    """
-    n = len(f) // 2 + 1
-    cuts = [model.cut(col, _kind(f[2 * k + 1], f[2 * k], f[2 * k + 2])) for k in range(n - 1)]
-    quoted = [is_quoted(f[2 * k]) for k in range(n)]
-    out: list[list[tuple[int, float]]] = []
-    for end in range(n):
-        own, inside = [], 0.0
-        for start in range(end, max(-1, end - JOINED - 1), -1):
-            if start < end:
-                if quoted[start] or quoted[end]:
-                    break
-                inside += cuts[start][1]
-            text = "".join(f[2 * start : 2 * end + 1])
-            own.append((start, model.value(col, text) + inside + (cuts[start - 1][0] if start else 0.0)))
-        out.append(own)
-    return out
-
-
-def best_cuts(model: Model, col: str, f: list[str]) -> list[str]:
-    """The likeliest values of a field (Viterbi); ties go to fewer cuts."""
-    if len(f) == 1:
-        return [f[0]]
-    lattice = edges(model, col, f)
+        p = prior(kind)  # then all columns' share, then the column's own
+        for c in ("*", col):
+            yes, every = self.cuts.get((c, kind), (0.0, 0.0))
+            p = (yes + 4 * p) / (max(every, yes) + 4)
+        p = min(max(p, 1e-3), 1 - 1e-3)
+        return self.mark_weight * math.log(p), self.mark_weight * math.log(1 - p)
+
+    def mark_cuts(self, own: Lattices) -> tuple[list[float], list[float]]:
+        known: dict[tuple[str, str], tuple[float, float]] = {}
+        cuts, keeps, k = [], [], 0
+        for col, n in zip(own.cols, own.sizes, strict=True):
+            for kind in own.kinds[k : k + n - 1]:
+                if (col, kind) not in known:
+                    known[col, kind] = self.cut(col, kind)
+                cuts.append(known[col, kind][0])
+                keeps.append(known[col, kind][1])
+            k += n - 1
+        return cuts, keeps
+
+
+@dataclass
+class Long:
+    """What a value of more than JOINED marks gains at its start and at its end; quoted atoms part such values."""
+
+    at_start: list[float]
+    at_end: list[float]
+    quoted: list[bool]
+
+    @classmethod
+    def of(cls, lengths: list[int] | None, quoted: list[bool] | None, keeps: list[float]) -> Long | None:
+        if lengths is None:
+            return None
+        ends = np.cumsum(lengths)[::2]  # characters up to each atom's end
+        starts = ends - np.asarray(lengths)[::2]
+        inside = np.concatenate([[0.0], np.cumsum(keeps)])
+        return cls((PER_CHARACTER * starts - inside).tolist(), (UNSEEN - PER_CHARACTER * (ends + 1) + inside).tolist(), list(quoted))
+
+
+def best_path(starts: list[list[tuple[int, float]]], cuts: list[float], long: Long | None) -> list[tuple[int, int]]:
+    """The likeliest segments of a field (Viterbi), (start, end) from the first on; ties go to fewer cuts. ``starts`` has,
+    for each end, the starts with the segment's log weight."""
     best: list[tuple[float, int]] = []
-    for own in lattice:
-        best.append(max(((best[s - 1][0] if s else 0.0) + w, -s) for s, w in own))
-    values, end = [], len(lattice) - 1
+    top, waiting = (-math.inf, 0), 0  # the best start of a long value so far, and the first that it may have
+    for end, own in enumerate(starts):
+        found = max(((best[s - 1][0] + cuts[s - 1] if s else 0.0) + w, -s) for s, w in own)
+        if long:
+            if long.quoted[end]:
+                top, waiting = (-math.inf, 0), end + 1
+            elif (s := end - JOINED - 1) >= waiting:
+                top = max(top, ((best[s - 1][0] + cuts[s - 1] if s else 0.0) + long.at_start[s], -s))
+            if top[0] > -math.inf:
+                found = max(found, (top[0] + long.at_end[end], top[1]))
+        best.append(found)
+    path, end = [], len(starts) - 1
     while end >= 0:
-        start = -best[end][1]
-        values.append("".join(f[2 * start : 2 * end + 1]))
-        end = start - 1
-    return values[::-1]
+        path.append((-best[end][1], end))
+        end = path[-1][0] - 1
+    return path[::-1]
 
 
-def _log_add(xs: list[float]) -> float:
-    top = max(xs)
-    return top + math.log(sum(math.exp(x - top) for x in xs))
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
-def expected(model: Model, col: str, f: list[str], n: float, into: Sketch) -> None:
-    """Add a field's expected values, shapes and cuts (forward-backward), times n."""
-    lattice = edges(model, col, f)
-    size = len(lattice)
+def chances(starts: list[list[tuple[int, float]]], cuts: list[float], long: Long | None) -> tuple[list[list[float]], list[float]]:
+    """Chance of each segment, and that each mark cuts (forward-backward)."""
+    size = len(starts)
     ahead: list[float] = []
-    for own in lattice:
-        ahead.append(_log_add([(ahead[s - 1] if s else 0.0) + w for s, w in own]))
-    after = [[] for _ in range(size)]
-    after[-1] = [0.0]
-    back = [0.0] * size
-    for end in range(size - 1, -1, -1):
-        back[end] = _log_add(after[end]) if after[end] else -1e300
-        for s, w in lattice[end]:
-            if s:
-                after[s - 1].append(back[end] + w)
-    total = ahead[-1]
-    for end, own in enumerate(lattice):
+    total, waiting = -math.inf, 0
+    for end, own in enumerate(starts):
+        found = -math.inf
         for s, w in own:
-            p = math.exp(min(0.0, (ahead[s - 1] if s else 0.0) + w + back[end] - total)) * n
-            if p > 1e-4 * n:
-                _add_value(into, col, "".join(f[2 * s : 2 * end + 1]), p)
-                for c in ("*", col) if s else ():
-                    into.add(f"c\0{c}\0{_kind(f[2 * s - 1], f[2 * s - 2], f[2 * s])}", p)
-    for k in range(size - 1):
-        for c in ("*", col):
-            into.add(f"m\0{c}\0{_kind(f[2 * k + 1], f[2 * k], f[2 * k + 2])}", n)
-
-
-def _add_value(into: Sketch, col: str, v: str, n: float) -> None:
-    key = unquoted(v).casefold()
-    into.add(f"v\0{col}\0{key}", n)
-    masked, _, form, _ = shapes(key)
-    into.add(f"d\0{col}\0{masked}", n)
-    into.add(f"s\0{col}\0{form}", n)
-    into.add(f"n\0{col}", n)
-
-
-def _keys(col: str, f: list[str]) -> Iterator[str]:
-    """Every key of values and shapes that a field's segments can have."""
-    n = len(f) // 2 + 1
-    for end in range(n):
-        for start in range(end, max(-1, end - JOINED - 1), -1):
-            if start < end and (is_quoted(f[2 * start]) or is_quoted(f[2 * end])):
-                break
-            key = unquoted("".join(f[2 * start : 2 * end + 1])).casefold()
-            masked, _, form, _ = shapes(key)
-            yield from (f"v\0{col}\0{key}", f"d\0{col}\0{masked}", f"s\0{col}\0{form}")
-
-
-def _width(distinct: DataFrame) -> int:
-    """Buckets of a sketch row for all keys of the fields."""
-
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = {k for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True) for k in _keys(col, list(atoms))}
-            yield pd.DataFrame({"h": [int.from_bytes(hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for k in own]}, dtype="int64")
-
-    keys = distinct.select("col", "atoms").mapInPandas(hashes, "h long").agg(F.approx_count_distinct("h")).first()[0]
-    return max(WIDTH, 1 << max(0, ROOM * keys - 1).bit_length())
+            found = _log_add(found, (ahead[s - 1] + cuts[s - 1] if s else 0.0) + w)
+        if long:
+            if long.quoted[end]:
+                total, waiting = -math.inf, end + 1
+            elif (s := end - JOINED - 1) >= waiting:
+                total = _log_add(total, (ahead[s - 1] + cuts[s - 1] if s else 0.0) + long.at_start[s])
+            found = _log_add(found, total + long.at_end[end])
+        ahead.append(found)
+    after = [-math.inf] * size  # weight of all that follows a cut before each atom
+    back = [-math.inf] * size  # and of all that follows each end
+    back[-1] = 0.0
+    closing, limit = -math.inf, size  # long values that may end behind a start, and where the next quoted atom is
+    for end in range(size - 1, -1, -1):
+        if end + 1 < size:
+            back[end] = cuts[end] + after[end + 1]
+        for s, w in starts[end]:
+            after[s] = _log_add(after[s], w + back[end])
+        if long:
+            if long.quoted[end]:
+                closing, limit = -math.inf, end
+            elif (e := end + JOINED + 1) < limit:
+                closing = _log_add(closing, long.at_end[e] + back[e])
+                after[end] = _log_add(after[end], long.at_start[end] + closing)
+    every = ahead[-1]
+    own = [[math.exp(min(0.0, (ahead[s - 1] + cuts[s - 1] if s else 0.0) + w + back[end] - every)) for s, w in of_end] for end, of_end in enumerate(starts)]
+    return own, [math.exp(min(0.0, ahead[k] + back[k] - every)) for k in range(size - 1)]
 
 
 def column_key(name: Column) -> Column:
@@ -307,56 +349,144 @@ def column_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "[^\\p{L}\\p{Nd}]+", ""))
 
 
-def _summed(df: DataFrame, fn, args: str, width: int) -> np.ndarray:
-    """Sum of the sketches that ``fn`` makes of the partitions; at most DEPTH * width numbers reach the driver."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Sketch(np.zeros((DEPTH, width)))
-        for pdf in batches:
-            fn(pdf, own)
-        at = np.flatnonzero(own.table)
-        yield pd.DataFrame({"at": at, "n": own.table.ravel()[at]})
-
-    cells = df.selectExpr(*args.split()).mapInPandas(part, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(DEPTH * width)
-    table[cells["at"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    return table.reshape(DEPTH, width)
+def paths(model: Model, own: Lattices, fn) -> list:
+    """``fn(starts, cuts, long)`` of each field of a batch."""
+    weights = model.segment_values(own).tolist()
+    cuts, keeps = model.mark_cuts(own)
+    out, i, k = [], 0, 0
+    for n, m, lengths, quoted in zip(own.sizes, own.segments, own.lengths, own.quoted, strict=True):
+        starts: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        inside = [0.0]
+        for x in keeps[k : k + n - 1]:
+            inside.append(inside[-1] + x)
+        for s, e, w in zip(own.start[i : i + m], own.end[i : i + m], weights[i : i + m], strict=True):
+            starts[e].append((int(s), w + inside[e] - inside[s]))
+        out.append(fn(starts, cuts[k : k + n - 1], Long.of(lengths, quoted, keeps[k : k + n - 1])))
+        i, k = i + m, k + n - 1
+    return out
 
 
-def learn(entries: DataFrame) -> np.ndarray:
-    """The model's sketch, learned from all entries (columns ``col``, ``entry``)."""
+def expected(model: Model, own: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each segment and of each mark's cut, fields one after another. Fields of one mark, by far the most, are
+    reckoned at once."""
+    n, m = np.asarray(own.sizes), np.asarray(own.segments)
+    segment, mark = np.concatenate([[0], np.cumsum(m)]), np.concatenate([[0], np.cumsum(n - 1)])
+    of_segment, of_mark = np.ones(segment[-1]), np.ones(mark[-1])
+    two = (n == 2) & (m == 3)  # else a quoted atom: the mark cuts
+    if two.any():
+        w, (cuts, keeps) = model.segment_values(own), model.mark_cuts(own)
+        at, k = segment[:-1][two], mark[:-1][two]  # first atom, second atom, both
+        joined = w[at + 2] + np.asarray(keeps)[k] - w[at] - w[at + 1] - np.asarray(cuts)[k]
+        p = 1 / (1 + np.exp(np.minimum(700, joined)))
+        of_segment[at], of_segment[at + 1], of_segment[at + 2], of_mark[k] = p, p, 1 - p, p
+    rest = np.flatnonzero(n > 2)
+    if len(rest):
+        some = Lattices(*([getattr(own, name)[j] for j in rest] for name in ("cols", "sizes", "segments")),
+                        *(np.concatenate([np.asarray(getattr(own, name)[segment[j] : segment[j + 1]]) for j in rest]) for name in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
+                        [x for j in rest for x in own.kinds[mark[j] : mark[j + 1]]], [own.lengths[j] for j in rest], [own.quoted[j] for j in rest])
+        for j, (ps, qs) in zip(rest, paths(model, some, chances), strict=True):
+            of_segment[segment[j] : segment[j + 1]] = [p for of_end in ps for p in of_end]
+            of_mark[mark[j] : mark[j + 1]] = qs
+    return of_segment, of_mark
+
+
+#: A count: of a hashed key, or of a column ("n") or a column's kind of mark (cuts "c", marks "m").
+COUNT_SCHEMA = "hash long, what string, col string, kind string, n double"
+
+
+def _counts(hashes: np.ndarray, n: np.ndarray, small: dict[tuple[str, str, str], float]) -> pd.DataFrame:
+    keys, at = np.unique(hashes, return_inverse=True)
+    both = pd.DataFrame({"hash": pd.array(keys, "Int64"), "n": np.bincount(at, n, len(keys)) if len(keys) else np.zeros(0)})
+    rest = pd.DataFrame([(w, c, k, x) for (w, c, k), x in small.items()], columns=["what", "col", "kind", "n"])
+    return pd.concat([both, rest])[["hash", "what", "col", "kind", "n"]].astype({"hash": "Int64", "n": float})
+
+
+def sure_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of fields without undecided marks (col, atoms, n), as often as they stand."""
+    keys = [value_keys(col, atoms[0])[:3] for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True)]
+    return _counts(np.array(keys, np.int64).reshape(-1), np.repeat(pdf["n"].to_numpy(float), 3), {("n", c, ""): x for c, x in pdf.groupby("col")["n"].sum().items()})
+
+
+def expected_counts(model: Model, own: Lattices) -> pd.DataFrame:
+    """Of ambiguous fields, once each: a field that is repeated is no further evidence."""
+    p, q = expected(model, own)
+    p = np.where(p > 1e-4, p, 0.0)
+    small: dict[tuple[str, str, str], float] = defaultdict(float)
+    cols = np.repeat(np.asarray(own.cols, object), own.segments)
+    for c in set(own.cols):
+        small["n", c, ""] = float(p[cols == c].sum())
+    marks = np.repeat(np.asarray(own.cols, object), np.asarray(own.sizes) - 1)
+    for c, kind, x in zip(marks, own.kinds, q.tolist(), strict=True):
+        for of in ("*", c):
+            small["c", of, kind] += x
+            small["m", of, kind] += 1.0
+    some = p > 0
+    return _counts(np.concatenate([np.asarray(h, np.int64)[some] for h in (own.hv, own.hd, own.hs)]), np.tile(p[some], 3), small)
+
+
+def _model(counts: DataFrame) -> Model:
+    """Takes in the keys of more than one, 16 bytes each, and the counts of columns and marks."""
+    total = counts.groupBy("hash", "what", "col", "kind").agg(F.sum("n").alias("n"))
+    keys = total.where("hash IS NOT NULL AND n > 1").select("hash", "n").toPandas().sort_values("hash")
+    model = Model(keys["hash"].to_numpy(np.int64), keys["n"].to_numpy(float), {}, {})
+    marks: dict[tuple[str, str, str], float] = {}
+    for r in total.where("hash IS NULL").collect():
+        if r.what == "n":
+            model.values[r.col] = r.n
+        else:
+            marks[r.what, r.col, r.kind] = r.n
+    model.cuts = {(c, k): (x, marks.get(("m", c, k), 0.0)) for (what, c, k), x in marks.items() if what == "c"}
+    return model
+
+
+def learn(entries: DataFrame) -> Model:
+    """The model, learned from all entries (columns ``col``, ``entry``)."""
     sc = entries.sparkSession.sparkContext
 
     def cut_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols, found, sure = [], [], []
-            for col, entry in zip(pdf["col"], pdf["entry"], strict=True):
-                for f in fields(entry):
-                    cols.append(col)
-                    found.append(f)
-                    sure.append(len(f) == 1)
-            yield pd.DataFrame({"col": cols, "atoms": found, "sure": sure})
-
-    split = entries.mapInPandas(cut_fields, "col string, atoms array<string>, sure boolean")
-    distinct = materialize(split.groupBy("col", "atoms", "sure").agg(F.count("*").cast("double").alias("n")), "packed-fields")
-
-    def count_sure(pdf: pd.DataFrame, own: Sketch) -> None:
-        for col, atoms, n in zip(pdf["col"], pdf["atoms"], pdf["n"], strict=True):
-            _add_value(own, col, atoms[0], n)
-
-    width = _width(distinct)
-    base = _summed(distinct.where("sure"), count_sure, "col atoms n", width)
-    table = base
+            found = [(col, f) for col, entry in zip(pdf["col"], pdf["entry"], strict=True) for f in fields(entry)]
+            yield pd.DataFrame({"col": [c for c, _ in found], "atoms": [f for _, f in found]})
+
+    def lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = Lattices()
+            for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True):
+                own.add(col, list(atoms))
+            yield own.frame()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(sure_counts, batches)
+
+    split = entries.mapInPandas(cut_fields, "col string, atoms array<string>")
+    distinct = materialize(split.groupBy("col", "atoms").agg(F.count("*").cast("double").alias("n")), "packed-fields")
+    ambiguous = materialize(distinct.where("size(atoms) > 1").select("col", "atoms").mapInPandas(lattices, Lattices.SCHEMA), "packed-lattices")
+    asked = ambiguous.select(F.explode(F.array_distinct(F.concat("hv", "hd", "hs"))).alias("hash")).distinct()
+    base = distinct.where("size(atoms) = 1").mapInPandas(counted, COUNT_SCHEMA).groupBy("hash", "what", "col", "kind").agg(F.sum("n").alias("n"))
+    base = base.where("hash IS NULL").union(base.where("hash IS NOT NULL").join(asked, "hash", "left_semi").select("hash", "what", "col", "kind", "n"))
+    base = materialize(base, "packed-sure")
+    model = _model(base)
     for weight in ROUND_WEIGHTS:
-        held = sc.broadcast(table)
+        model.mark_weight = weight
+        held = sc.broadcast(model)
+
+        def count_expected(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield expected_counts(held.value, Lattices.of_frame(pdf))
+
+        model = _model(base.union(ambiguous.mapInPandas(count_expected, COUNT_SCHEMA)))
+        held.unpersist()
+    model.mark_weight = MARK_WEIGHT
+    return model
 
-        def count_expected(pdf: pd.DataFrame, own: Sketch, held=held, weight=weight) -> None:
-            model = Model(held.value, weight)
-            for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True):  # once each: a repeated field is no further evidence
-                expected(model, col, list(atoms), 1.0, own)
 
-        table = base + _summed(distinct.where("NOT sure"), count_expected, "col atoms n", width)
-    return table
+def cut_fields_of(model: Model, wanted: list[tuple[str, list[str]]]) -> list[list[str]]:
+    """The likeliest values of ambiguous fields (column, atoms and marks)."""
+    own = Lattices()
+    for col, f in wanted:
+        own.add(col, f)
+    return [["".join(f[2 * s : 2 * e + 1]) for s, e in path] for (_, f), path in zip(wanted, paths(model, own, best_path), strict=True)]
 
 
 def split_values(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
@@ -377,19 +507,18 @@ def split_values(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFram
     held = rows.sparkSession.sparkContext.broadcast(learn(entries))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(held.value)
+        known: dict[tuple[str, tuple[str, ...]], list[str]] = {}
         for pdf in batches:
+            if len(known) > CACHE:
+                known.clear()
+            split = [[[(col, tuple(f)) for f in fields(entry)] for entry in own if entry is not None] for col, own in zip(pdf["col"], pdf["entries"], strict=True)]
+            new = list(dict.fromkeys(f for own in split for entry in own for f in entry if len(f[1]) > 1 and f not in known))
+            known.update(zip(new, cut_fields_of(held.value, [(c, list(f)) for c, f in new]), strict=True))
             out = []
-            for name, ident, col, own in zip(pdf["table_name"], pdf["record_id"], pdf["col"], pdf["entries"], strict=True):
-                values, several = [], False
-                for entry in own:
-                    if entry is None:
-                        continue
-                    found = [v for f in fields(entry) for x in best_cuts(model, col, f) if (v := unquoted(x))]
-                    several |= len(found) > 1
-                    values += found
-                if several:
-                    out += [(name, ident, k, v) for k, v in enumerate(values, 1)]
+            for name, ident, own in zip(pdf["table_name"], pdf["record_id"], split, strict=True):
+                found = [[v for f in entry for x in known.get(f, f[1]) if (v := unquoted(x))] for entry in own]
+                if any(len(values) > 1 for values in found):
+                    out += [(name, ident, k, v) for k, v in enumerate((v for values in found for v in values), 1)]
             yield pd.DataFrame(out, columns=["table_name", "record_id", "pos", "value_text"])
 
     return rows.mapInPandas(cut, "table_name string, record_id long, pos long, value_text string")
