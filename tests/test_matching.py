@@ -109,3 +109,23 @@ def test_wordy_records_are_met_word_by_word(spark, monkeypatch):
     one = sorted((r.id, r.rec, r.matched) for r in M.by_words(img, M.word_postings(cat)).collect())
     monkeypatch.setattr(M, "PAIRED_WORDS", 3)
     assert sorted((r.id, r.rec, r.matched) for r in M.by_words(img, M.word_postings(cat)).collect()) == one == [(0, "10000001", 3), (1, "10000002", 2), (4, "10000001", 3)]
+
+
+def test_long_digits(spark):
+    """Keys and windows of more than 18 digits are met like any other."""
+    long = "12345678901234567890123"
+    img, cat, *_ = data(spark, [f"a_{long[:11]}_{long[11:]}.jpg", f"{long[11:]}x{long[:11]}.jpg", f"b {long[3:14]}.jpg", f"c {long}.jpg", "d 1112223.jpg"], [("10000001", "x", f"r{long}")])
+    index = M.holders(M.digit_postings(cat))
+    assert [(r.id, r.rec) for r in M.by_concatenation(img, index).collect()] == [(0, "10000001")]
+    assert (1, "10000001") in [(r.id, r.rec) for r in M.by_permutation(img, index).collect()]
+    assert {r.id: r.rec for r in M.by_containment(img, index).collect()} == {0: "10000001", 1: "10000001", 2: "10000001"}
+
+
+def test_gates_of_words(spark):
+    names = ["red boot 76.jpg", "red boot 13 76.jpg", "red boot.jpg", "ab12cd.jpg", "ab12cd red.jpg", "zz99yy.jpg", "ab12cd zz99yy.jpg", "red boot 99.jpg", "boot.jpg", "ab12cd boot red.jpg"]
+    tokens = [("10000001", "c", "red"), ("10000001", "t", "boot"), ("10000001", "k", "76"), ("10000002", "c", "red"), ("10000002", "t", "boot"), ("10000002", "k", "13"), ("10000003", "r", "AB12CD"), ("10000004", "r", "zz99yy"), ("10000005", "r", "ZZ99YY")]
+    img, cat, *_ = data(spark, names, tokens)
+    got = {r.id: (r.rec, r.matched) for r in M.by_words(img, M.word_postings(cat), numbers=M.number_postings(cat)).collect()}
+    # 0: the number tells; 1: two numbers tell different records; 3: a code of one record; 4, 6: other words lead elsewhere; 5: a code of two
+    assert got == {0: ("10000001", 2), 3: ("10000003", 1)}
+    assert 0 not in {r.id for r in M.by_words(img, M.word_postings(cat)).collect()}

@@ -52,7 +52,7 @@ def test_anchor_groups_follow_the_greedy_order(spark):
     hashes = [r.randrange(1, 1 << 10) for _ in range(150)]
     df = spark.createDataFrame([("n", i, h) for i, h in enumerate(hashes)], "name string, vec_id long, hash long")
     firsts = df.groupBy("name", "hash").agg(F.min("vec_id").alias("first"))
-    state = H.anchors(firsts, H.near_hashes(df.select("name", "hash"), 2, 10), 60)
+    state = H.anchors(firsts, H.near_hashes(df.select("name", "hash"), 2, 10))
     got = {x.vec_id: x.anchor for x in df.join(state, ["name", "hash"]).collect()}
     assert got == greedy(hashes, 2)
 
@@ -125,3 +125,18 @@ def test_exact_medians(spark):
     got = {x.g: x.median for x in R.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
     hot = sorted(v for g, v in rows if g == "hot")
     assert got == {"hot": hot[499], "two": 2.5, "one": 7.0}
+
+
+def test_natural_key_of_long_runs(spark):
+    names = ["a10", "a9", "A09b", "a" + "9" * 25, "a1" + "0" * 25, "a000", "b", "a" + "0" * 30 + "8"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", S.natural_key(F.col("n")).alias("k"))
+    got = [r.n for r in df.orderBy("k").collect()]
+    assert got == ["a000", "a" + "0" * 30 + "8", "a9", "A09b", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b"]
+
+
+def test_long_chain_of_anchors(spark):
+    """Each hash is near the next only; as many rounds are made as the chain asks for."""
+    n = 30
+    hashes = spark.createDataFrame([("x", i + 1, i) for i in range(n)], "name string, hash long, first long")
+    pairs = spark.createDataFrame([("x", i + 1, i + 2) for i in range(n - 1)], "name string, a long, b long")
+    assert {r.hash: r.anchor for r in H.anchors(hashes, pairs).collect()} == {i + 1: i + 1 - i % 2 for i in range(n)}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Twelve colour names with their red, green and blue (public web colour values).
-PALETTE = {"black": (0, 0, 0), "white": (255, 255, 255), "grey": (128, 128, 128), "red": (220, 20, 60), "green": (34, 139, 34), "blue": (30, 80, 200),
-           "yellow": (255, 215, 0), "orange": (255, 140, 0), "purple": (128, 0, 128), "pink": (255, 182, 193), "brown": (139, 69, 19), "beige": (245, 222, 179)}
+#: Twelve colour names with their values (fixed values, in fixed order).
+COLOURS = {"black": "#000000", "white": "#ffffff", "grey": "#808080", "red": "#cc0000", "blue": "#0044cc", "green": "#00aa44",
+           "yellow": "#ffdd00", "orange": "#ff8800", "pink": "#ff66aa", "purple": "#7733aa", "brown": "#8b5a2b", "beige": "#d9c7a7"}
+PALETTE = {name: tuple(int(code[i : i + 2], 16) for i in (1, 3, 5)) for name, code in COLOURS.items()}
 
 
 def overlap_ratio(a: list[Column], b: list[Column]) -> Column:

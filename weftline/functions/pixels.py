@@ -97,10 +97,14 @@ def illustration(a: np.ndarray) -> bool:
     return edge_density(a) >= 0.12 and background(a)["near_white"] >= 0.8 and colour_clusters(a) <= 8
 
 
+#: Luminance up to which a pixel is black and from which it is white, and the share that is worth a flag (fixed values).
+BLACK, WHITE, FLAGGED = 0.02, 0.98, 0.25
+
+
 def exposure(a: np.ndarray) -> tuple[float, float]:
     """Shares of nearly black and nearly white pixels."""
     g = grey(a)
-    return float((g < 0.05).mean()), float((g > 0.95).mean())
+    return float((g <= BLACK).mean()), float((g >= WHITE).mean())
 
 
 def centred_square(a: np.ndarray) -> np.ndarray:

@@ -101,10 +101,11 @@ def collapsed_stem(c: Column) -> Column:
     return F.translate(bare, " _-.", "")
 
 
-def natural_key(c: Column, width: int = 20) -> Column:
-    """Sorts digit runs as numbers and letters without case."""
+def natural_key(c: Column) -> Column:
+    """Sorts digit runs, however long, as numbers and letters without case: a run stands behind the number of its digits."""
     pieces = F.regexp_extract_all(F.lower(c), F.lit("[0-9]+|[^0-9]"), 0)
-    return F.array_join(F.transform(pieces, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(F.regexp_replace(t, "^0+", ""), width, "0")).otherwise(t)), "")
+    number = lambda t: F.regexp_replace(t, "^0+", "")
+    return F.array_join(F.transform(pieces, lambda t: F.when(t.rlike("^[0-9]"), F.concat(F.format_string("%010d", F.length(number(t))), number(t))).otherwise(t)), "")
 
 
 def without_noise(c: Column, column_name: Column | None = None) -> Column:

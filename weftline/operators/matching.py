@@ -76,13 +76,13 @@ def by_digits(img: DataFrame, index: DataFrame) -> DataFrame:
 def by_concatenation(img: DataFrame, index: DataFrame) -> DataFrame:
     """(id, rec, distance): names in which neighbouring digit runs together form a key of exactly one record.
 
-    Windows hold two or more runs and at most MAX_DIGITS digits, so their number follows the name's length.
+    The distance of n runs is n - 1 at least, so windows that can be near enough hold few runs, of any length.
     """
     runs = img.select("id", "grp", digit_runs(stem(F.col("name"))).alias("runs")).where("size(runs) >= 2")
     starts = runs.select("id", "grp", "runs", F.explode(F.sequence(F.lit(1), F.size("runs") - 1)).alias("i"))
-    windows = starts.select("id", "grp", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.size("runs") - F.col("i") + 1, F.lit(MAX_DIGITS))), lambda n: F.slice("runs", F.col("i"), n))).alias("tokens"))
+    windows = starts.select("id", "grp", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.size("runs") - F.col("i") + 1, F.lit(1 + math.floor(MAX_DISTANCE)))), lambda n: F.slice("runs", F.col("i"), n))).alias("tokens"))
     keyed = windows.select("id", "grp", F.array_join("tokens", "").alias("key"), concatenation_distance(F.col("tokens")).alias("d"))
-    keyed = keyed.where((F.length("key") <= MAX_DIGITS) & (F.col("d") <= MAX_DISTANCE))
+    keyed = keyed.where(F.col("d") <= MAX_DISTANCE)
     return _sole(keyed.join(index, ["grp", "key"]), F.min("d").alias("distance"))
 
 
@@ -114,8 +114,7 @@ def by_permutation(img: DataFrame, index: DataFrame) -> DataFrame:
             for i, g, own in zip(pdf["id"], pdf["grp"], pdf["runs"], strict=True):
                 for n in range(2, 6):
                     for s in combinations(list(own), n):
-                        if sum(map(len, s)) <= MAX_DIGITS:
-                            out.append((i, g, list(s), "".join(sorted("".join(s)))))
+                        out.append((i, g, list(s), "".join(sorted("".join(s)))))
             yield pd.DataFrame(out, columns=["id", "grp", "tokens", "block"])
 
     sets = runs.mapInPandas(subsets, T.StructType([T.StructField("id", T.LongType()), T.StructField("grp", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("block", T.StringType())])).distinct()
@@ -150,14 +149,18 @@ def by_containment(img: DataFrame, index: DataFrame) -> DataFrame:
     """(id, rec): names whose long digit tokens stand within longer keys of one record, each of them alone.
 
     A key of at most MAX_DIGITS digits has a bounded number of parts; these are listed, which makes the
-    containment an equi-join.
+    containment an equi-join. Longer keys, which only single long runs give, are met by the parts of MIN_CONTAINED
+    digits instead, of which they have no more than digits, and looked through.
     """
     size = F.length("key")
+    tokens = img.select("id", "grp", F.explode(digit_tokens(F.col("name"))).alias("key")).where(F.length("key") >= MIN_CONTAINED)
     longer = index.where(size.between(MIN_CONTAINED + 1, MAX_DIGITS))
     parts = longer.select("grp", "lo", "hi", "key", F.explode(F.sequence(F.lit(MIN_CONTAINED), size - 1)).alias("n"))
     parts = parts.select("grp", "lo", "hi", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - F.col("n") + 1), lambda i: F.substr("key", i, F.col("n")))).alias("key"))
     inner = parts.groupBy("grp", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    tokens = img.select("id", "grp", F.explode(digit_tokens(F.col("name"))).alias("key")).where(F.length("key") >= MIN_CONTAINED)
+    grams = index.where(size > MAX_DIGITS).select("grp", "lo", "hi", F.col("key").alias("whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - MIN_CONTAINED + 1), lambda i: F.substr("key", i, F.lit(MIN_CONTAINED))))).alias("gram"))
+    met = tokens.select("grp", "key").distinct().withColumn("gram", F.substring("key", 1, MIN_CONTAINED)).join(grams, ["grp", "gram"]).where("contains(whole, key) AND length(whole) > length(key)")
+    inner = inner.union(met.groupBy("grp", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     return _sole(tokens.join(inner, ["grp", "key"]))
 
 
@@ -184,9 +187,20 @@ def unknown_codes(img: DataFrame, postings: DataFrame, synonyms: DataFrame | Non
     return codes.join(postings.select("grp", "key").distinct(), ["grp", "key"], "left_anti").select("id").distinct()
 
 
-def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def number_postings(cat: DataFrame) -> DataFrame:
+    """(grp, key, rec): the words of each record's values that are numbers."""
+    words = cat.where("prop <> 'family_id'").select("grp", "rec", F.explode(F.split(F.lower("value"), "[^a-zà-öø-ÿ0-9]+")).alias("key"))
+    return words.where(F.col("key").rlike("^[0-9]+$")).distinct()
+
+
+def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None, near: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
     """(id, rec, matched): names of which one record alone holds the most words, at least MIN_WORDS of them.
 
+    Of records that hold as many, the one is taken that alone among them holds a number of the name, if all such
+    numbers tell the same (``numbers``, see number_postings). A name none of whose records holds two of its words is
+    matched by a single one if that is a code of letters and digits of one record only, and its other words lead
+    to no other record.
+
     Names and records meet on pairs of words: a single common word (a colour, a brand) joins nothing, and from
     the pairs that match follows how many words match. Records of more than PAIRED_WORDS words (few: each needs
     that many postings) are met word by word instead, so their pairs are never listed. Names in which a code of letters and digits is held by
@@ -214,8 +228,19 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     else:  # a word may stand for several keys, yet counts once
         scored = ends.select("id", "rec", F.col("e.key").alias("key")).join(keyed.select("id", "key", "word"), ["id", "key"]).groupBy("id", "rec").agg(F.countDistinct("word").alias("matched"))
     scored = scored.where(f"matched >= {MIN_WORDS}")
-    best = scored.groupBy("id").agg(F.max(F.struct("matched", "rec")).alias("top"), F.min(F.struct((-F.col("matched")).alias("neg"), F.col("rec"))).alias("alt"))
-    return best.where("top.rec = alt.rec").select("id", F.col("top.rec").alias("rec"), F.col("top.matched").alias("matched"))
+    scored = scored.withColumn("most", F.max("matched").over(Window.partitionBy("id"))).where("matched = most")
+    top = scored.groupBy("id").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("most").alias("matched"))
+    out = top.where("rec = other").select("id", "rec", "matched")
+    if numbers is not None:
+        tied = scored.join(top.where("rec < other").select("id"), "id", "left_semi").select("id", "rec", "matched")
+        told = img.select("id", "grp", F.explode(F.array_distinct(F.filter(F.split(F.lower(stem(F.col("name"))), "[^a-zà-öø-ÿ0-9]+"), lambda t: t.rlike("^[0-9]+$")))).alias("key"))
+        held = tied.join(told, "id").join(numbers, ["grp", "key", "rec"], "left_semi")
+        telling = held.groupBy("id", "key").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("matched").alias("matched")).where("rec = other")
+        out = out.union(telling.groupBy("id").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("matched").alias("matched")).where("rec = other").select("id", "rec", "matched"))
+    code = (F.length("word") >= IDENTIFIER_LENGTH) & F.col("word").rlike("[0-9]") & F.col("word").rlike("[^0-9]")
+    alone = keyed.join(unknown, "id", "left_anti").join(top.select("id"), "id", "left_anti").join(holders(postings), ["grp", "key"])
+    alone = alone.groupBy("id").agg(F.min("lo").alias("rec"), F.max("hi").alias("other"), F.bool_or(code).alias("code"), F.lit(1).cast("long").alias("matched")).where("rec = other AND code")
+    return out.union(alone.select("id", "rec", "matched"))
 
 
 def near_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -43,6 +43,9 @@ MARK_WEIGHT = 6.0
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
 _SURE = re.compile(r"\s*(?:\\r\\n|\\n|\\r|\\t|[\r\n\t  \x0b\x0c]|[;|•·]|,,+|//+)\s*")
 _MAYBE = re.compile(r"\s*[,/+]\s*|\s+[-–—]+\s+|^[-–—]\s+|\s+[-–—]$")
+#: Runs in which nothing begins or ends, and of digits.
+_DULL = re.compile(r"[^\s,/+\-–—;|•·\\\d" + "".join(map(re.escape, _QUOTES)) + r"]+")
+_DIGITS = re.compile(r"\d+")
 #: A full date is one atom.
 _DATE = re.compile(r"(?:(?:0?[1-9]|[12]\d|3[01])([/.\-])(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d|(?:19|20)\d\d([/.\-])(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01]))(?!\d)")
 
@@ -68,11 +71,14 @@ def fields(entry: str) -> list[list[str]]:
     out, own, start, i, fresh = [], [], 0, 0, True
     n = len(entry)
     while i < n:
+        if m := _DULL.match(entry, i):
+            i, fresh = m.end(), False
+            continue
         c = entry[i]
         if fresh and c in _QUOTES and (j := _quoted_end(entry, i)) > 0:
             i, fresh = j, False
             continue
-        if c.isdigit() and not (i > start and entry[i - 1].isdigit()) and (m := _DATE.match(entry, i)):
+        if c.isdigit() and not (i > start and entry[i - 1].isdigit()) and (m := _DATE.match(entry, i) or _DIGITS.match(entry, i)):
             i, fresh = m.end(), False
             continue
         if m := _SURE.match(entry, i):
@@ -122,8 +128,7 @@ _NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
 def shapes(v: str) -> tuple[str, float, str, float]:
     """A value with its numbers masked (whole or decimal), and with its words masked too; each with the log
     chance of what is masked. Masked numbers make 3,5% cotton one of a kind with 43% cotton."""
-    digits = sum(c.isdigit() for c in v)
-    letters = sum(c.isalpha() for c in v)
+    digits, letters = sum(map(str.isdigit, v)), sum(map(str.isalpha, v))
     masked, numbers = _NUMBER.subn("#", v)
     marks = len(v) - len(masked) - digits + numbers
     return masked, -2.303 * digits - marks, re.sub(r"[^\W\d_]+", "a", masked), -2.303 * digits - marks - 3.0 * letters

@@ -46,11 +46,12 @@ def near_wide_hashes(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.where(F.col("distance") <= radius).select("name", "a_hi", "a_lo", "b_hi", "b_lo", "distance").distinct()
 
 
-def anchors(hashes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def anchors(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(name, hash, anchor): each hash with the hash of the group that takes it, in order of ``first``.
 
     A hash is an anchor unless an earlier anchor is near; the others join their earliest near anchor. This is
-    not the transitive closure. Found by rounds: a hash is settled once all its earlier neighbours are.
+    not the transitive closure. Found by rounds: a hash is settled once all its earlier neighbours are, so that each
+    round settles at least the earliest open one; as many are made as the longest chain asks for.
     """
     from weftline.session import materialize
 
@@ -60,7 +61,7 @@ def anchors(hashes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
     edges = materialize(edges.select("name", "hash", "other", "other_first"), "near-edges")
     state = first.select("name", "hash", F.lit(None).cast("bigint").alias("anchor"))
     state = materialize(state, "anchors")
-    for _ in range(rounds):
+    while True:
         seen = edges.join(state.select("name", F.col("hash").alias("other"), F.col("anchor").alias("other_anchor")), ["name", "other"])
         agg = seen.groupBy("name", "hash").agg(
             F.min(F.when(F.col("other_anchor") == F.col("other"), F.struct("other_first", "other")))["other"].alias("near_anchor"),
@@ -70,7 +71,4 @@ def anchors(hashes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
         settled = F.coalesce("anchor", F.when(F.col("near_anchor").isNotNull() & (F.col("open_first").isNull() | (F.col("open_first") > F.col("anchor_first"))), F.col("near_anchor")).when(F.col("open_first").isNull() & F.col("near_anchor").isNull(), F.col("hash")))
         state = materialize(step.select("name", "hash", settled.alias("anchor")), "anchors")
         if state.where("anchor IS NULL").isEmpty():
-            break
-    else:
-        raise RuntimeError("chains of near hashes are longer than the rounds; raise ``rounds``")
-    return state
+            return state

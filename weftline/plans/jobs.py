@@ -42,10 +42,11 @@ def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None =
     add("permuted", M.by_permutation(left(), index))
     lexicon = M.word_postings(cat)
     words = materialize(M.word_postings(cat, synonyms).unionByName(M.neighbour_words(cat)).distinct(), "word-postings")
-    add("words", M.by_words(left(), words, synonyms))
+    numbers = M.number_postings(cat)
+    add("words", M.by_words(left(), words, synonyms, numbers=numbers))
     rest = left()
     asked = rest.select("grp", F.explode(S.filename_tokens(F.col("name"))).alias("word"))
-    add("near words", M.by_words(rest, words, synonyms, M.near_words(asked, lexicon.select("grp", "key").distinct())))
+    add("near words", M.by_words(rest, words, synonyms, M.near_words(asked, lexicon.select("grp", "key").distinct()), numbers))
     if terms is not None and "image_ngp_summary" in images.columns:
         f = U.feature_map(F.col("image_ngp_summary"))
         told = images.select(F.col("evidence_id").alias("id"), F.try_element_at(f, F.lit("color")).alias("color"), F.try_element_at(f, F.lit("type")).alias("type")).where("color IS NOT NULL AND type IS NOT NULL")

@@ -57,10 +57,13 @@ def match_contained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_words(spark: SparkSession, d: str) -> DataFrame:
-    """Names of which one family alone holds the most words, synonyms taken together."""
+    """Names of which one family alone holds the most words, synonyms taken together; ties broken by numbers, and a code
+    of one family may stand alone. The score is the share of the name's words."""
     img, cat = _parts(spark, d)
     syn = _synonyms(spark, d)
-    return M.by_words(img, M.word_postings(cat, syn), syn)
+    found = M.by_words(img, M.word_postings(cat, syn), syn, numbers=M.number_postings(cat))
+    words = img.select("id", F.size(S.filename_tokens(F.col("name"))).alias("words"))
+    return found.join(words, "id").select("id", "rec", "matched", F.round(F.least(F.lit(1.0), F.col("matched") / F.col("words")), 6).alias("score"))
 
 
 def match_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -134,12 +137,12 @@ _DIGITS = f"WITH {_IMG}, {_CAT}, {_POST}, {_TOK}"
 _BY_DIGITS = "SELECT id, min(rec) AS rec FROM tok JOIN post USING (grp, key) GROUP BY id HAVING count(DISTINCT rec) = 1"
 _WINDOWS = """win AS (SELECT id, grp, list_slice(runs, i, j) AS t FROM (SELECT id, grp, regexp_extract_all(s, '[0-9]+') AS runs FROM img) r, range(1, 40) a(i), range(2, 41) b(j) WHERE i < j AND j <= len(runs)),
 dist AS (SELECT id, grp, array_to_string(t, '') AS key, len(t) AS n, list_sum([-(len(x) * 1.0 / len(array_to_string(t, ''))) * ln(len(x) * 1.0 / len(array_to_string(t, ''))) for x in t]) AS h FROM win),
-near AS (SELECT id, grp, key, (n - 1) * (2 - h / ln(n)) AS d FROM dist WHERE len(key) <= 18 AND n <= 18)"""
+near AS (SELECT id, grp, key, (n - 1) * (2 - h / ln(n)) AS d FROM dist)"""
 _BY_CONCAT = "SELECT id, min(rec) AS rec, min(d) AS distance FROM near JOIN post USING (grp, key) WHERE d <= 1.478 GROUP BY id HAVING count(DISTINCT rec) = 1"
 _BY_INTER = """SELECT id, min(rec) AS rec FROM (
   SELECT h.id, p.rec FROM (SELECT id, grp, key, count(*) OVER (PARTITION BY id) AS want FROM tok t WHERE EXISTS (SELECT 1 FROM post p WHERE p.grp = t.grp AND p.key = t.key)) h
   JOIN post p USING (grp, key) WHERE h.want >= 2 GROUP BY h.id, p.rec, h.want HAVING count(*) = h.want) GROUP BY id HAVING count(*) = 1"""
-_BY_CONTAINED = "SELECT id, min(rec) AS rec FROM tok JOIN post USING (grp) WHERE len(tok.key) >= 7 AND len(post.key) > len(tok.key) AND len(post.key) <= 18 AND contains(post.key, tok.key) GROUP BY id HAVING count(DISTINCT rec) = 1"
+_BY_CONTAINED = "SELECT id, min(rec) AS rec FROM tok JOIN post USING (grp) WHERE len(tok.key) >= 7 AND len(post.key) > len(tok.key) AND contains(post.key, tok.key) GROUP BY id HAVING count(DISTINCT rec) = 1"
 _SYN = "syn AS (SELECT lower(term) AS term, min(canonical_id) AS gid FROM translation_terms WHERE term_domain IN ('color', 'producttype') GROUP BY 1)"
 _SPLIT = "regexp_split_to_array(lower(value), '[^a-zà-öø-ÿ0-9]+')"
 _WPOST = f"wpost AS (SELECT DISTINCT grp, coalesce(gid, key) AS key, rec FROM (SELECT grp, rec, unnest({_SPLIT}) AS key FROM cat WHERE prop <> 'family_id') w LEFT JOIN syn ON syn.term = w.key WHERE len(key) >= 2 AND NOT regexp_matches(key, '^[0-9]+$'))"
@@ -159,8 +162,15 @@ ORACLE = {
     "match_words": f"""WITH {_IMG}, {_CAT}, {_SYN}, {_WPOST}, words AS (SELECT id, grp, unnest({sql_words('name')}) AS word FROM img),
 keyed AS (SELECT id, grp, word, coalesce(gid, word) AS key FROM words LEFT JOIN syn ON syn.term = words.word),
 bad AS (SELECT DISTINCT id FROM keyed k WHERE len(word) >= 4 AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[^0-9]') AND NOT EXISTS (SELECT 1 FROM wpost p WHERE p.grp = k.grp AND p.key = k.key)),
-score AS (SELECT id, rec, count(*) AS matched FROM keyed JOIN wpost USING (grp, key) WHERE id NOT IN (SELECT id FROM bad) GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT id, min(rec) AS rec, max(matched) AS matched FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY matched DESC) AS rk FROM score) WHERE rk = 1 GROUP BY id HAVING count(*) = 1""",
+score AS (SELECT id, any_value(grp) AS grp, rec, count(*) AS matched, bool_or(len(word) >= 4 AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[^0-9]') AND (SELECT count(*) FROM wpost p WHERE p.grp = keyed.grp AND p.key = keyed.key) = 1) AS code
+  FROM keyed JOIN wpost USING (grp, key) WHERE id NOT IN (SELECT id FROM bad) GROUP BY id, rec),
+top AS (SELECT * FROM score QUALIFY matched = max(matched) OVER (PARTITION BY id)),
+nums AS (SELECT DISTINCT grp, rec, key FROM (SELECT grp, rec, unnest({_SPLIT}) AS key FROM cat WHERE prop <> 'family_id') WHERE regexp_matches(key, '^[0-9]+$')),
+told AS (SELECT DISTINCT id, grp, key FROM (SELECT id, grp, unnest(regexp_split_to_array(lower(s), '[^a-zà-öø-ÿ0-9]+')) AS key FROM img) WHERE regexp_matches(key, '^[0-9]+$')),
+telling AS (SELECT id, key, min(rec) AS rec FROM top JOIN told USING (id, grp) JOIN nums USING (grp, rec, key) WHERE matched >= 2 GROUP BY 1, 2 HAVING count(*) = 1),
+win AS (SELECT id, min(rec) AS rec, max(matched) AS matched, bool_or(code) AS code FROM top GROUP BY 1 HAVING count(*) = 1
+  UNION ALL SELECT id, min(rec), (SELECT max(matched) FROM top WHERE top.id = telling.id), false FROM telling WHERE id IN (SELECT id FROM top GROUP BY 1 HAVING count(*) > 1) GROUP BY 1 HAVING count(DISTINCT rec) = 1)
+SELECT w.id, rec, matched, round(least(1.0, matched * 1.0 / (SELECT count(*) FROM words WHERE words.id = w.id)), 6) AS score FROM win w WHERE matched >= 2 OR code""",
     "match_neighbours": f"""WITH {_IMG}, {_CAT}, words AS (SELECT id, grp, unnest({sql_words('name')}) AS key FROM img), w AS (SELECT grp, rec, [x for x in {_SPLIT} if len(x) >= 2] AS w FROM cat WHERE prop <> 'family_id'),
 pairs AS (SELECT grp, rec, w[i] AS a, w[i + 1] AS b FROM w, range(1, 60) r(i) WHERE i < len(w)),
 post AS (SELECT grp, rec, a || b AS key FROM pairs WHERE NOT (regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$')) UNION SELECT grp, rec, b || a FROM pairs WHERE NOT (regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$')))

@@ -120,7 +120,7 @@ ORACLE = {
     "cell_token_counts": "SELECT sheet_name, t AS token, count(*) AS n FROM (SELECT sheet_name, unnest(regexp_split_to_array(lower(c), '[ \\t\\r\\n,;/\\\\|:._-]+')) AS t FROM (SELECT sheet_name, unnest(cells) AS c FROM worksheet_rows)) WHERE t <> '' GROUP BY 1, 2",
     "name_words": f"SELECT evidence_id, array_to_string(list_sort({sql_words('source_filename')}), ' ') AS words FROM {_E}",
     "name_profiles": f"SELECT evidence_id, array_to_string({sql_profile('source_filename')}, ' ') AS profile, translate(regexp_replace(lower({sql_stem('source_filename')}), '(\\s*\\([0-9]+\\)|[-_ ]+(copy|ret|retouch(ed)?))+$', ''), ' _-.', '') AS collapsed FROM {_E}",
-    "natural_order": f"SELECT evidence_id, row_number() OVER (PARTITION BY job_id ORDER BY k COLLATE C, evidence_id) AS rank FROM (SELECT evidence_id, job_id, array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(ltrim(t, '0'), 20, '0') ELSE t END for t in regexp_extract_all(lower(source_filename), '[0-9]+|[^0-9]')], '') AS k FROM {_E})".replace(" COLLATE C", ""),
+    "natural_order": f"SELECT evidence_id, row_number() OVER (PARTITION BY job_id ORDER BY k COLLATE C, evidence_id) AS rank FROM (SELECT evidence_id, job_id, array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(CAST(length(ltrim(t, '0')) AS VARCHAR), 10, '0') || ltrim(t, '0') ELSE t END for t in regexp_extract_all(lower(source_filename), '[0-9]+|[^0-9]')], '') AS k FROM {_E})".replace(" COLLATE C", ""),
     "silent_names": f"SELECT job_id, count(*) FILTER (WHERE len([t for t in flatten([regexp_extract_all(p, '[0-9]+|[^0-9]+') for p in regexp_split_to_array({FOLD.format(x=sql_stem('source_filename'))}, '[^a-z0-9]+')]) if len(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({', '.join(repr(p) for p in S.CAMERA_PREFIXES)})]) = 0) AS silent, count(*) AS n FROM {_E} GROUP BY 1",
     "safe_names": f"SELECT evidence_id, lpad(CAST(evidence_id AS VARCHAR), 6, '0') || '_' || regexp_replace({sql_stem('source_filename')}, '[^A-Za-z0-9._-]', '_', 'g') || '.jpg' AS safe_name FROM {_E}",
     "concat_distances": f"WITH r AS (SELECT evidence_id, [CAST(len(x) AS DOUBLE) for x in regexp_extract_all({sql_stem('source_filename')}, '[0-9]+')] AS l FROM {_E}), e AS (SELECT evidence_id, len(l) AS n, list_sum([-(x / list_sum(l)) * ln(x / list_sum(l)) for x in l]) AS h FROM r WHERE len(l) >= 2), q AS (SELECT evidence_id, (n - 1) * (2 - h / ln(n)) AS t FROM e) SELECT evidence_id, round(t, 6) AS distance, round(100 * exp(-0.5 * t), 6) AS confidence FROM q",

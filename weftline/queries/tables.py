@@ -525,7 +525,7 @@ def _listed(conds: list[str]) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in zip(conds, _RN, strict=True)) + ")"
 
 
-_NAT = "array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(ltrim(t, '0'), 20, '0') ELSE t END for t in regexp_extract_all(lower(source_filename), '[0-9]+|[^0-9]')], '')"
+_NAT = "array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(CAST(length(ltrim(t, '0')) AS VARCHAR), 10, '0') || ltrim(t, '0') ELSE t END for t in regexp_extract_all(lower(source_filename), '[0-9]+|[^0-9]')], '')"
 _SHOTS = f"shots AS (SELECT final_family_id AS family, evidence_id, source_filename, -coalesce(final_score, 0) AS neg, regexp_split_to_array(lower({sql_stem('source_filename')}), '[/\\\\_\\- .()]+') AS words, {_NAT} AS nat FROM match_evidence WHERE final_family_id IS NOT NULL)"
 
 

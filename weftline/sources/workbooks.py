@@ -79,8 +79,8 @@ def _stem(path: str) -> str:
 def _delimiter(path: str, content: bytes) -> str:
     if path.lower().endswith(".tsv"):
         return "\t"
-    head = content[:4096].decode("utf-8-sig", errors="replace").splitlines()[:1]
-    return max((",", ";", "\t"), key=(head[0] if head else "").count)
+    head = re.split(rb"[\r\n]", content, maxsplit=1)[0].decode("utf-8-sig", errors="replace")  # the whole first line
+    return max((",", ";", "\t"), key=head.count)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,8 @@ def utc_instant(df: DataFrame, name: str = "ts") -> DataFrame:
 
 
 def stage_windows(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events, users and value of each type and window; events later than ``late`` are left out."""
+    """Events and value of each type and window. In append and update mode events later than ``late`` are left out and
+    closed windows leave the state; in complete mode, by its definition, all windows stay and every event counts."""
     timed = utc_instant(events).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
