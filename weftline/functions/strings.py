@@ -108,6 +108,26 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda t: F.when(t.rlike("^[0-9]"), F.concat(F.format_string("%010d", F.length(number(t))), number(t))).otherwise(t)), "")
 
 
+#: What the last word of a stem tells of the camera's place (fixed values).
+ORIENTATION = {
+    "front": "FRONT", "frontal": "FRONT", "face": "FRONT", "avant": "FRONT", "delante": "FRONT",
+    "back": "BACK", "rear": "BACK", "dos": "BACK", "espalda": "BACK", "retro": "BACK", "achterkant": "BACK",
+    "side": "SIDEON", "lateral": "SIDEON", "profile": "SIDEON", "profil": "SIDEON", "perfil": "SIDEON",
+    "top": "TOP", "boven": "TOP", "oben": "TOP", "bottom": "BOTTOM", "under": "BOTTOM", "dessous": "BOTTOM", "onder": "BOTTOM",
+    "diagonal": "DIAGONAL", "diag": "DIAGONAL", "angle": "DIAGONAL",
+}
+
+
+def alphanumeric_words(c: Column) -> Column:
+    """Runs of letters and digits of a text, as written."""
+    return F.regexp_extract_all(c, F.lit("[\\p{L}\\p{Nd}]+"), 0)
+
+
+def orientation(name: Column) -> Column:
+    """The camera's place by the last word of a file name's stem; null if that word tells none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ORIENTATION.items() for x in pair]), F.lower(F.try_element_at(alphanumeric_words(stem(name)), F.lit(-1))))
+
+
 def without_noise(c: Column, column_name: Column | None = None) -> Column:
     """A text without measures, dates and the numbers beside date words; identifier columns stay as they are."""
     out = c

@@ -14,7 +14,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from weftline.functions.strings import collapsed_stem, concatenation_distance, digit_runs, digits_only, filename_tokens, profile_tokens, stem
+from weftline.functions.strings import basename, collapsed_stem, concatenation_distance, digit_runs, digits_only, extension, filename_tokens, profile_tokens, stem
 
 MIN_DIGITS = 5
 MAX_DIGITS = 18
@@ -26,6 +26,8 @@ MIN_WORDS = 2
 IDENTIFIER_LENGTH = 4
 FUZZY_LENGTH = 4
 PAIRED_WORDS = 64
+#: Endings of pictures (fixed values).
+IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp"]
 
 
 def catalogue(tokens: DataFrame) -> DataFrame:
@@ -287,13 +289,27 @@ def feature_candidates(images: DataFrame, tokens: DataFrame, terms: DataFrame, u
 
 
 def by_cell(img: DataFrame, sheet_rows: DataFrame) -> DataFrame:
-    """(id, rec): names whose collapsed stem a sheet's cell holds, all such rows having one and the same record number."""
+    """(id, rec): names that a sheet's cell holds, all such rows having one and the same record number.
+
+    A name is looked for as it is (base name with extension), then by its stem, then by its collapsed stem; the first
+    way in which any cell holds it decides, also where its rows have several numbers and it stays unmatched.
+    """
     rows = sheet_rows.select("row_id", F.explode("cells").alias("c")).where("c IS NOT NULL")
     pieces = rows.select("row_id", F.trim("c").alias("c"), F.explode(F.split(F.lower(F.trim("c")), "[\\s,;]+")).alias("p"))
     numbers = rows.where(F.trim("c").rlike("^[0-9]{8}$")).groupBy("row_id").agg(F.min(F.trim("c")).alias("lo"), F.max(F.trim("c")).alias("hi")).where("lo = hi").select("row_id", F.col("lo").alias("rec"))
-    keys = pieces.select("row_id", F.translate("p", " _-.", "").alias("key")).where("length(key) >= 6 AND NOT key RLIKE '^[0-9]{8}$'").distinct()
-    index = keys.join(numbers, "row_id").groupBy("key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
-    return img.select("id", collapsed_stem(F.col("name")).alias("key")).join(index.where("lo = hi"), "key").select("id", F.col("lo").alias("rec"))
+    piece = basename(F.col("p"))
+    bare = F.when(extension(F.col("p")).isin(IMAGE_EXTENSIONS), stem(F.col("p"))).otherwise(piece)
+    collapsed = F.translate(bare, " _-.", "")
+    usable = (F.length(collapsed) >= 6) & ~collapsed.rlike("^[0-9]{8}$")
+
+    def ways(*keys: Column) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(n).alias("way"), k.alias("key")) for n, k in enumerate(keys)]))
+
+    keys = pieces.where(usable).select("row_id", ways(piece, bare, collapsed)).distinct()
+    index = keys.join(numbers, "row_id").groupBy("way", "key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
+    asked = img.select("id", ways(F.lower(basename(F.col("name"))), F.lower(stem(F.col("name"))), collapsed_stem(F.col("name"))))
+    first = asked.join(index, ["way", "key"]).groupBy("id").agg(F.min(F.struct("way", "lo", "hi")).alias("f"))
+    return first.where("f.lo = f.hi").select("id", F.col("f.lo").alias("rec"))
 
 
 def by_cell_start(img: DataFrame, tokens: DataFrame) -> DataFrame:

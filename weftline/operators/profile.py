@@ -130,3 +130,40 @@ def digit_keys(value: Column, low: int = 6, high: int = 18) -> Column:
     whole = F.regexp_replace(value, "[^0-9]", "")
     runs = F.filter(F.regexp_extract_all(value, F.lit("[0-9]+"), 0), lambda r: F.length(r) >= low)
     return F.array_union(F.when(F.length(whole).between(low, high), F.array(whole)).otherwise(F.array().cast("array<string>")), runs)
+
+
+def sole_words(terms: DataFrame, ident: str, stop_words: list[str]) -> DataFrame:
+    """(word): the words of terms that stand for ``ident`` and for no other id."""
+    words = terms.select("canonical_id", F.explode(F.split("term", " ")).alias("word")).where(~F.col("word").isin(stop_words))
+    return words.groupBy("word").agg(F.min("canonical_id").alias("lo"), F.max("canonical_id").alias("hi")).where((F.col("lo") == ident) & (F.col("hi") == ident)).select("word")
+
+
+def header_row(cells: DataFrame, least_share: float = 0.4, least_matched: int = 2) -> DataFrame:
+    """(file, sheet, row, row_id, filled, matched, confidence): the row of each sheet that is taken for its header.
+
+    ``cells`` has (file, sheet, row, row_id, col, confidence, is_key) of the filled cells of the rows and columns that
+    are searched; confidence is null where a cell isn't understood. A row qualifies by the share of its cells that are
+    understood, or by a key header beside at least one other; the most understood cells win, then their mean
+    confidence, then the first row (and the smallest id of rows that stand at one place).
+    """
+    rows = cells.groupBy("file", "sheet", "row", "row_id").agg(F.count("*").alias("filled"), F.count("confidence").alias("matched"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.bool_or("is_key").alias("has_key"))
+    rows = rows.where((F.col("matched") >= least_share * F.col("filled")) | (F.col("has_key") & (F.col("matched") >= least_matched)))
+    best = F.max(F.struct("matched", F.round("confidence", 9).alias("confidence"), (-F.col("row")).alias("row"), (-F.col("row_id")).alias("row_id"), "filled")).alias("b")
+    return rows.groupBy("file", "sheet").agg(best).select("file", "sheet", (-F.col("b.row")).alias("row"), (-F.col("b.row_id")).alias("row_id"), "b.filled", "b.matched", "b.confidence")
+
+
+def key_column(headers: DataFrame, values: DataFrame, pattern: str = "^[0-9]{8}$") -> DataFrame:
+    """(file, sheet, key_col): the column that holds each sheet's keys, null where none does.
+
+    ``headers`` has (file, sheet, col, is_key) of the header rows' filled cells, ``values`` (file, sheet, col, value) of
+    the rows below. The one key header's column it is; of several the leftmost whose values all fit the pattern and
+    differ, else the leftmost; without a key header the only column whose values do. Values are counted once per
+    column and value before a column is judged, so a value that fills it is one row.
+    """
+    counted = values.where(strip(F.col("value")) != "").groupBy("file", "sheet", "col", F.lower(strip(F.col("value"))).alias("value")).agg(F.count("*").alias("n"))
+    fit = counted.groupBy("file", "sheet", "col").agg((F.bool_and(F.col("value").rlike(pattern)) & (F.max("n") == 1)).alias("fits"))
+    own = headers.join(fit, ["file", "sheet", "col"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+    named, both = F.when(F.col("is_key"), F.col("col")), F.when(F.col("is_key") & F.col("fits"), F.col("col"))
+    per = own.groupBy("file", "sheet").agg(F.count(named).alias("n"), F.min(named).alias("named"), F.min(both).alias("both"), F.count(F.when(F.col("fits"), 1)).alias("n_fit"), F.min(F.when(F.col("fits"), F.col("col"))).alias("fit"))
+    chosen = F.when(F.col("n") == 1, F.col("named")).when(F.col("n") > 1, F.coalesce("both", "named")).when(F.col("n_fit") == 1, F.col("fit"))
+    return per.select("file", "sheet", chosen.alias("key_col"))

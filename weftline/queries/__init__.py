@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.operators.packed_values import split_values
-from weftline.queries import matching, more, streams, strings, tables
+from weftline.queries import matching, more, sheets, streams, strings, tables
 from weftline.session import table
 
 
@@ -31,6 +31,6 @@ ORACLE: dict = {
     "property_coverage": "SELECT lower(regexp_replace(property_name, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS property, count(*) AS n_rows, "
     "count(*) FILTER (WHERE len(source_values) > 0) AS n_filled, count(DISTINCT family_id) AS n_families FROM property_values GROUP BY 1",
 }
-for _module in (strings, matching, tables, streams, more):
+for _module in (strings, matching, tables, streams, more, sheets):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

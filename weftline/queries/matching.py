@@ -107,11 +107,8 @@ def match_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_in_cell(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets' families by a cell that holds a file's collapsed stem: exactly one family number in its row.
-
-    Rows give their cells' collapsed pieces and their one eight-digit number; a name leads to the number if
-    all rows with its stem agree.
-    """
+    """Sheets' families by a cell that holds a file's name, else its stem, else its collapsed stem: exactly one family
+    number in all its rows."""
     img = table(spark, d, "match_evidence").select(F.col("evidence_id").alias("id"), F.col("source_filename").alias("name"))
     return M.by_cell(img, table(spark, d, "worksheet_rows"))
 
@@ -186,10 +183,13 @@ best AS (SELECT id, arg_min(rec, n) AS rec, arg_min(bracket, n) AS bracket FROM
 several AS (SELECT id FROM tok JOIN post USING (grp, key) GROUP BY id HAVING count(DISTINCT rec) > 1),
 absent AS (SELECT DISTINCT id FROM (SELECT id, grp, unnest(regexp_extract_all(s, '[0-9]+')) AS key FROM img) e WHERE len(key) = 8 AND NOT EXISTS (SELECT 1 FROM post p WHERE p.grp = e.grp AND p.key = e.key))
 SELECT i.id, b.rec, b.bracket, CASE WHEN b.rec IS NOT NULL THEN NULL WHEN i.id IN (SELECT id FROM several) THEN 'several records' WHEN i.id IN (SELECT id FROM absent) THEN 'number not in catalogue' ELSE 'nothing found' END AS reason FROM img i LEFT JOIN best b USING (id)""",
-    "name_in_cell": f"""WITH r AS (SELECT row_id, unnest(cells) AS c FROM worksheet_rows), p AS (SELECT DISTINCT row_id, translate(unnest(regexp_split_to_array(lower(trim(c)), '[\\s,;]+')), ' _-.', '') AS key FROM r WHERE c IS NOT NULL),
+    "name_in_cell": f"""WITH r AS (SELECT row_id, unnest(cells) AS c FROM worksheet_rows), q AS (SELECT row_id, regexp_extract(unnest(regexp_split_to_array(lower(trim(c)), '[\\s,;]+')), '([^/\\\\]*)$', 1) AS piece FROM r WHERE c IS NOT NULL),
+b AS (SELECT *, CASE WHEN regexp_matches(piece, '[.](jpg|jpeg|png|gif|bmp|tif|tiff|webp)$') THEN regexp_replace(piece, '\\.[^.]*$', '') ELSE piece END AS bare FROM q),
+p AS (SELECT DISTINCT row_id, way, CASE way WHEN 0 THEN piece WHEN 1 THEN bare ELSE translate(bare, ' _-.', '') END AS key FROM b, (VALUES (0), (1), (2)) w(way) WHERE len(translate(bare, ' _-.', '')) >= 6 AND NOT regexp_matches(translate(bare, ' _-.', ''), '^[0-9]{{8}}$')),
 n AS (SELECT row_id, min(trim(c)) AS rec FROM r WHERE regexp_matches(trim(c), '^[0-9]{{8}}$') GROUP BY 1 HAVING count(DISTINCT trim(c)) = 1),
-x AS (SELECT key, min(rec) AS rec FROM p JOIN n USING (row_id) WHERE len(key) >= 6 AND NOT regexp_matches(key, '^[0-9]{{8}}$') GROUP BY 1 HAVING count(DISTINCT rec) = 1)
-SELECT evidence_id AS id, rec FROM match_evidence JOIN x ON x.key = {_COLLAPSED.format(s=sql_stem('source_filename'))}""",
+x AS (SELECT way, key, min(rec) AS lo, max(rec) AS hi FROM p JOIN n USING (row_id) GROUP BY 1, 2),
+a AS (SELECT evidence_id AS id, way, CASE way WHEN 0 THEN lower(regexp_extract(source_filename, '([^/\\\\]*)$', 1)) WHEN 1 THEN lower({sql_stem('source_filename')}) ELSE {_COLLAPSED.format(s=sql_stem('source_filename'))} END AS key FROM match_evidence, (VALUES (0), (1), (2)) w(way))
+SELECT id, lo AS rec FROM (SELECT id, lo, hi FROM a JOIN x USING (way, key) QUALIFY row_number() OVER (PARTITION BY id ORDER BY way) = 1) WHERE lo = hi""",
     "name_starts_with_cell": f"""WITH i AS (SELECT evidence_id AS id, job_id AS grp, {_COLLAPSED.format(s=sql_stem('source_filename'))} AS s FROM match_evidence),
 x AS (SELECT DISTINCT job_id AS grp, family_id AS rec, translate(lower(family_token), ' _-.', '') AS key FROM token_evidence WHERE property_name = 'refco' AND job_id IS NOT NULL AND family_token IS NOT NULL)
 SELECT id, min(rec) AS rec FROM i JOIN x USING (grp) WHERE len(key) >= 5 AND starts_with(s, key) GROUP BY 1 HAVING count(DISTINCT rec) = 1""",

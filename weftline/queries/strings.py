@@ -112,7 +112,13 @@ def synonym_pairs(spark: SparkSession, d: str) -> DataFrame:
 _E = "match_evidence"
 _NOISE_SQL = "coalesce(v, '')"
 
-QUERIES = {f.__name__: f for f in (path_parts, digit_parts, header_terms, cell_token_counts, name_words, name_profiles, natural_order, noise_free, silent_names, safe_names, concat_distances, term_edits, synonym_pairs)}
+def orientations(spark: SparkSession, d: str) -> DataFrame:
+    """The camera's place that the last word of each file name tells, with how sure that is."""
+    m = table(spark, d, "match_evidence").select("evidence_id", S.orientation(F.col("source_filename")).alias("orientation"))
+    return m.where("orientation IS NOT NULL").withColumn("confidence", F.lit(0.6))
+
+
+QUERIES = {f.__name__: f for f in (path_parts, digit_parts, header_terms, cell_token_counts, name_words, name_profiles, natural_order, noise_free, silent_names, safe_names, concat_distances, term_edits, synonym_pairs, orientations)}
 ORACLE = {
     "path_parts": f"SELECT evidence_id, {BASE.format(x='source_filename')} AS base, {sql_stem('source_filename')} AS stem, lower(regexp_extract({BASE.format(x='source_filename')}, '(\\.[^.]*)$', 1)) AS extension, regexp_extract(source_filename, '([^/\\\\]+)[/\\\\][^/\\\\]*$', 1) AS folder FROM {_E}",
     "digit_parts": f"SELECT evidence_id, array_to_string(regexp_extract_all(s, '[0-9]+'), ',') AS runs, nullif(regexp_replace(s, '[^0-9]', '', 'g'), '') AS digits FROM (SELECT evidence_id, {sql_stem('source_filename')} AS s FROM {_E})",
@@ -120,6 +126,8 @@ ORACLE = {
     "cell_token_counts": "SELECT sheet_name, t AS token, count(*) AS n FROM (SELECT sheet_name, unnest(regexp_split_to_array(lower(c), '[ \\t\\r\\n,;/\\\\|:._-]+')) AS t FROM (SELECT sheet_name, unnest(cells) AS c FROM worksheet_rows)) WHERE t <> '' GROUP BY 1, 2",
     "name_words": f"SELECT evidence_id, array_to_string(list_sort({sql_words('source_filename')}), ' ') AS words FROM {_E}",
     "name_profiles": f"SELECT evidence_id, array_to_string({sql_profile('source_filename')}, ' ') AS profile, translate(regexp_replace(lower({sql_stem('source_filename')}), '(\\s*\\([0-9]+\\)|[-_ ]+(copy|ret|retouch(ed)?))+$', ''), ' _-.', '') AS collapsed FROM {_E}",
+    "orientations": f"SELECT evidence_id, orientation, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT evidence_id, lower(regexp_extract_all({sql_stem('source_filename')}, '[\\p{{L}}\\p{{Nd}}]+')[-1]) AS w FROM match_evidence) JOIN (VALUES "
+    + ", ".join(f"('{w}', '{o}')" for w, o in S.ORIENTATION.items()) + ") v(w, orientation) USING (w)",
     "natural_order": f"SELECT evidence_id, row_number() OVER (PARTITION BY job_id ORDER BY k COLLATE C, evidence_id) AS rank FROM (SELECT evidence_id, job_id, array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(CAST(length(ltrim(t, '0')) AS VARCHAR), 10, '0') || ltrim(t, '0') ELSE t END for t in regexp_extract_all(lower(source_filename), '[0-9]+|[^0-9]')], '') AS k FROM {_E})".replace(" COLLATE C", ""),
     "silent_names": f"SELECT job_id, count(*) FILTER (WHERE len([t for t in flatten([regexp_extract_all(p, '[0-9]+|[^0-9]+') for p in regexp_split_to_array({FOLD.format(x=sql_stem('source_filename'))}, '[^a-z0-9]+')]) if len(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({', '.join(repr(p) for p in S.CAMERA_PREFIXES)})]) = 0) AS silent, count(*) AS n FROM {_E} GROUP BY 1",
     "safe_names": f"SELECT evidence_id, lpad(CAST(evidence_id AS VARCHAR), 6, '0') || '_' || regexp_replace({sql_stem('source_filename')}, '[^A-Za-z0-9._-]', '_', 'g') || '.jpg' AS safe_name FROM {_E}",

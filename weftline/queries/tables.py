@@ -193,6 +193,33 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d)
 
 
+#: Phenotypes that each display slot takes, the best first.
+PHENOTYPE_SLOTS = {0: ["packshot"], 1: ["worn", "packshot"], 2: ["detail", "worn"], 3: ["detail"]}
+
+
+def phenotype_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Each family's display slots with the image that takes them: by the phenotype's place in the slot's list, then the
+    best score, the camera's place told by the name, and the name."""
+    m = table(spark, d, "match_evidence").where("final_family_id IS NOT NULL")
+    kind = F.try_element_at(U.feature_map(F.col("image_ngp_summary")), F.lit("phenotype"))
+    shots = m.select(F.col("final_family_id").alias("family"), "evidence_id", kind.alias("kind"), (-F.coalesce("final_score", F.lit(0.0))).alias("neg"), S.orientation(F.col("source_filename")).isNull().cast("int").alias("unhinted"), F.col("source_filename").alias("name")).where("kind IS NOT NULL")
+    may = F.array_compact(F.array(*[F.when(F.col("kind") == k, F.struct(F.lit(s).alias("slot"), F.lit(n).alias("place"))) for s, ks in PHENOTYPE_SLOTS.items() for n, k in enumerate(ks)]))
+    return R.fill_slots(shots.select("*", F.inline(may)), list(PHENOTYPE_SLOTS), "family", "evidence_id", ["place", "neg", "unhinted", "name"])
+
+
+def product_types(spark: SparkSession, d: str) -> DataFrame:
+    """What each value of a product type means: the list's id itself, else the whole phrase, else its first known word."""
+    terms = table(spark, d, "translation_terms").where("term_domain = 'producttype'")
+    phrase = terms.groupBy(S.normalized_term(F.col("term")).alias("key")).agg(F.min("canonical_id").alias("id"))
+    slug = terms.select(F.col("canonical_id").alias("slug")).distinct()
+    v = table(spark, d, "dedup_members").where("product_type IS NOT NULL").select(F.col("product_type").alias("value")).distinct()
+    v = v.select("value", F.translate(F.lower(strip(F.col("value"))), " _", "--").alias("slug"), S.normalized_term(F.col("value")).alias("key"))
+    words = v.select("value", F.posexplode(S.alphanumeric_words(F.col("value"))).alias("n", "word")).select("value", "n", S.normalized_term(F.col("word")).alias("key")).join(phrase, "key")
+    first = words.groupBy("value").agg(F.min(F.struct("n", "id"))["id"].alias("by_word"))
+    out = v.join(slug.withColumn("by_slug", F.col("slug")), "slug", "left").join(phrase.withColumnRenamed("id", "by_phrase"), "key", "left").join(first, "value", "left")
+    return out.select("value", F.coalesce("by_slug", "by_phrase", "by_word").alias("type_id"))
+
+
 def overflow_order(spark: SparkSession, d: str) -> DataFrame:
     """Images without a slot, numbered behind the slots in natural order."""
     taken = _assigned(spark, d)
@@ -472,6 +499,7 @@ def import_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    phenotype_slots, product_types,
     column_profile, column_overlaps, merged_columns, key_columns, filled_rows, dense_width, header_confidence, header_rows, header_ids, property_values_of, collated_records, conflicting_properties,
     empty_properties, orphan_rows, orphan_tallies, rules_satisfied, rules_remaining, feature_values, slot_assignment, overflow_order, compact_order, first_images, first_types, first_postings,
     strongest_values, tie_reasons, name_collisions, new_names, small_families, candidate_families, profile_words, counts_seeded, manifest_summary, manifest_rows, stage_counts, latest_jobs,
@@ -560,7 +588,20 @@ _EXT = "lower(regexp_extract(regexp_extract(initial_full_name, '([^/\\\\]*)$', 1
 from weftline.queries.matching import _DIGITS, _IMG  # noqa: E402
 from weftline.queries.strings import sql_profile  # noqa: E402
 
+_KIND = "nullif(regexp_extract(image_ngp_summary, '(?:^|;)phenotype=([^;]*)', 1), '')"
+_LAST = f"list_contains({list(S.ORIENTATION)!r}, lower(regexp_extract_all({sql_stem('source_filename')}, '[\\p{{L}}\\p{{Nd}}]+')[-1]))"
+_SLOTS = f"WITH shots AS (SELECT final_family_id AS family, evidence_id, {_KIND} AS kind, -coalesce(final_score, 0) AS neg, NOT coalesce({_LAST}, false) AS unhinted, source_filename AS name FROM match_evidence WHERE final_family_id IS NOT NULL AND {_KIND} IS NOT NULL)" + "".join(
+    f", s{s} AS (SELECT family, evidence_id, {s} AS slot FROM shots WHERE list_contains({ks!r}, kind)" + "".join(f" AND evidence_id NOT IN (SELECT evidence_id FROM s{t})" for t in range(s))
+    + f" QUALIFY row_number() OVER (PARTITION BY family ORDER BY list_position({ks!r}, kind), neg, unhinted, name, evidence_id) = 1)" for s, ks in PHENOTYPE_SLOTS.items()) + " SELECT * FROM s0" + "".join(f" UNION ALL SELECT * FROM s{s}" for s in list(PHENOTYPE_SLOTS)[1:])
+_TERM = "regexp_replace(" + FOLD + ", '[^a-z0-9]', '', 'g')"
+_TYPES = f"""WITH t AS (SELECT canonical_id, {_TERM.format(x='term')} AS key FROM translation_terms WHERE term_domain = 'producttype'), p AS (SELECT key, min(canonical_id) AS id FROM t GROUP BY 1),
+v AS (SELECT DISTINCT product_type AS value FROM dedup_members WHERE product_type IS NOT NULL),
+w AS (SELECT value, generate_subscripts(ws, 1) AS n, unnest(ws) AS word FROM (SELECT value, regexp_extract_all(value, '[\\p{{L}}\\p{{Nd}}]+') AS ws FROM v)),
+f AS (SELECT value, arg_min(id, n) AS id FROM w JOIN p ON p.key = {_TERM.format(x='word')} GROUP BY 1)
+SELECT v.value, coalesce((SELECT any_value(canonical_id) FROM t WHERE canonical_id = translate(lower(trim(v.value)), ' _', '--')), (SELECT id FROM p WHERE key = {_TERM.format(x='v.value')}), f.id) AS type_id FROM v LEFT JOIN f USING (value)"""
 ORACLE = {
+    "phenotype_slots": _SLOTS,
+    "product_types": _TYPES,
     "column_profile": _PROFILE,
     "key_columns": f"SELECT tab, col FROM ({_PROFILE}) WHERE n_values = filled AND filled = n_rows",
     "column_overlaps": "WITH v AS (" + " UNION ".join(f"SELECT '{t}' AS col, {c} AS value FROM (SELECT trim({c}) AS {c} FROM {t}) WHERE {c} <> ''" for t, c in FAMILY_COLUMNS) + "), n AS (SELECT col, count(*) AS n FROM v GROUP BY 1) SELECT x.col AS a, y.col AS b, count(*) AS shared, round(count(*) / least(min(p.n), min(q.n)), 6) AS ratio FROM v x JOIN v y ON x.value = y.value AND x.col < y.col JOIN n p ON p.col = x.col JOIN n q ON q.col = y.col GROUP BY 1, 2 HAVING count(*) / least(min(p.n), min(q.n)) > 0.2",
