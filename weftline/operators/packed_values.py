@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,6 +44,8 @@ MARK_WEIGHT = 6.0
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
 _SURE = re.compile(r"\s*(?:\\r\\n|\\n|\\r|\\t|[\r\n\t  \x0b\x0c]|[;|•·]|,,+|//+)\s*")
 _MAYBE = re.compile(r"\s*[,/+]\s*|\s+[-–—]+\s+|^[-–—]\s+|\s+[-–—]$")
+#: Without any of these an entry is one value.
+_ANY_MARK = "[\\\\;|•·,/+\\t\\r\\n\\x0b\\x0c\\u0085\\u2028\\u2029]|[-–—][\\s\\p{Z}\\x1c-\\x1f\\u0085]|[\\s\\p{Z}\\x1c-\\x1f\\u0085][-–—]"
 #: Runs in which nothing begins or ends, and of digits.
 _DULL = re.compile(r"[^\s,/+\-–—;|•·\\\d" + "".join(map(re.escape, _QUOTES)) + r"]+")
 _DIGITS = re.compile(r"\d+")
@@ -448,10 +451,10 @@ def learn(entries: DataFrame) -> Model:
     """The model, learned from all entries (columns ``col``, ``entry``)."""
     sc = entries.sparkSession.sparkContext
 
-    def cut_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(col, f) for col, entry in zip(pdf["col"], pdf["entry"], strict=True) for f in fields(entry)]
-            yield pd.DataFrame({"col": [c for c, _ in found], "atoms": [f for _, f in found]})
+    def cut_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(col, f) for col, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in fields(entry)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([f for _, f in found], pa.list_(pa.string()))], names=["col", "atoms"])
 
     def lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -463,7 +466,7 @@ def learn(entries: DataFrame) -> Model:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from map(sure_counts, batches)
 
-    split = entries.mapInPandas(cut_fields, "col string, atoms array<string>")
+    split = entries.select("col", "entry").mapInArrow(cut_fields, "col string, atoms array<string>")
     distinct = materialize(split.groupBy("col", "atoms").agg(F.count("*").cast("double").alias("n")), "packed-fields")
     ambiguous = materialize(distinct.where("size(atoms) > 1").select("col", "atoms").mapInPandas(lattices, Lattices.SCHEMA), "packed-lattices")
     asked = ambiguous.select(F.explode(F.array_distinct(F.concat("hv", "hd", "hs"))).alias("hash")).distinct()
@@ -511,19 +514,24 @@ def split_values(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFram
     entries = rows.select("col", F.explode("entries").alias("entry")).where("entry IS NOT NULL")
     held = rows.sparkSession.sparkContext.broadcast(learn(entries))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-        for pdf in batches:
+        for batch in batches:
             if len(known) > CACHE:
                 known.clear()
-            split = [[[(col, tuple(f)) for f in fields(entry)] for entry in own if entry is not None] for col, own in zip(pdf["col"], pdf["entries"], strict=True)]
+            names, idents, cols, lists = (c.to_pylist() for c in batch.columns)
+            split = [[[(col, tuple(f)) for f in fields(entry)] for entry in own if entry is not None] for col, own in zip(cols, lists, strict=True)]
             new = list(dict.fromkeys(f for own in split for entry in own for f in entry if len(f[1]) > 1 and f not in known))
             known.update(zip(new, cut_fields_of(held.value, [(c, list(f)) for c, f in new]), strict=True))
-            out = []
-            for name, ident, own in zip(pdf["table_name"], pdf["record_id"], split, strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for name, ident, own in zip(names, idents, split, strict=True):
                 found = [[v for f in entry for x in known.get(f, f[1]) if (v := unquoted(x))] for entry in own]
                 if any(len(values) > 1 for values in found):
-                    out += [(name, ident, k, v) for k, v in enumerate((v for values in found for v in values), 1)]
-            yield pd.DataFrame(out, columns=["table_name", "record_id", "pos", "value_text"])
-
-    return rows.mapInPandas(cut, "table_name string, record_id long, pos long, value_text string")
+                    values = [v for values in found for v in values]
+                    for to, xs in zip(out, ([name] * len(values), [ident] * len(values), range(1, len(values) + 1), values), strict=True):
+                        to += xs
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["table_name", "record_id", "pos", "value_text"])
+
+    rows = rows.where(F.exists("entries", lambda e: e.rlike(_ANY_MARK)))  # others hold no entry of several values
+    return rows.mapInArrow(cut, "table_name string, record_id long, pos long, value_text string")
