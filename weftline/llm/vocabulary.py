@@ -39,40 +39,51 @@ LEET = str.maketrans("013457", "oieast")
 def distance(a: str, b: str, limit: int | None = None) -> int:
     """Damerau-Levenshtein distance with transpositions of any kind; a true metric.
 
-    With a limit, any value above it may be returned once it is certain that it is exceeded.
+    With a limit, limit + 1 stands for every distance above it; cells further than the limit from the diagonal
+    can't lead to a smaller one and are left out.
     """
     if a == b:
         return 0
     n, m = len(a), len(b)
-    top = n + m
-    if limit is not None and abs(n - m) > limit:
-        return limit + 1
+    top = n + m if limit is None else limit + 1
+    band = top
+    if abs(n - m) >= top:
+        return top
     last: dict[str, int] = {}
-    rows = [[top] * (m + 2), [top, *range(m + 1)]]
+    rows = [[top] * (m + 2), [min(top, j - 1) for j in range(m + 2)]]
+    rows[1][0] = top
     for i in range(1, n + 1):
-        row, before, match = [top, i] + [0] * m, rows[i], 0
-        x = a[i - 1]
-        for j in range(1, m + 1):
+        row, before, match = [top] * (m + 2), rows[i], 0
+        if i < top:
+            row[1] = i
+        x, least = a[i - 1], top
+        first = i - band if i > band else 1
+        for y in b[: first - 1]:  # where the letter stood last before the band
+            if x == y:
+                match = first - 1
+        for j in range(first, min(m, i + band) + 1):
             y = b[j - 1]
-            k, col = last.get(y, 0), match
-            cost = 1
             if x == y:
-                cost, match = 0, j
-            v = before[j] + cost
-            if row[j] + 1 < v:
-                v = row[j] + 1
-            if before[j + 1] + 1 < v:
-                v = before[j + 1] + 1
+                v, k, col, match = before[j], 0, 0, j
+            else:
+                k, col = last.get(y, 0), match
+                v = before[j] + 1
+            w = row[j] if row[j] < before[j + 1] else before[j + 1]
+            if w < v - 1:
+                v = w + 1
             if k and col:
-                t = rows[k][col] + (i - k - 1) + 1 + (j - col - 1)
-                if t < v:
-                    v = t
-            row[j + 1] = v
+                w = rows[k][col] + (i - k) + (j - col) - 1
+                if w < v:
+                    v = w
+            if v < top:
+                row[j + 1] = v
+                if v < least:
+                    least = v
         last[x] = i
         rows.append(row)
-        if limit is not None and min(row[1:]) > limit + 1 and min(before[1:]) > limit + 1:
-            return limit + 1
-    return rows[n + 1][m + 1]
+        if least >= top and i > 1 and min(before[1:]) >= top:
+            return top
+    return min(top, rows[n + 1][m + 1])
 
 
 def fold(text: str) -> str:
@@ -86,33 +97,58 @@ def threshold(length: int) -> int:
 
 
 class BKTree:
-    """Burkhard-Keller tree: the children of a node stand under their distance from it."""
+    """Burkhard-Keller tree: the children of a node stand under their distance from it.
+
+    Each entry also has a set of bits, one for a letter's first occurrence, one for its second and so on. As many
+    letters as one text has beyond another, so many edits lie between them at least, and no more than the longer one
+    has letters. Where these bounds show that a node is too far and little stands below it, the triangle inequality
+    is taken with them; else with the distance.
+    """
+
+    #: Entries below a node from which its exact distance is worth taking.
+    MANY = 64
 
     def __init__(self, keys: list[str]):
-        self.root: tuple[str, dict] | None = None
+        self.root: tuple[str, int, dict, list[int]] | None = None
+        self.bit: dict[tuple[str, int], int] = {}
         for k in keys:
             self.add(k)
 
+    def letters(self, text: str) -> int:
+        bits, seen = 0, {}
+        for c in text:
+            n = seen[c] = seen.get(c, 0) + 1
+            bits |= 1 << self.bit.setdefault((c, n), len(self.bit))
+        return bits
+
     def add(self, key: str) -> None:
+        own = (key, self.letters(key), {}, [1])
         if self.root is None:
-            self.root = (key, {})
+            self.root = own
             return
-        node = self.root
+        node, path = self.root, []
         while d := distance(key, node[0]):
-            if d not in node[1]:
-                node[1][d] = (key, {})
+            path.append(node)
+            if d not in node[2]:
+                node[2][d] = own
+                for above in path:
+                    above[3][0] += 1
                 return
-            node = node[1][d]
+            node = node[2][d]
 
     def within(self, key: str, radius: int) -> list[tuple[int, str]]:
         """Every entry within the radius: only children at d-radius to d+radius can hold any."""
-        found, stack = [], [self.root] if self.root else []
+        found, stack, mine = [], [self.root] if self.root else [], self.letters(key)
         while stack:
-            entry, children = stack.pop()
-            d = distance(key, entry)
-            if d <= radius:
-                found.append((d, entry))
-            stack += [child for at, child in children.items() if d - radius <= at <= d + radius]
+            entry, theirs, children, below = stack.pop()
+            low, high = max((mine & ~theirs).bit_count(), (theirs & ~mine).bit_count()), max(len(key), len(entry))
+            if children and low > radius + max(children) or not children and low > radius:
+                continue
+            if low <= radius or below[0] > self.MANY:
+                low = high = d = distance(key, entry, None if children else radius)
+                if d <= radius:
+                    found.append((d, entry))
+            stack += [child for at, child in children.items() if low - radius <= at <= high + radius]
         return found
 
 
