@@ -140,3 +140,16 @@ def test_long_chain_of_anchors(spark):
     hashes = spark.createDataFrame([("x", i + 1, i) for i in range(n)], "name string, hash long, first long")
     pairs = spark.createDataFrame([("x", i + 1, i + 2) for i in range(n - 1)], "name string, a long, b long")
     assert {r.hash: r.anchor for r in H.anchors(hashes, pairs).collect()} == {i + 1: i + 1 - i % 2 for i in range(n)}
+
+
+def test_changed_rows_of_a_stream(spark, tmp_path):
+    """Over many small batches the last state of each key counts, as over one."""
+    from weftline.streaming import progress as Q
+
+    r = random.Random(6)
+    rows = [(i, f"u{r.randrange(9)}", r.randrange(10_000), r.choice("abc")) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts long, event_type string")
+    df.repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    got = Q.run_to_table(Q.latest_states(Q.event_stream(spark, str(tmp_path), files_per_trigger=3)), "t", "update", ["user_id"]).collect()
+    want = {u: max((t, i, e) for i, v, t, e in rows if v == u) for u in {x[1] for x in rows}}
+    assert {x.user_id: (x.ts, x.event_type) for x in got} == {u: (t, e) for u, (t, _, e) in want.items()}

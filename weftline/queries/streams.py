@@ -17,7 +17,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user."""
-    return P.run_to_table(P.latest_states(P.event_stream(spark, d)), "stream-latest")
+    return P.run_to_table(P.latest_states(P.event_stream(spark, d)), "stream-latest", "update", ["user_id"])
 
 
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_kept(spark: SparkSession, d: str) -> DataFrame:
     """Users' last states without those that ended a day before the newest."""
-    return P.kept(P.run_to_table(P.latest_states(P.event_stream(spark, d)), "stream-latest")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return P.kept(stream_latest(spark, d)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def address_routes(spark: SparkSession, d: str) -> DataFrame:

@@ -53,8 +53,9 @@ def kept(states: DataFrame, hours: int = 24, terminal: tuple[str, ...] = ("purch
     return states.join(F.broadcast(newest)).where(~old).drop("_newest")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, into a table in the shared folder; each batch replaces it (complete) or adds to it.
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there now, into a table in the shared folder. Each batch replaces it (complete), adds
+    to it (append) or adds the rows that changed, of which the last of each of the ``keys`` counts (update).
 
     A batch that is repeated after a failure writes the same files again: results are exact.
     """
@@ -70,4 +71,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
     finally:
         q.stop()
     out = spark.read.parquet(f"{root}/table")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in (keys or [])]
+        last = out.groupBy(*(keys or [])).agg(F.max(F.struct("batch", *rest)).alias("_last"))
+        return last.select(*[c if c in (keys or []) else F.col("_last")[c].alias(c) for c in stream.columns])
     return out if mode == "complete" else out.drop("batch")
