@@ -294,9 +294,10 @@ def by_cell(img: DataFrame, sheet_rows: DataFrame) -> DataFrame:
     A name is looked for as it is (base name with extension), then by its stem, then by its collapsed stem; the first
     way in which any cell holds it decides, also where its rows have several numbers and it stays unmatched.
     """
-    rows = sheet_rows.select("row_id", F.explode("cells").alias("c")).where("c IS NOT NULL")
-    pieces = rows.select("row_id", F.trim("c").alias("c"), F.explode(F.split(F.lower(F.trim("c")), "[\\s,;]+")).alias("p"))
-    numbers = rows.where(F.trim("c").rlike("^[0-9]{8}$")).groupBy("row_id").agg(F.min(F.trim("c")).alias("lo"), F.max(F.trim("c")).alias("hi")).where("lo = hi").select("row_id", F.col("lo").alias("rec"))
+    # a row's one number is found in its array; each piece is taken apart once, however many rows hold it
+    number = F.array_distinct(F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c.rlike("^[0-9]{8}$")))
+    rows = sheet_rows.select("cells", number.alias("n")).where("size(n) = 1").select(F.col("n")[0].alias("rec"), F.explode("cells").alias("c")).where("c IS NOT NULL")
+    pieces = rows.select("rec", F.explode(F.split(F.lower(F.trim("c")), "[\\s,;]+")).alias("p")).where("length(p) >= 6").groupBy("p").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
     piece = basename(F.col("p"))
     bare = F.when(extension(F.col("p")).isin(IMAGE_EXTENSIONS), stem(F.col("p"))).otherwise(piece)
     collapsed = F.translate(bare, " _-.", "")
@@ -305,8 +306,7 @@ def by_cell(img: DataFrame, sheet_rows: DataFrame) -> DataFrame:
     def ways(*keys: Column) -> Column:
         return F.inline(F.array(*[F.struct(F.lit(n).alias("way"), k.alias("key")) for n, k in enumerate(keys)]))
 
-    keys = pieces.where(usable).select("row_id", ways(piece, bare, collapsed)).distinct()
-    index = keys.join(numbers, "row_id").groupBy("way", "key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
+    index = pieces.where(usable).select("lo", "hi", ways(piece, bare, collapsed)).groupBy("way", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     asked = img.select("id", ways(F.lower(basename(F.col("name"))), F.lower(stem(F.col("name"))), collapsed_stem(F.col("name"))))
     first = asked.join(index, ["way", "key"]).groupBy("id").agg(F.min(F.struct("way", "lo", "hi")).alias("f"))
     return first.where("f.lo = f.hi").select("id", F.col("f.lo").alias("rec"))
