@@ -67,3 +67,12 @@ def test_cases(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fill_against_the_bound(seed):
+    """Of lengths as texts have them no more sequences are made than one beyond the bound by volume."""
+    r = np.random.default_rng(seed)
+    sizes = np.clip(r.lognormal(5.5, 1.0, 6000).astype(int), 1, P.CAPACITY)
+    bins = P.best_two_fit(sizes, P.CAPACITY)
+    assert bins.max() + 1 <= -(-sizes.sum() // P.CAPACITY) + 1
