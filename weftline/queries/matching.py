@@ -74,6 +74,14 @@ def match_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("id").agg(F.min("lo").alias("rec"), F.max("hi").alias("other")).where("rec = other").drop("other")
 
 
+def header_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Words of header cells that are two neighbouring words of one meaning's terms written together."""
+    heads = table(spark, d, "header_cells").where("raw_header IS NOT NULL").select("header_id", F.explode(F.array_distinct(F.split(F.lower("raw_header"), "[^a-zà-öø-ÿ0-9]+"))).alias("key"))
+    terms = table(spark, d, "translation_terms").where("term_domain = 'header'").select(F.lit("").alias("grp"), F.col("canonical_id").alias("rec"), F.lit("term").alias("prop"), F.col("term").alias("value"))
+    found = heads.join(M.holders(M.neighbour_words(terms)), "key").groupBy("header_id").agg(F.min("lo").alias("rec"), F.max("hi").alias("other"))
+    return found.where("rec = other").drop("other")
+
+
 def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of names that no family of the job has, with the family words one edit away."""
     img, cat = _parts(spark, d)
@@ -122,7 +130,7 @@ def name_starts_with_cell(spark: SparkSession, d: str) -> DataFrame:
     return M.by_cell_start(img, table(spark, d, "token_evidence"))
 
 
-QUERIES = {f.__name__: f for f in (match_digits, ambiguous_digits, match_concatenated, match_permuted, match_intersection, match_contained, match_words, match_neighbours, fuzzy_words, sibling_equal, sibling_related, match_cascade, name_in_cell, name_starts_with_cell)}
+QUERIES = {f.__name__: f for f in (match_digits, ambiguous_digits, match_concatenated, match_permuted, match_intersection, match_contained, match_words, match_neighbours, header_neighbours, fuzzy_words, sibling_equal, sibling_related, match_cascade, name_in_cell, name_starts_with_cell)}
 
 _IMG = f"img AS (SELECT evidence_id AS id, job_id AS grp, {sql_stem('source_filename')} AS s, source_filename AS name FROM match_evidence WHERE job_id IS NOT NULL AND source_filename IS NOT NULL)"
 _CAT = "cat AS (SELECT job_id AS grp, family_id AS rec, 'family_id' AS prop, family_id AS value FROM token_evidence WHERE job_id IS NOT NULL AND family_id IS NOT NULL UNION ALL SELECT job_id, family_id, property_name, family_token FROM token_evidence WHERE job_id IS NOT NULL AND family_id IS NOT NULL AND family_token IS NOT NULL)"
@@ -172,6 +180,10 @@ SELECT w.id, rec, matched, round(least(1.0, matched * 1.0 / (SELECT count(*) FRO
 pairs AS (SELECT grp, rec, w[i] AS a, w[i + 1] AS b FROM w, range(1, 60) r(i) WHERE i < len(w)),
 post AS (SELECT grp, rec, a || b AS key FROM pairs WHERE NOT (regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$')) UNION SELECT grp, rec, b || a FROM pairs WHERE NOT (regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$')))
 SELECT id, min(rec) AS rec FROM words JOIN post USING (grp, key) GROUP BY id HAVING count(DISTINCT rec) = 1""",
+    "header_neighbours": """WITH w AS (SELECT canonical_id AS rec, [x for x in regexp_split_to_array(lower(term), '[^a-zà-öø-ÿ0-9]+') if len(x) >= 2] AS w FROM translation_terms WHERE term_domain = 'header'),
+p AS (SELECT rec, w[i] AS a, w[i + 1] AS b FROM w, range(1, 60) r(i) WHERE i < len(w)), k AS (SELECT rec, a || b AS key FROM p UNION SELECT rec, b || a FROM p),
+h AS (SELECT DISTINCT header_id, unnest(regexp_split_to_array(lower(raw_header), '[^a-zà-öø-ÿ0-9]+')) AS key FROM header_cells)
+SELECT header_id, min(rec) AS rec FROM h JOIN k USING (key) GROUP BY 1 HAVING count(DISTINCT rec) = 1""",
     "fuzzy_words": f"""WITH {_IMG}, {_CAT}, lex AS (SELECT DISTINCT grp, key FROM (SELECT grp, unnest({_SPLIT}) AS key FROM cat WHERE prop <> 'family_id') WHERE len(key) >= 2 AND NOT regexp_matches(key, '^[0-9]+$')),
 words AS (SELECT DISTINCT grp, word FROM (SELECT grp, unnest({sql_words('name')}) AS word FROM img) WHERE len(word) >= 4)
 SELECT w.grp, w.word, l.key FROM words w JOIN lex l ON l.grp = w.grp AND len(l.key) >= 4 AND abs(len(l.key) - len(w.word)) <= 1 AND levenshtein(l.key, w.word) = 1 WHERE NOT EXISTS (SELECT 1 FROM lex x WHERE x.grp = w.grp AND x.key = w.word)""",

@@ -51,9 +51,9 @@ def narrowed_families(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jobs_without_families(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs with images and no family, whose images all stay unmatched."""
-    fam = table(spark, d, "token_evidence").where("family_id IS NOT NULL").select("job_id")
-    return table(spark, d, "match_evidence").groupBy("job_id").agg(F.count("*").alias("images")).join(fam, "job_id", "left_anti")
+    """Jobs' days with images and no family noted that day, whose images all stay unmatched."""
+    fam = table(spark, d, "token_evidence").where("family_id IS NOT NULL").select("job_id", F.to_date("noted_at").alias("day")).distinct()
+    return table(spark, d, "match_evidence").groupBy("job_id", F.to_date("decided_at").alias("day")).agg(F.count("*").alias("images")).join(fam, ["job_id", "day"], "left_anti").withColumn("day", F.col("day").cast("string"))
 
 
 def unknown_features(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,15 @@ def unknown_features(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(bad).groupBy("feature", "value").agg(F.count("*").alias("n")).union(spark.createDataFrame([(f, v, 0) for f, v in used], "feature string, value string, n long"))
 
 
+def unlisted_values(spark: SparkSession, d: str) -> DataFrame:
+    """Colours and product types of delivered images that the list has under no term, with how often they come."""
+    terms = table(spark, d, "translation_terms").where("term_domain IN ('color', 'producttype')").select("term_domain", S.normalized_term(F.col("term")).alias("key")).distinct()
+    m = table(spark, d, "dedup_members")
+    told = m.select(F.inline(F.array(F.struct(F.lit("color").alias("term_domain"), F.col("color_name").alias("value")), F.struct(F.lit("producttype").alias("term_domain"), F.col("product_type").alias("value"))))).where("value IS NOT NULL")
+    counts = told.groupBy("term_domain", "value").agg(F.count("*").alias("n")).withColumn("key", S.normalized_term(F.col("value")))
+    return counts.join(terms, ["term_domain", "key"], "left_anti").select("term_domain", "value", "n")
+
+
 def repeated_names(spark: SparkSession, d: str) -> DataFrame:
     """File names of a job that come more than once without case, by their first image."""
     m = table(spark, d, "match_evidence")
@@ -97,7 +106,7 @@ def prompt_tokens(spark: SparkSession, d: str) -> DataFrame:
     return captions.mapInPandas(encode, "caption string, n_ids long, id_sum long")
 
 
-QUERIES = {f.__name__: f for f in (telling_folders, folder_aliases, narrowed_families, jobs_without_families, unknown_features, repeated_names, over_limits, ordered_chunks, prompt_tokens)}
+QUERIES = {f.__name__: f for f in (telling_folders, folder_aliases, narrowed_families, jobs_without_families, unknown_features, unlisted_values, repeated_names, over_limits, ordered_chunks, prompt_tokens)}
 
 _DULL = ", ".join(f"'{w}'" for w in [*NOISE_FOLDERS, *S.CAMERA_PREFIXES])
 _FOLDERS = f"""{_IMG}, {_CAT}, path AS (SELECT DISTINCT grp, regexp_extract(name, '^(.*)[/\\\\][^/\\\\]*$', 1) AS path FROM img),
@@ -110,8 +119,9 @@ _F = "nullif(regexp_extract(coalesce(image_ngp_summary, ''), '(?:^|;){0}=([^;]*)
 ORACLE = {
     "telling_folders": f"WITH {_FOLDERS} SELECT * FROM good",
     "folder_aliases": f"WITH {_FOLDERS} SELECT id, CASE WHEN {_SILENT} AND (grp, regexp_extract(name, '([^/\\\\]+)[/\\\\][^/\\\\]*$', 1)) IN (SELECT (grp, folder) FROM good) THEN regexp_extract(name, '([^/\\\\]+)[/\\\\][^/\\\\]*$', 1) || ' ' || regexp_extract(name, '([^/\\\\]*)$', 1) ELSE regexp_extract(name, '([^/\\\\]*)$', 1) END AS alias FROM img",
-    "jobs_without_families": "SELECT job_id, count(*) AS images FROM match_evidence WHERE job_id NOT IN (SELECT job_id FROM token_evidence WHERE family_id IS NOT NULL AND job_id IS NOT NULL) GROUP BY 1",
+    "jobs_without_families": "SELECT job_id, CAST(CAST(decided_at AS DATE) AS VARCHAR) AS day, count(*) AS images FROM match_evidence m WHERE NOT EXISTS (SELECT 1 FROM token_evidence t WHERE t.family_id IS NOT NULL AND t.job_id = m.job_id AND CAST(t.noted_at AS DATE) = CAST(m.decided_at AS DATE)) GROUP BY 1, 2",
     "unknown_features": "SELECT feature, value, count(*) AS n FROM (SELECT split_part(p, '=', 1) AS feature, split_part(p, '=', 2) AS value FROM (SELECT unnest(string_split(image_ngp_summary, ';')) AS p FROM match_evidence)) WHERE " + " OR ".join(f"(feature = '{f}' AND value NOT IN ({', '.join(repr(v) for v in vs)}))" for f, vs in TAXONOMY.items()) + " GROUP BY 1, 2",
+    "unlisted_values": f"WITH v AS (SELECT 'color' AS term_domain, color_name AS value FROM dedup_members UNION ALL SELECT 'producttype', product_type FROM dedup_members) SELECT term_domain, value, count(*) AS n FROM v WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM translation_terms t WHERE t.term_domain = v.term_domain AND regexp_replace({FOLD.format(x='t.term')}, '[^a-z0-9]', '', 'g') = regexp_replace({FOLD.format(x='v.value')}, '[^a-z0-9]', '', 'g')) GROUP BY 1, 2",
     "repeated_names": "SELECT job_id, lower(source_filename) AS name, count(*) AS times, min(evidence_id) AS first_id FROM match_evidence GROUP BY 1, 2 HAVING count(*) > 1",
     "over_limits": "SELECT job_id, count(*) AS images, CASE WHEN count(*) < 1 THEN 'too few' WHEN count(*) > 10000 THEN 'too many' ELSE 'fits' END AS batch FROM match_evidence GROUP BY 1",
     "ordered_chunks": "SELECT evidence_id, job_id, CAST((row_number() OVER (PARTITION BY job_id ORDER BY evidence_id) - 1) // 8 AS BIGINT) AS chunk FROM match_evidence WHERE job_id IS NOT NULL",
