@@ -397,9 +397,10 @@ def converged_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _colours(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    ch = [F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("embedding")[i].cast("double") + 1) * 127.5))).cast("int").alias(c) for i, c in enumerate("rgb")]
-    return e.select("vec_id", "label", *ch)
+    """Every three numbers of a vector as a colour (vec_id, label, place, r, g, b)."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)).alias("place"))
+    at = lambda k: F.get("embedding", F.col("place") * 3 + k).cast("double")
+    return e.select("vec_id", "label", "place", *[F.least(F.lit(255), F.greatest(F.lit(0), F.floor((at(k) + 1) * 127.5))).cast("int").alias(c) for k, c in enumerate("rgb")])
 
 
 def colour_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -411,7 +412,7 @@ def colour_names(spark: SparkSession, d: str) -> DataFrame:
     """Nearest named colour, brightness and skin test of each colour."""
     c = _colours(spark, d)
     r, g, b = (F.col(x).cast("double") for x in "rgb")
-    return c.select("vec_id", G.nearest_colour(r, g, b).alias("name"), F.round(G.luma(r, g, b), 4).alias("luma"), G.looks_like_skin(r, g, b).alias("skin"))
+    return c.select("vec_id", "place", G.nearest_colour(r, g, b).alias("name"), F.round(G.luma(r, g, b), 4).alias("luma"), G.looks_like_skin(r, g, b).alias("skin"))
 
 
 def few_colours(spark: SparkSession, d: str) -> DataFrame:
@@ -422,8 +423,8 @@ def few_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def value_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and variance of each label's first number."""
-    m = A.moments(table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x")), ["label"], "x")
+    """Mean and variance of all numbers of each label."""
+    m = A.moments(table(spark, d, "embeddings").select("label", F.explode("embedding").alias("x")).withColumn("x", F.col("x").cast("double")), ["label"], "x")
     return m.select("label", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
@@ -434,8 +435,9 @@ def robust_spread(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fitted_planes(spark: SparkSession, d: str) -> DataFrame:
-    """Least-squares plane of the third number over the first two, by label."""
-    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    """Least-squares plane of every third number over the two before it, by label."""
+    e = table(spark, d, "embeddings").select("label", "embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)).alias("place"))
+    e = e.select("label", *[F.get("embedding", F.col("place") * 3 + i).cast("double").alias(n) for i, n in enumerate("xyz")])
     p = A.plane(e, ["label"], "x", "y", "z")
     return p.select("label", *[F.round(c, 5).alias(c) for c in "abc"])
 
@@ -457,10 +459,16 @@ def image_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of boxes of one vector that overlap by more than a tenth. A vector has four boxes, so six pairs."""
+    """Pairs of boxes of one vector that overlap by more than a tenth. A vector's numbers are sixteen boxes, so 120 pairs."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
-    box = lambda i: [F.col("v")[4 * i + k] for k in range(4)]
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), G.overlap_ratio(box(i), box(j)).alias("overlap")) for i in range(4) for j in range(i + 1, 4)])
+    places = F.sequence(F.lit(0), F.floor(F.size("v") / 4).cast("int") - 1)
+    box = lambda i: [F.get("v", i * 4 + k) for k in range(4)]
+
+    def with_later(i):
+        later = F.filter(places, lambda j: j > i)
+        return F.transform(later, lambda j: F.struct(i.alias("i"), j.alias("j"), G.overlap_ratio(box(i), box(j)).alias("overlap")))
+
+    pairs = F.flatten(F.transform(places, with_later))
     return e.select("vec_id", F.inline(pairs)).where("overlap > 0.1").select("vec_id", "i", "j", F.round("overlap", 5).alias("overlap"))
 
 
@@ -568,15 +576,15 @@ def _slots() -> str:
 
 
 _ORDERED = f"WITH {_SHOTS}, {_slots()}, compact AS (SELECT family, evidence_id, row_number() OVER (PARTITION BY family ORDER BY coalesce(slot, 4), nat, evidence_id) - 1 AS position FROM shots LEFT JOIN slots USING (family, evidence_id))"
-_RGB = "c AS (SELECT vec_id, label, " + ", ".join(f"CAST(least(255, greatest(0, floor((CAST(embedding[{i + 1}] AS DOUBLE) + 1) * 127.5))) AS INT) AS {x}" for i, x in enumerate("rgb")) + " FROM embeddings)"
+_RGB = "c AS (SELECT vec_id, label, CAST(place AS INT) AS place, " + ", ".join(f"CAST(least(255, greatest(0, floor((CAST(embedding[3 * place + {i + 1}] AS DOUBLE) + 1) * 127.5))) AS INT) AS {x}" for i, x in enumerate("rgb")) + " FROM embeddings, range(0, 21) p(place))"
 _SKIN = "(128.0 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128.0 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173)"
 _LUMA = "(0.299 * CAST(r AS DOUBLE) + 0.587 * g + 0.114 * b)"
 _BUCKET = "CAST(floor(r / 32) * 64 + floor(g / 32) * 8 + floor(b / 32) AS INT)"
 _PAL = "(VALUES " + ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(G.PALETTE.items())) + ") p(i, name, pr, pg, pb)"
 _HASH = "h AS (SELECT CAST(label AS VARCHAR) AS name, vec_id, CAST(list_sum([CASE WHEN CAST(embedding[i + 1] AS DOUBLE) > CAST(embedding[i + 2] AS DOUBLE) THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(0, 24)]) AS BIGINT) AS hash FROM embeddings)"
 _IOU = []
-for _i in range(4):
-    for _j in range(_i + 1, 4):
+for _i in range(16):
+    for _j in range(_i + 1, 16):
         _a, _b = ([f"abs(CAST(embedding[{4 * k + m + 1}] AS DOUBLE))" for m in range(4)] for k in (_i, _j))
         _w = f"greatest(0.0, least({_a[0]} + {_a[2]}, {_b[0]} + {_b[2]}) - greatest({_a[0]}, {_b[0]}))"
         _h = f"greatest(0.0, least({_a[1]} + {_a[3]}, {_b[1]} + {_b[3]}) - greatest({_a[1]}, {_b[1]}))"
@@ -649,11 +657,11 @@ h AS (SELECT x.job_id, x.canonical_id AS a, y.canonical_id AS b, count(*) AS fam
     "softmax_winners": "WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS v FROM embeddings), e AS (SELECT vec_id, v, list_max(v) AS m, list_sum([exp(x - list_max(v)) for x in v]) AS t FROM v) SELECT vec_id, 'd' || (list_position(v, m) - 1) AS name, round(1 / t, 6) AS share, 1 / t >= 0.25 AS influential FROM e",
     "converged_scores": "SELECT evidence_id, round(CASE WHEN accepted_matcher_name IS NOT NULL AND image_ngp_summary IS NOT NULL THEN least(1.0, coalesce(final_score, 0) + 0.25) ELSE coalesce(final_score, 0) END, 6) AS score FROM match_evidence",
     "colour_buckets": f"WITH {_RGB}, k AS (SELECT label, {_BUCKET} AS bucket, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY n DESC, bucket) AS rank FROM k) SELECT label, bucket, n, round(n / total, 6) AS share, rank FROM t WHERE rank <= 4 AND n >= 0.02 * total",
-    "colour_names": f"WITH {_RGB} SELECT vec_id, arg_min(name, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + i) AS name, round({_LUMA.replace('CAST(r AS', 'CAST(any_value(r) AS').replace('* g', '* any_value(g)').replace('* b)', '* any_value(b))')}, 4) AS luma, any_value({_SKIN}) AS skin FROM c, {_PAL} GROUP BY 1",
+    "colour_names": f"WITH {_RGB} SELECT vec_id, place, arg_min(name, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + i) AS name, round({_LUMA.replace('CAST(r AS', 'CAST(any_value(r) AS').replace('* g', '* any_value(g)').replace('* b)', '* any_value(b))')}, 4) AS luma, any_value({_SKIN}) AS skin FROM c, {_PAL} GROUP BY 1, 2",
     "few_colours": f"WITH {_RGB}, k AS (SELECT label, {_BUCKET} AS k, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS t FROM k) SELECT label, count(*) FILTER (WHERE n >= 0.01 * t) AS clusters, count(*) FILTER (WHERE n >= 0.01 * t) <= 8 AS few FROM t GROUP BY 1",
-    "value_moments": "SELECT label, count(x) AS n, round(avg(x), 6) AS mean, round(avg(x * x) - avg(x) * avg(x), 6) AS variance FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1",
+    "value_moments": "SELECT label, count(x) AS n, round(avg(x), 6) AS mean, round(avg(x * x) - avg(x) * avg(x), 6) AS variance FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1",
     "robust_spread": "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS median FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, round(any_value(median), 6) AS median, round(quantile_cont(abs(value - median), 0.5), 6) AS spread FROM events JOIN m USING (event_type) WHERE value IS NOT NULL GROUP BY 1",
-    "fitted_planes": "WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM e GROUP BY 1), s AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM m) SELECT label, round(mz - b * mx - c * my, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM s",
+    "fitted_planes": "WITH e AS (SELECT label, CAST(embedding[3 * p + 1] AS DOUBLE) AS x, CAST(embedding[3 * p + 2] AS DOUBLE) AS y, CAST(embedding[3 * p + 3] AS DOUBLE) AS z FROM embeddings, range(0, 21) r(p)), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM e GROUP BY 1), s AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM m) SELECT label, round(mz - b * mx - c * my, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM s",
     "value_ratios": f"WITH {_RGB} SELECT label, round(avg(CASE WHEN {_LUMA} < 64 THEN 1.0 ELSE 0.0 END), 6) AS dark, round(avg(CASE WHEN {_LUMA} > 192 THEN 1.0 ELSE 0.0 END), 6) AS bright, round(avg(CASE WHEN {_SKIN} THEN 1.0 ELSE 0.0 END), 6) AS skin FROM c GROUP BY 1",
     "image_geometry": "WITH m AS (SELECT member_id, CAST(normalized_width AS DOUBLE) AS w, CAST(normalized_height AS DOUBLE) AS h FROM dedup_members WHERE normalized_width > 0 AND normalized_height > 0), q AS (SELECT *, CAST(floor(greatest(w, h) * (1 + 2 * 0.042)) AS BIGINT) AS s, CASE WHEN least(w, h) >= 570 THEN 1.0::DOUBLE ELSE 570 / least(w, h) END AS sc FROM m) SELECT member_id, round(w / h, 6) AS aspect, s - s % 2 - 2 AS canvas, round(sc, 6) AS scale, sc <= 1.42::DOUBLE AS can_grow, round(1 - 2 * abs(least(w, h) / greatest(w, h) - 0.5), 6) AS centering FROM q",
     "box_overlaps": f"SELECT vec_id, i, j, round(overlap, 5) AS overlap FROM ({' UNION ALL '.join(_IOU)}) WHERE overlap > 0.1",
