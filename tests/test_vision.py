@@ -81,3 +81,31 @@ def test_telling_folders(spark):
     voc = spark.createDataFrame([("J", "red")], "grp string, key string")
     assert [(r.parent, r.folder) for r in M.meaningful_folders(img, voc, ["web"]).collect()] == [("x", "Red Boot")]
     assert F.lit(1) is not None
+
+
+def test_boxes(spark):
+    from weftline.functions import geometry as G
+
+    df = spark.createDataFrame([(10.0, 20.0, 100.0, 200.0, True, 0.25, 30.0, 60.0), (0.0, 0.0, 5.0, 5.0, False, 0.1, 9.0, 9.0), (95.0, 2.5, 50.0, 3.0, False, 1.0, 100.0, 4.0)], "l double, t double, w double, h double, s boolean, k double, cw double, ch double")
+    box = [F.col(c) for c in "ltwh"]
+    got = [(r.a, r.b) for r in df.select(G.box_text(G.scaled_box(box, F.col("k"), F.col("cw"), F.col("ch"))).alias("a"), G.box_text(G.without_shadow(box, F.col("s"))).alias("b")).collect()]
+    assert got[0] == ("2.0000,5.0000,25.0000,50.0000", "10.0000,20.0000,100.0000,188.0000")  # half to even
+    assert got[1][0] == "0.0000,0.0000,1.0000,1.0000" and got[2][0] == "95.0000,2.0000,5.0000,2.0000" and got[2][1].endswith(",3.0000")
+    texts = spark.createDataFrame([("1.5, 2,3.0000,-4",), ("1,2,3",), ("a,1,2,3",), (None,), ("",)], "t string")
+    assert [r.b for r in texts.select(G.box_of_text(F.col("t")).alias("b")).collect()] == [[1.5, 2.0, 3.0, -4.0], None, None, None, None]
+
+
+def test_stages(spark):
+    from weftline.plans import stages as G
+
+    G.register("flip", lambda a: a[:, ::-1])
+    pixels = bytes(range(24))
+    df = spark.createDataFrame([("a", 2, 4, 3, bytearray(pixels)), ("b", 2, 4, 3, bytearray(b"xx")), ("c", None, None, None, None)], "id string, height int, width int, channels int, data binary")
+    out = {r.id: r for r in G.transformed(df, "flip").collect()}
+    want = np.frombuffer(pixels, np.uint8).reshape(2, 4, 3)[..., ::-1][:, ::-1]
+    assert bytes(out["a"].data) == want.tobytes() and out["a"].error is None and out["b"].error and out["c"].error and out["c"].height is None
+    assert {r.id: (r.height, r.width) for r in G.transformed(df.where("id = 'a'"), "square").collect()} == {"a": (2, 2)}
+    done = G.run_stages(df, [("one", lambda x: x.withColumn("n", F.length("data"))), ("two", lambda x: x.where("n > 2"))], ["id"])
+    assert [r.id for r in done.collect()] == ["a"]
+    with pytest.raises(ValueError, match="'drop' loses id"):
+        G.run_stages(df, [("drop", lambda x: x.drop("id"))], ["id"])

@@ -64,3 +64,32 @@ def centering(position: Column) -> Column:
 
 def clamped(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, v))
+
+
+#: Share of a box's height, at its bottom, that a shadow is taken to fill.
+SHADOW = 0.06
+
+
+def without_shadow(box: list[Column], shadow: Column) -> list[Column]:
+    """A box (left, top, width, height) without its lowest part where a shadow stands there."""
+    left, top, width, height = box
+    return [left, top, width, F.when(shadow, F.greatest(F.lit(1.0), height * (1 - SHADOW))).otherwise(height)]
+
+
+def scaled_box(box: list[Column], scale: Column, width: Column, height: Column) -> list[Column]:
+    """A box by a factor, rounded half to even and kept within the canvas; its sides are one at least."""
+    left, top = (F.least(F.bround(v * scale), side - 1) for v, side in zip(box[:2], (width, height), strict=True))
+    left, top = (F.greatest(F.lit(0.0), v) for v in (left, top))
+    wide, high = (F.greatest(F.lit(1.0), F.least(F.bround(v * scale), side - at)) for v, side, at in zip(box[2:], (width, height), (left, top), strict=True))
+    return [left, top, wide, high]
+
+
+def box_text(box: list[Column]) -> Column:
+    """A box as text: four numbers of four decimals, whatever the machine's language."""
+    return F.concat_ws(",", *[F.format_string("%.4f", v.cast("double")) for v in box])
+
+
+def box_of_text(c: Column) -> Column:
+    """The four numbers of a box's text; null if it isn't one."""
+    parts = F.transform(F.split(c, ","), lambda p: F.try_to_number(F.trim(p), F.lit("S999999999.999999999")).cast("double"))
+    return F.when((F.size(parts) == 4) & F.forall(parts, lambda p: p.isNotNull()), parts)

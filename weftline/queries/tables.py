@@ -197,14 +197,19 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
 PHENOTYPE_SLOTS = {0: ["packshot"], 1: ["worn", "packshot"], 2: ["detail", "worn"], 3: ["detail"]}
 
 
-def phenotype_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Each family's display slots with the image that takes them: by the phenotype's place in the slot's list, then the
-    best score, the camera's place told by the name, and the name."""
+def _phenotype_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Images that may take a slot, with their phenotype's place in its list."""
     m = table(spark, d, "match_evidence").where("final_family_id IS NOT NULL")
     kind = F.try_element_at(U.feature_map(F.col("image_ngp_summary")), F.lit("phenotype"))
     shots = m.select(F.col("final_family_id").alias("family"), "evidence_id", kind.alias("kind"), (-F.coalesce("final_score", F.lit(0.0))).alias("neg"), S.orientation(F.col("source_filename")).isNull().cast("int").alias("unhinted"), F.col("source_filename").alias("name")).where("kind IS NOT NULL")
     may = F.array_compact(F.array(*[F.when(F.col("kind") == k, F.struct(F.lit(s).alias("slot"), F.lit(n).alias("place"))) for s, ks in PHENOTYPE_SLOTS.items() for n, k in enumerate(ks)]))
-    return R.fill_slots(shots.select("*", F.inline(may)), list(PHENOTYPE_SLOTS), "family", "evidence_id", ["place", "neg", "unhinted", "name"])
+    return shots.select("*", F.inline(may))
+
+
+def phenotype_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Each family's display slots with the image that takes them: by the phenotype's place in the slot's list, then the
+    best score, the camera's place told by the name, and the name."""
+    return R.fill_slots(_phenotype_candidates(spark, d), list(PHENOTYPE_SLOTS), "family", "evidence_id", ["place", "neg", "unhinted", "name"])
 
 
 def product_types(spark: SparkSession, d: str) -> DataFrame:
@@ -455,7 +460,50 @@ def image_geometry(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "dedup_members").where("normalized_width > 0 AND normalized_height > 0")
     w, h = F.col("normalized_width").cast("double"), F.col("normalized_height").cast("double")
     return m.select("member_id", F.round(w / h, 6).alias("aspect"), G.canvas_side(F.greatest(w, h), 0.042).cast("long").alias("canvas"), F.round(G.needed_scale(F.least(w, h), 570), 6).alias("scale"),
-                    (G.needed_scale(F.least(w, h), 570) <= 1.42).alias("can_grow"), F.round(G.centering(F.least(w, h) / F.greatest(w, h)), 6).alias("centering"))
+                    (G.needed_scale(F.least(w, h), 570) <= 1.42).alias("can_grow"), (G.needed_scale(F.least(w, h), 570) <= 1.33).alias("can_stretch"), F.round(G.centering(F.least(w, h) / F.greatest(w, h)), 6).alias("centering"))
+
+
+def subject_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box within each delivered image, without a shadow at its bottom where the image is high, brought to the canvas of
+    the least side, as text."""
+    m = table(spark, d, "dedup_members").where("normalized_width > 0 AND normalized_height > 0")
+    w, h = F.col("normalized_width").cast("double"), F.col("normalized_height").cast("double")
+    box = G.without_shadow([w / 8, h / 8, w * 0.7, h * 0.9], h > w)
+    scale = G.needed_scale(F.least(w, h), 570)
+    return m.select("member_id", G.box_text(G.scaled_box(box, scale, F.floor(w * scale), F.floor(h * scale))).alias("box"))
+
+
+def det_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Families two of whose images have one number behind "det" at the end of their names."""
+    det = F.regexp_extract(F.lower(S.stem(F.col("source_filename"))), "det([0-9]+)$", 1)
+    m = table(spark, d, "match_evidence").where("final_family_id IS NOT NULL").select(F.col("final_family_id").alias("family"), det.alias("det")).where("det <> ''")
+    return m.groupBy("family", "det").agg(F.count("*").alias("n")).groupBy("family").agg(F.max("n").alias("most")).where("most > 1")
+
+
+def largest_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Of the copies of each family with one checksum the one of the largest area; of equal ones the earliest id."""
+    m = table(spark, d, "dedup_members").where("checksum IS NOT NULL")
+    area = F.coalesce(F.col("normalized_width").cast("long") * F.col("normalized_height"), F.lit(0).cast("long"))
+    best = R.first_of(m, ["family_id", "checksum"], [-area, F.col("member_id")], ["member_id"])
+    return _with_copies(best, m)
+
+
+def _with_copies(best: DataFrame, m: DataFrame) -> DataFrame:
+    copies = m.groupBy(F.col("family_id").alias("_f"), F.col("checksum").alias("_c")).agg(F.count("*").alias("copies")).where("copies > 1")
+    return best.join(copies, best["family_id"].eqNullSafe(copies["_f"]) & (best["checksum"] == copies["_c"])).select("family_id", "checksum", "member_id", "copies")
+
+
+def rival_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What each image that took a slot by its phenotype's place has before the next image of that place that took
+    none: score, the camera's place, the name, or only its order."""
+    taken = phenotype_slots(spark, d)
+    order = ["neg", "unhinted", "low", "evidence_id"]
+    cand = materialize(_phenotype_candidates(spark, d).select("family", "slot", "place", "neg", "unhinted", F.lower("name").alias("low"), "evidence_id"), "slot-candidates")
+    won = taken.join(cand, ["family", "slot", "evidence_id"]).select("family", "slot", "place", F.struct(*order).alias("won"))
+    rest = cand.join(taken.select("family", "evidence_id"), ["family", "evidence_id"], "left_anti").groupBy("family", "slot", "place").agg(F.min(F.struct(*order)).alias("rival"))
+    both = won.join(rest, ["family", "slot", "place"], "left")
+    reason = F.when(F.col("rival").isNull(), "none").when(F.col("won.neg") != F.col("rival.neg"), "score").when(F.col("won.unhinted") != F.col("rival.unhinted"), "camera").when(F.col("won.low") != F.col("rival.low"), "name").otherwise("order")
+    return both.select("family", "slot", F.col("won.evidence_id").alias("evidence_id"), reason.alias("reason"))
 
 
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +555,7 @@ def import_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    phenotype_slots, product_types,
+    phenotype_slots, product_types, subject_boxes, det_collisions, largest_copies, rival_reasons,
     column_profile, column_overlaps, merged_columns, key_columns, filled_rows, dense_width, header_confidence, header_rows, header_ids, property_values_of, collated_records, conflicting_properties,
     empty_properties, orphan_rows, orphan_tallies, rules_satisfied, rules_remaining, feature_values, slot_assignment, overflow_order, compact_order, first_images, first_types, first_postings,
     strongest_values, tie_reasons, name_collisions, new_names, small_families, candidate_families, profile_words, counts_seeded, manifest_summary, manifest_rows, stage_counts, latest_jobs,
@@ -610,6 +658,16 @@ SELECT v.value, coalesce((SELECT any_value(canonical_id) FROM t WHERE canonical_
 ORACLE = {
     "phenotype_slots": _SLOTS,
     "product_types": _TYPES,
+    "subject_boxes": """WITH m AS (SELECT member_id, CAST(normalized_width AS DOUBLE) AS w, CAST(normalized_height AS DOUBLE) AS h FROM dedup_members WHERE normalized_width > 0 AND normalized_height > 0),
+q AS (SELECT member_id, w / 8 AS x, h / 8 AS y, w * 0.7::DOUBLE AS bw, CASE WHEN h > w THEN greatest(1.0, h * 0.9::DOUBLE * (1 - 0.06::DOUBLE)) ELSE h * 0.9::DOUBLE END AS bh, CASE WHEN least(w, h) >= 570 THEN 1.0::DOUBLE ELSE 570 / least(w, h) END AS s, w, h FROM m),
+r AS (SELECT *, floor(w * s) AS cw, floor(h * s) AS ch FROM q), t AS (SELECT *, greatest(0.0, least(round_even(x * s, 0), cw - 1)) AS l, greatest(0.0, least(round_even(y * s, 0), ch - 1)) AS u FROM r)
+SELECT member_id, printf('%.4f,%.4f,%.4f,%.4f', l, u, greatest(1.0, least(round_even(bw * s, 0), cw - l)), greatest(1.0, least(round_even(bh * s, 0), ch - u))) AS box FROM t""",
+    "det_collisions": f"SELECT family, max(n) AS most FROM (SELECT final_family_id AS family, regexp_extract(lower({sql_stem('source_filename')}), 'det([0-9]+)$', 1) AS det, count(*) AS n FROM match_evidence WHERE final_family_id IS NOT NULL GROUP BY 1, 2) WHERE det <> '' GROUP BY 1 HAVING max(n) > 1",
+    "largest_copies": "SELECT family_id, checksum, arg_min(member_id, (-coalesce(CAST(normalized_width AS BIGINT) * normalized_height, 0), member_id)) AS member_id, count(*) AS copies FROM dedup_members WHERE checksum IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    "rival_reasons": f"""WITH t AS ({_SLOTS}), c AS (SELECT final_family_id AS family, slot, place, -coalesce(final_score, 0) AS neg, NOT coalesce({_LAST}, false) AS unhinted, lower(source_filename) AS low, evidence_id FROM match_evidence, (VALUES {', '.join(f"({s}, {n}, '{k}')" for s, ks in PHENOTYPE_SLOTS.items() for n, k in enumerate(ks))}) p(slot, place, kind) WHERE final_family_id IS NOT NULL AND kind = {_KIND}),
+r AS (SELECT * FROM c WHERE (family, evidence_id) NOT IN (SELECT (family, evidence_id) FROM t) QUALIFY row_number() OVER (PARTITION BY family, slot, place ORDER BY neg, unhinted, low, evidence_id) = 1)
+SELECT c.family, c.slot, c.evidence_id, CASE WHEN r.evidence_id IS NULL THEN 'none' WHEN c.neg <> r.neg THEN 'score' WHEN c.unhinted <> r.unhinted THEN 'camera' WHEN c.low <> r.low THEN 'name' ELSE 'order' END AS reason
+FROM t JOIN c USING (family, slot, evidence_id) LEFT JOIN r ON r.family = c.family AND r.slot = c.slot AND r.place = c.place""",
     "column_profile": _PROFILE,
     "key_columns": f"SELECT tab, col FROM ({_PROFILE}) WHERE n_values = filled AND filled = n_rows",
     "column_overlaps": "WITH v AS (" + " UNION ".join(f"SELECT '{t}' AS col, {c} AS value FROM (SELECT trim({c}) AS {c} FROM {t}) WHERE {c} <> ''" for t, c in FAMILY_COLUMNS) + "), n AS (SELECT col, count(*) AS n FROM v GROUP BY 1) SELECT x.col AS a, y.col AS b, count(*) AS shared, round(count(*) / least(min(p.n), min(q.n)), 6) AS ratio FROM v x JOIN v y ON x.value = y.value AND x.col < y.col JOIN n p ON p.col = x.col JOIN n q ON q.col = y.col GROUP BY 1, 2 HAVING count(*) / least(min(p.n), min(q.n)) > 0.2",
@@ -663,7 +721,7 @@ h AS (SELECT x.job_id, x.canonical_id AS a, y.canonical_id AS b, count(*) AS fam
     "robust_spread": "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS median FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, round(any_value(median), 6) AS median, round(quantile_cont(abs(value - median), 0.5), 6) AS spread FROM events JOIN m USING (event_type) WHERE value IS NOT NULL GROUP BY 1",
     "fitted_planes": "WITH e AS (SELECT label, CAST(embedding[3 * p + 1] AS DOUBLE) AS x, CAST(embedding[3 * p + 2] AS DOUBLE) AS y, CAST(embedding[3 * p + 3] AS DOUBLE) AS z FROM embeddings, range(0, 21) r(p)), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM e GROUP BY 1), s AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM m) SELECT label, round(mz - b * mx - c * my, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM s",
     "value_ratios": f"WITH {_RGB} SELECT label, round(avg(CASE WHEN {_LUMA} < 64 THEN 1.0 ELSE 0.0 END), 6) AS dark, round(avg(CASE WHEN {_LUMA} > 192 THEN 1.0 ELSE 0.0 END), 6) AS bright, round(avg(CASE WHEN {_SKIN} THEN 1.0 ELSE 0.0 END), 6) AS skin FROM c GROUP BY 1",
-    "image_geometry": "WITH m AS (SELECT member_id, CAST(normalized_width AS DOUBLE) AS w, CAST(normalized_height AS DOUBLE) AS h FROM dedup_members WHERE normalized_width > 0 AND normalized_height > 0), q AS (SELECT *, CAST(floor(greatest(w, h) * (1 + 2 * 0.042)) AS BIGINT) AS s, CASE WHEN least(w, h) >= 570 THEN 1.0::DOUBLE ELSE 570 / least(w, h) END AS sc FROM m) SELECT member_id, round(w / h, 6) AS aspect, s - s % 2 - 2 AS canvas, round(sc, 6) AS scale, sc <= 1.42::DOUBLE AS can_grow, round(1 - 2 * abs(least(w, h) / greatest(w, h) - 0.5), 6) AS centering FROM q",
+    "image_geometry": "WITH m AS (SELECT member_id, CAST(normalized_width AS DOUBLE) AS w, CAST(normalized_height AS DOUBLE) AS h FROM dedup_members WHERE normalized_width > 0 AND normalized_height > 0), q AS (SELECT *, CAST(floor(greatest(w, h) * (1 + 2 * 0.042)) AS BIGINT) AS s, CASE WHEN least(w, h) >= 570 THEN 1.0::DOUBLE ELSE 570 / least(w, h) END AS sc FROM m) SELECT member_id, round(w / h, 6) AS aspect, s - s % 2 - 2 AS canvas, round(sc, 6) AS scale, sc <= 1.42::DOUBLE AS can_grow, sc <= 1.33::DOUBLE AS can_stretch, round(1 - 2 * abs(least(w, h) / greatest(w, h) - 0.5), 6) AS centering FROM q",
     "box_overlaps": f"SELECT vec_id, i, j, round(overlap, 5) AS overlap FROM ({' UNION ALL '.join(_IOU)}) WHERE overlap > 0.1",
     "near_hash_pairs": f"WITH {_HASH}, u AS (SELECT DISTINCT name, hash FROM h WHERE hash <> 0) SELECT x.name, x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM u x JOIN u y ON x.name = y.name AND x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 4",
     "media_kinds": f"SELECT CASE WHEN {_EXT} IN {_IMAGE_EXT} THEN 'image' WHEN {_EXT} IN ('.xlsx', '.csv', '.tsv', '.txt') THEN 'table' WHEN {_EXT} = '.zip' THEN 'archive' ELSE 'other' END AS kind, count(*) AS n FROM dedup_members GROUP BY 1",
