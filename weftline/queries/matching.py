@@ -206,3 +206,11 @@ SELECT id, lo AS rec FROM (SELECT id, lo, hi FROM a JOIN x USING (way, key) QUAL
 x AS (SELECT DISTINCT job_id AS grp, family_id AS rec, translate(lower(family_token), ' _-.', '') AS key FROM token_evidence WHERE property_name = 'refco' AND job_id IS NOT NULL AND family_token IS NOT NULL)
 SELECT id, min(rec) AS rec FROM i JOIN x USING (grp) WHERE len(key) >= 5 AND starts_with(s, key) GROUP BY 1 HAVING count(DISTINCT rec) = 1""",
 }
+
+#: Runs in any order: two to five different places of a name, spelled in every order; each inversion adds one.
+_SPELLED = """seq AS (SELECT id, runs, grp, [i] AS places FROM (SELECT id, grp, regexp_extract_all(s, '[0-9]+') AS runs FROM img) r, range(1, 13) n(i) WHERE len(runs) BETWEEN 2 AND 12 AND i <= len(runs)
+  UNION ALL SELECT id, runs, grp, list_append(places, i) FROM seq, range(1, 13) n(i) WHERE len(places) < 5 AND i <= len(runs) AND NOT list_contains(places, i)),
+spelled AS (SELECT id, grp, list_transform(places, lambda k: runs[k]) AS t, (SELECT count(*) FROM range(1, 6) a(x), range(1, 6) b(y) WHERE x < y AND y <= len(places) AND places[x] > places[y]) AS swaps FROM seq WHERE len(places) >= 2),
+far AS (SELECT id, grp, array_to_string(t, '') AS key, swaps + (len(t) - 1) * (2 - list_sum([-(len(x) * 1.0 / len(array_to_string(t, ''))) * ln(len(x) * 1.0 / len(array_to_string(t, ''))) for x in t]) / ln(len(t))) AS d FROM spelled)"""
+ORACLE["match_permuted"] = _DIGITS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_WINDOWS}, {_SPELLED}
+SELECT id, min(rec) AS rec, round(min(d), 6) AS distance FROM far JOIN post USING (grp, key) WHERE d <= 4.5 AND id NOT IN (SELECT id FROM ({_BY_CONCAT})) GROUP BY id HAVING count(DISTINCT rec) = 1"""

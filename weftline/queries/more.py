@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import strings as S
 from weftline.operators import matching as M, ranking as R, rules as U
-from weftline.queries.matching import _CAT, _IMG
+from weftline.queries.matching import _CAT, _IMG, _POST
 from weftline.queries.strings import FOLD
 from weftline.queries.tables import RULES
 from weftline.session import table
@@ -126,3 +126,15 @@ ORACLE = {
     "over_limits": "SELECT job_id, count(*) AS images, CASE WHEN count(*) < 1 THEN 'too few' WHEN count(*) > 10000 THEN 'too many' ELSE 'fits' END AS batch FROM match_evidence GROUP BY 1",
     "ordered_chunks": "SELECT evidence_id, job_id, CAST((row_number() OVER (PARTITION BY job_id ORDER BY evidence_id) - 1) // 8 AS BIGINT) AS chunk FROM match_evidence WHERE job_id IS NOT NULL",
 }
+
+_NARROWED = f"""WITH {_IMG}, {_CAT}, {_POST}, terms AS (SELECT DISTINCT term_domain, lower(term) AS term, canonical_id FROM translation_terms WHERE term_domain IN ('color', 'producttype')),
+own AS (SELECT DISTINCT m.evidence_id AS id, job_id AS grp, c.canonical_id AS c, t.canonical_id AS t FROM match_evidence m JOIN terms c ON c.term_domain = 'color' AND c.term = {_F.format('color')} JOIN terms t ON t.term_domain = 'producttype' AND t.term = {_F.format('type')}
+  WHERE final_family_id IS NULL AND job_id IS NOT NULL AND source_filename IS NOT NULL),
+fam AS (SELECT DISTINCT a.job_id AS grp, a.family_id AS rec, c.canonical_id AS c, t.canonical_id AS t FROM token_evidence a JOIN terms c ON c.term_domain = 'color' AND c.term = lower(a.family_token) JOIN token_evidence b ON b.job_id = a.job_id AND b.family_id = a.family_id JOIN terms t ON t.term_domain = 'producttype' AND t.term = lower(b.family_token)
+  WHERE a.property_name = 'color' AND b.property_name = 'producttype'),
+l0 AS (SELECT DISTINCT id, grp, rec FROM own JOIN fam USING (grp, c, t) WHERE (grp, rec) NOT IN (SELECT (job_id, final_family_id) FROM match_evidence WHERE final_family_id IS NOT NULL AND job_id IS NOT NULL)),
+tk AS (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY min(n)) - 1 AS n FROM (SELECT id, generate_subscripts(ks, 1) AS n, unnest(ks) AS key FROM (SELECT id, list_concat(regexp_extract_all(s, '[0-9]+'), [regexp_replace(s, '[^0-9]', '', 'g')]) AS ks FROM img)) WHERE len(key) >= 5 GROUP BY 1, 2)""" + "".join(
+    f""", h{k} AS (SELECT l{k}.*, EXISTS (SELECT 1 FROM post p WHERE p.grp = l{k}.grp AND p.rec = l{k}.rec AND p.key = tk.key) AS has FROM l{k} JOIN tk USING (id) WHERE n = {k}),
+s{k} AS (SELECT id FROM h{k} GROUP BY 1 HAVING bool_or(has) AND NOT bool_and(has)),
+l{k + 1} AS (SELECT * FROM l{k} WHERE id NOT IN (SELECT id FROM s{k}) UNION ALL SELECT id, grp, rec FROM h{k} WHERE has AND id IN (SELECT id FROM s{k}))""" for k in range(8)) + " SELECT id, count(*) AS families, min(rec) AS first_family FROM l8 GROUP BY 1"
+ORACLE["narrowed_families"] = _NARROWED

@@ -791,3 +791,22 @@ ORACLE |= {
     "near_vector_pairs": ORACLE["near_hash_pairs"].replace("range(0, 24)", "range(0, 63)").replace("<= 4", "<= 6"),
     "softmax_of_all": ORACLE["softmax_winners"].replace("embedding[1:10]", "embedding"),
 }
+
+
+def _grouped(hashes: str, radius: int) -> str:
+    """Groups around the earliest anchors, hash by hash in their order."""
+    near = f"list_filter(r.anchors, lambda x: bit_count(xor(x, f.hash)) <= {radius})"
+    return f"""WITH RECURSIVE {hashes}, f AS (SELECT name, hash, row_number() OVER (PARTITION BY name ORDER BY min(vec_id)) AS i FROM h WHERE hash <> 0 GROUP BY 1, 2),
+r AS (SELECT name, i, hash, hash AS anchor, [hash] AS anchors FROM f WHERE i = 1
+  UNION ALL SELECT f.name, f.i, f.hash, coalesce({near}[1], f.hash), CASE WHEN len({near}) = 0 THEN list_append(r.anchors, f.hash) ELSE r.anchors END FROM r JOIN f ON f.name = r.name AND f.i = r.i + 1)
+SELECT vec_id, name, anchor FROM h JOIN r USING (name, hash)"""
+
+
+_MERGED = "m0 AS (SELECT * FROM (VALUES (NULL, NULL)) v(col, leader) WHERE false)" + "".join(
+    f", m{k + 1} AS (SELECT * FROM m{k} UNION ALL SELECT '{t}', coalesce((SELECT leader FROM m{k} JOIN p ON (p.a = m{k}.col AND p.b = '{t}') OR (p.b = m{k}.col AND p.a = '{t}') ORDER BY list_position({[t for t, _ in FAMILY_COLUMNS]!r}, leader) LIMIT 1), '{t}'))"
+    for k, (t, _) in enumerate(FAMILY_COLUMNS))
+ORACLE |= {
+    "hash_groups": _grouped(_HASH, 4),
+    "vector_groups": _grouped(_HASH.replace("range(0, 24)", "range(0, 63)"), 6),
+    "merged_columns": f"WITH p AS ({ORACLE['column_overlaps']}), {_MERGED} SELECT * FROM m{len(FAMILY_COLUMNS)}",
+}
