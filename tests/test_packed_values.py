@@ -138,12 +138,20 @@ def test_long_enumerations_and_long_values(spark):
 
 def test_model_holds_what_returns_and_is_asked_for(spark):
     rows = [("x", f"only {i}") for i in range(500)] + [("x", "red")] * 5 + [("x", "blue")] * 4 + [("x", "green")] * 9 + [("x", "red, blue")] + [("y", "red, blue")]
-    model = P.learn(spark.createDataFrame(rows, "col string, entry string"))
+    model = P.learn(spark.createDataFrame(rows, "col string, entry string")).model
     has = lambda v, col="x": P.value_keys(col, v)[0] in set(model.keys.tolist())
     assert has("red") and has("blue") and not has("green") and not has("only 3") and not has("red", "y") and len(model.keys) < 12
     assert model.got(np.array([P.value_keys("x", "red")[0]]))[0] > 4.5
 
 
+def test_joined_counts_give_the_same(spark, monkeypatch):
+    """A model too large to be sent: counts are joined to the lattices, and records look their fields up."""
+    rows = corpus(5)[0] + [(2000, "x", None), (2001, None, ["p|q", None, "", "r"]), (2002, "shade", [" , ", '"a; b", c', "teal"]), (2003, "shade", ['""; x, y']), (2004, "size run", [", ".join(["S", "M"] * 40)]), (2004, "size run", ["S, M"])]
+    sent = run(spark, rows)
+    monkeypatch.setattr(P, "MODEL_KEYS", 0)
+    assert run(spark, rows) == sent and len(sent) > 300
+
+
 def test_cuts_do_not_depend_on_other_columns(spark):
     rows, _ = corpus(2)
     alone = run(spark, rows)

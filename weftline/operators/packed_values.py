@@ -34,6 +34,9 @@ from weftline.session import materialize
 JOINED = 12
 #: Cut fields that a task remembers at most.
 CACHE = 200_000
+#: Keys that are sent to all tasks at most (16 bytes each). Where more are asked for and stand more than once, their
+#: counts are joined to the lattices instead, with the same result.
+MODEL_KEYS = 20_000_000
 
 #: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
 #: beside it: at first mostly the values decide; at the end the marks weigh more, else values that return
@@ -185,6 +188,7 @@ class Lattices:
     kinds: list[str] = field(default_factory=list)
     lengths: list[list[int] | None] = field(default_factory=list)
     quoted: list[list[bool] | None] = field(default_factory=list)
+    seen: np.ndarray | None = None  # counts of hv, hd and hs, where they were joined
 
     def add(self, col: str, f: list[str]) -> None:
         n, before = len(f) // 2 + 1, len(self.start)
@@ -218,8 +222,18 @@ class Lattices:
     @classmethod
     def of_frame(cls, pdf: pd.DataFrame) -> Lattices:
         flat = lambda name: np.concatenate([np.asarray(x) for x in pdf[name]]) if len(pdf) else np.zeros(0)
-        return cls(pdf["col"].tolist(), pdf["size"].tolist(), [len(x) for x in pdf["start"]], *(flat(k) for k in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
-                   [k for own in pdf["kinds"] for k in own], list(pdf["lengths"]), list(pdf["quoted"]))
+        m = [len(x) for x in pdf["start"]]
+        seen = np.hstack([np.asarray(x, float).reshape(3, n) for x, n in zip(pdf["seen"], m, strict=True)]) if "seen" in pdf and len(pdf) else None
+        return cls(pdf["col"].tolist(), pdf["size"].tolist(), m, *(flat(k) for k in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
+                   [k for own in pdf["kinds"] for k in own], list(pdf["lengths"]), list(pdf["quoted"]), seen)
+
+    def some(self, at: np.ndarray) -> Lattices:
+        """The fields at these places."""
+        segment = np.concatenate([[0], np.cumsum(self.segments)])
+        mark = np.concatenate([[0], np.cumsum(np.asarray(self.sizes) - 1)])
+        rows = np.concatenate([np.arange(segment[j], segment[j + 1]) for j in at])
+        return Lattices(*([getattr(self, name)[j] for j in at] for name in ("cols", "sizes", "segments")), *(np.asarray(getattr(self, name))[rows] for name in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
+                        [x for j in at for x in self.kinds[mark[j] : mark[j + 1]]], [self.lengths[j] for j in at], [self.quoted[j] for j in at], None if self.seen is None else self.seen[:, rows])
 
 
 @dataclass
@@ -243,7 +257,8 @@ class Model:
     def segment_values(self, own: Lattices) -> np.ndarray:
         """Log chance of each segment as a value."""
         n = np.repeat([self.values.get(c, 0.0) + 1 for c in own.cols], own.segments)
-        seen = [self.got(np.asarray(h, np.int64)) / n for h in (own.hv, own.hd, own.hs)]
+        counts = [self.got(np.asarray(h, np.int64)) for h in (own.hv, own.hd, own.hs)] if own.seen is None else np.maximum(0.0, own.seen - 1)
+        seen = [c / n for c in counts]
         known = 0.4 * seen[0] + 0.4 * seen[1] * np.exp(np.maximum(-600, own.digits)) + 0.15 * seen[2] * np.exp(np.maximum(-600, own.form))
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(known), own.floor)
@@ -389,10 +404,7 @@ def expected(model: Model, own: Lattices) -> tuple[np.ndarray, np.ndarray]:
         of_segment[at], of_segment[at + 1], of_segment[at + 2], of_mark[k] = p, p, 1 - p, p
     rest = np.flatnonzero(n > 2)
     if len(rest):
-        some = Lattices(*([getattr(own, name)[j] for j in rest] for name in ("cols", "sizes", "segments")),
-                        *(np.concatenate([np.asarray(getattr(own, name)[segment[j] : segment[j + 1]]) for j in rest]) for name in ("start", "end", "hv", "hd", "hs", "digits", "form", "floor")),
-                        [x for j in rest for x in own.kinds[mark[j] : mark[j + 1]]], [own.lengths[j] for j in rest], [own.quoted[j] for j in rest])
-        for j, (ps, qs) in zip(rest, paths(model, some, chances), strict=True):
+        for j, (ps, qs) in zip(rest, paths(model, own.some(rest), chances), strict=True):
             of_segment[segment[j] : segment[j + 1]] = [p for of_end in ps for p in of_end]
             of_mark[mark[j] : mark[j + 1]] = qs
     return of_segment, of_mark
@@ -432,10 +444,12 @@ def expected_counts(model: Model, own: Lattices) -> pd.DataFrame:
     return _counts(np.concatenate([np.asarray(h, np.int64)[some] for h in (own.hv, own.hd, own.hs)]), np.tile(p[some], 3), small)
 
 
-def _model(counts: DataFrame) -> Model:
-    """Takes in the keys of more than one, 16 bytes each, and the counts of columns and marks."""
-    total = counts.groupBy("hash", "what", "col", "kind").agg(F.sum("n").alias("n"))
-    keys = total.where("hash IS NOT NULL AND n > 1").select("hash", "n").toPandas().sort_values("hash")
+def _model(counts: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model, and (hash, n) of the keys of more than one if there are too many to be sent to all tasks."""
+    total = materialize(counts.groupBy("hash", "what", "col", "kind").agg(F.sum("n").alias("n")), "packed-counts")
+    several = total.where("hash IS NOT NULL AND n > 1").select("hash", "n")
+    joined = several if several.count() > MODEL_KEYS else None
+    keys = several.limit(0 if joined is not None else MODEL_KEYS).toPandas().sort_values("hash")  # no more are there
     model = Model(keys["hash"].to_numpy(np.int64), keys["n"].to_numpy(float), {}, {})
     marks: dict[tuple[str, str, str], float] = {}
     for r in total.where("hash IS NULL").collect():
@@ -444,11 +458,30 @@ def _model(counts: DataFrame) -> Model:
         else:
             marks[r.what, r.col, r.kind] = r.n
     model.cuts = {(c, k): (x, marks.get(("m", c, k), 0.0)) for (what, c, k), x in marks.items() if what == "c"}
-    return model
+    return model, joined
+
+
+def with_counts(ambiguous: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """The lattices with the counts of their keys, if these are to be joined: a key is one row on one side, so a popular
+    one is a hot key that adaptive execution splits."""
+    if keys is None:
+        return ambiguous
+    asked = ambiguous.select("id", F.posexplode(F.concat("hv", "hd", "hs")).alias("k", "hash"))
+    seen = asked.join(keys, "hash", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0.0)).alias("n")))).alias("seen"))
+    return ambiguous.join(seen.select("id", F.transform("seen", lambda x: x["n"]).alias("seen")), "id")
+
 
+@dataclass
+class Learned:
+    """The model, the ambiguous fields' lattices, and the keys' counts where they are joined."""
+
+    model: Model
+    ambiguous: DataFrame
+    keys: DataFrame | None
 
-def learn(entries: DataFrame) -> Model:
-    """The model, learned from all entries (columns ``col``, ``entry``)."""
+
+def learn(entries: DataFrame) -> Learned:
+    """What all entries (columns ``col``, ``entry``) tell."""
     sc = entries.sparkSession.sparkContext
 
     def cut_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,19 +494,19 @@ def learn(entries: DataFrame) -> Model:
             own = Lattices()
             for col, atoms in zip(pdf["col"], pdf["atoms"], strict=True):
                 own.add(col, list(atoms))
-            yield own.frame()
+            yield own.frame().assign(atoms=list(pdf["atoms"]))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from map(sure_counts, batches)
 
     split = entries.select("col", "entry").mapInArrow(cut_fields, "col string, atoms array<string>")
     distinct = materialize(split.groupBy("col", "atoms").agg(F.count("*").cast("double").alias("n")), "packed-fields")
-    ambiguous = materialize(distinct.where("size(atoms) > 1").select("col", "atoms").mapInPandas(lattices, Lattices.SCHEMA), "packed-lattices")
+    ambiguous = materialize(distinct.where("size(atoms) > 1").select("col", "atoms").mapInPandas(lattices, Lattices.SCHEMA + ", atoms array<string>").withColumn("id", F.monotonically_increasing_id()), "packed-lattices")
     asked = ambiguous.select(F.explode(F.array_distinct(F.concat("hv", "hd", "hs"))).alias("hash")).distinct()
     base = distinct.where("size(atoms) = 1").mapInPandas(counted, COUNT_SCHEMA).groupBy("hash", "what", "col", "kind").agg(F.sum("n").alias("n"))
     base = base.where("hash IS NULL").union(base.where("hash IS NOT NULL").join(asked, "hash", "left_semi").select("hash", "what", "col", "kind", "n"))
     base = materialize(base, "packed-sure")
-    model = _model(base)
+    model, keys = _model(base)
     for weight in ROUND_WEIGHTS:
         model.mark_weight = weight
         held = sc.broadcast(model)
@@ -483,10 +516,10 @@ def learn(entries: DataFrame) -> Model:
                 if len(pdf):
                     yield expected_counts(held.value, Lattices.of_frame(pdf))
 
-        model = _model(base.union(ambiguous.mapInPandas(count_expected, COUNT_SCHEMA)))
+        model, keys = _model(base.union(with_counts(ambiguous, keys).drop("atoms").mapInPandas(count_expected, COUNT_SCHEMA)))
         held.unpersist()
     model.mark_weight = MARK_WEIGHT
-    return model
+    return Learned(model, ambiguous, keys)
 
 
 def cut_fields_of(model: Model, wanted: list[tuple[str, list[str]]]) -> list[list[str]]:
@@ -512,7 +545,11 @@ def split_values(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFram
         rows = part if rows is None else rows.union(part)
     rows = rows.where("size(entries) > 0")
     entries = rows.select("col", F.explode("entries").alias("entry")).where("entry IS NOT NULL")
-    held = rows.sparkSession.sparkContext.broadcast(learn(entries))
+    learned = learn(entries)
+    rows = rows.where(F.exists("entries", lambda e: e.rlike(_ANY_MARK)))  # others hold no entry of several values
+    if learned.keys is not None:
+        return _cut_by_join(rows, learned)
+    held = rows.sparkSession.sparkContext.broadcast(learned.model)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, tuple[str, ...]], list[str]] = {}
@@ -533,5 +570,34 @@ def split_values(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFram
             types = (pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["table_name", "record_id", "pos", "value_text"])
 
-    rows = rows.where(F.exists("entries", lambda e: e.rlike(_ANY_MARK)))  # others hold no entry of several values
     return rows.mapInArrow(cut, "table_name string, record_id long, pos long, value_text string")
+
+
+def _cut_by_join(rows: DataFrame, learned: Learned) -> DataFrame:
+    """The records' values where the model is too large to be sent: each distinct ambiguous field is cut once, and the
+    records' fields look their values up by a join."""
+    held = rows.sparkSession.sparkContext.broadcast(learned.model)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                found = paths(held.value, Lattices.of_frame(pdf), best_path)
+                values = [[v for s, e in path if (v := unquoted("".join(f[2 * s : 2 * e + 1])))] for f, path in zip(pdf["atoms"], found, strict=True)]
+                yield pd.DataFrame({"col": pdf["col"], "atoms": pdf["atoms"], "values": values})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(row, n, k, col, f, [v] if len(f) == 1 and (v := unquoted(f[0])) else [])
+                   for row, col, own in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, entry in enumerate(own) if entry is not None for k, f in enumerate(fields(entry))]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "entry", "field", "col", "atoms", "own"])
+
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "packed-rows")
+    parts = rows.select("row", "col", "entries").mapInArrow(split, "row long, entry long, field long, col string, atoms array<string>, own array<string>")
+    known = materialize(with_counts(learned.ambiguous, learned.keys).mapInPandas(cut, "col string, atoms array<string>, values array<string>"), "packed-cut")
+    told = parts.join(known, ["col", "atoms"], "left").select("row", "entry", "field", F.coalesce("values", "own").alias("values"))
+    entries = told.groupBy("row", "entry").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("field", "values"))), lambda x: x["values"])).alias("values"))
+    whole = entries.groupBy("row").agg(F.max(F.size("values")).alias("most"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("entry", "values"))), lambda x: x["values"])).alias("values")).where("most > 1")
+    out = whole.join(rows.select("row", "table_name", "record_id"), "row").select("table_name", "record_id", F.posexplode("values").alias("pos", "value_text"))
+    return out.select("table_name", "record_id", (F.col("pos") + 1).cast("long").alias("pos"), "value_text")
