@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from weftline.functions.text import fold_accents_expr
+from weftline.functions.text import fold_accents_expr, strip
 
 #: Words without meaning of their own (fixed values): in any text, and in catalogue texts.
 STOP_GENERAL = ["a", "an", "and", "de", "des", "du", "for", "la", "le", "les", "of", "the", "to", "with"]
@@ -133,10 +133,10 @@ def without_noise(c: Column, column_name: Column | None = None) -> Column:
     out = c
     for pattern in NOISE:
         out = F.regexp_replace(out, pattern, " ")
-    out = F.trim(F.regexp_replace(out, "\\s+", " "))
+    out = strip(F.regexp_replace(out, "\\s+", " "))
     if column_name is None:
         return out
-    return F.when(F.lower(F.regexp_replace(F.trim(column_name), "[_-]", "")).isin(TRUSTED), F.trim(c)).otherwise(out)
+    return F.when(F.lower(F.regexp_replace(strip(column_name), "[_-]", "")).isin(TRUSTED), strip(c)).otherwise(out)
 
 
 def says_nothing(c: Column) -> Column:

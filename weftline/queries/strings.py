@@ -135,3 +135,21 @@ ORACLE = {
     "term_edits": "SELECT header_id, levenshtein({a}, {b}) AS edits FROM header_cells WHERE raw_header IS NOT NULL AND canonical_name IS NOT NULL".format(**{k: f"regexp_replace({FOLD.format(x=c)}, '[^a-z0-9]', '', 'g')" for k, c in (("a", "raw_header"), ("b", "canonical_name"))}),
     "synonym_pairs": "SELECT DISTINCT family_id, lower(family_token) AS term, canonical_id FROM token_evidence JOIN translation_terms ON lower(family_token) = term AND term_domain = 'color' WHERE property_name = 'color'",
 }
+
+
+def _sql_without_noise(x: str, column: str) -> str:
+    """The same without looking around: word boundaries stand in for it, as underscores, and percent signs before a
+    letter or digit, are out of the way meanwhile."""
+    out = f"regexp_replace(translate({x}, '_', chr(3)), '%([A-Za-z0-9])', chr(4) || '\\1', 'g')"
+    for pattern in S.NOISE:
+        core = pattern.replace("(?i)", "").removeprefix("(?<![A-Za-z0-9])").removesuffix("(?![A-Za-z0-9])")
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        percent = "|" + core[: core.index("(?:%")] + "%" if "(?:%|" in core else ""
+        out = f"regexp_replace({out}, '\\b(?:{core.replace('(?:%|', '(?:')}\\b{percent})', ' ', '{flags}')"
+    out = f"translate(regexp_replace({out}, '\\s+', ' ', 'g'), chr(3) || chr(4), '_%')"
+    bare = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    trusted = ", ".join(f"'{t}'" for t in S.TRUSTED)
+    return f"CASE WHEN lower(regexp_replace({bare.format(column)}, '[_-]', '', 'g')) IN ({trusted}) THEN {bare.format(x)} ELSE {bare.format(out)} END"
+
+
+ORACLE["noise_free"] = f"SELECT value_id, CAST(pos - 1 AS INT) AS pos, {_sql_without_noise('v', 'property_name')} AS clean FROM (SELECT value_id, property_name, generate_subscripts(source_values, 1) AS pos, unnest(source_values) AS v FROM property_values) WHERE v IS NOT NULL"
