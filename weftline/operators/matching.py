@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from weftline.functions.strings import basename, collapsed_stem, concatenation_distance, digit_runs, digits_only, extension, filename_tokens, profile_tokens, stem
+from weftline.session import materialize
 
 MIN_DIGITS = 5
 MAX_DIGITS = 18
@@ -203,7 +204,8 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     matched by a single one if that is a code of letters and digits of one record only, and its other words lead
     to no other record.
 
-    Names and records meet on pairs of words: a single common word (a colour, a brand) joins nothing, and from
+    Names whose known words are the same are taken once. They and the records meet on pairs of words: a single common
+    word (a colour, a brand) joins nothing, and from
     the pairs that match follows how many words match. Records of more than PAIRED_WORDS words (few: each needs
     that many postings) are met word by word instead, so their pairs are never listed. Names in which a code of letters and digits is held by
     no record at all are left out: the code names something that isn't there. ``near`` (grp, word, key) gives
@@ -215,8 +217,13 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     if near is not None:
         lacks = keyed.join(postings.select("grp", "key").distinct(), ["grp", "key"], "left_anti").select("id", "grp", "word")
         keyed = keyed.unionByName(grouped_words(lacks.join(near, ["grp", "word"]), synonyms).distinct())
-    sets = keyed.groupBy("id", "grp", "key").agg(F.count("*").alias("n")).groupBy("id", "grp").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
-    sets = sets.join(unknown, "id", "left_anti")
+    held_keys = postings.select("grp", "key").distinct()
+    sets = keyed.join(held_keys, ["grp", "key"], "left_semi").groupBy("id", "grp", "key").agg(F.count("*").alias("n")).groupBy("id", "grp").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
+    told_by = F.concat_ws("\n", "grp", F.array_join(F.transform("keys", lambda k: F.concat_ws("|", k["key"], k["n"].cast("string"))), ","))
+    sets = sets.join(unknown, "id", "left_anti").withColumn("sid", F.md5(told_by) if near is None else F.col("id").cast("string"))
+    named = materialize(sets, "word-sets")
+    names_of = named.select("id", "sid")
+    sets = named.groupBy(F.col("sid").alias("id")).agg(F.first("grp").alias("grp"), F.first("keys").alias("keys"))
     mine = sets.select("id", "grp", F.explode("keys").alias("a"), "keys").select("id", "grp", "a", F.explode("keys").alias("b")).where("a.key < b.key OR (a.key = b.key AND a.n > 1)")
     wordy = postings.groupBy("grp", "rec").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_WORDS).select("grp", "rec")
     theirs = postings.join(wordy, ["grp", "rec"], "left_anti").groupBy("grp", "rec").agg(F.array_sort(F.collect_set("key")).alias("keys"))
@@ -228,17 +235,20 @@ def by_words(img: DataFrame, postings: DataFrame, synonyms: DataFrame | None = N
     if near is None:
         scored = ends.groupBy("id", "rec").agg(F.sum("e.n").alias("matched"))
     else:  # a word may stand for several keys, yet counts once
-        scored = ends.select("id", "rec", F.col("e.key").alias("key")).join(keyed.select("id", "key", "word"), ["id", "key"]).groupBy("id", "rec").agg(F.countDistinct("word").alias("matched"))
-    scored = scored.where(f"matched >= {MIN_WORDS}")
-    scored = scored.withColumn("most", F.max("matched").over(Window.partitionBy("id"))).where("matched = most")
-    top = scored.groupBy("id").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("most").alias("matched"))
+        scored = ends.select("id", "rec", F.col("e.key").alias("key")).join(keyed.select(F.col("id").cast("string").alias("id"), "key", "word"), ["id", "key"]).groupBy("id", "rec").agg(F.countDistinct("word").alias("matched"))
+    scored = materialize(scored.where(f"matched >= {MIN_WORDS}"), "word-scores")
+    best = scored.groupBy("id").agg(F.max(F.struct("matched", "rec")).alias("top"), F.min(F.struct((-F.col("matched")).alias("neg"), F.col("rec"))).alias("alt"))
+    best = best.select("id", F.col("alt.rec").alias("rec"), F.col("top.rec").alias("other"), F.col("top.matched").alias("matched"))
+    top = names_of.join(best.withColumnRenamed("id", "sid"), "sid")
     out = top.where("rec = other").select("id", "rec", "matched")
     if numbers is not None:
-        tied = scored.join(top.where("rec < other").select("id"), "id", "left_semi").select("id", "rec", "matched")
         told = img.select("id", "grp", F.explode(F.array_distinct(F.filter(F.split(F.lower(stem(F.col("name"))), "[^a-zà-öø-ÿ0-9]+"), lambda t: t.rlike("^[0-9]+$")))).alias("key"))
-        held = tied.join(told, "id").join(numbers, ["grp", "key", "rec"], "left_semi")
-        telling = held.groupBy("id", "key").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("matched").alias("matched")).where("rec = other")
-        out = out.union(telling.groupBy("id").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("matched").alias("matched")).where("rec = other").select("id", "rec", "matched"))
+        told = told.join(top.where("rec < other").select("id", "sid", "matched"), "id")
+        tied = scored.join(best.where("rec < other").select("id", "matched"), ["id", "matched"]).select(F.col("id").alias("sid"), "rec")
+        held = told.select("sid", "grp", "key").distinct().join(tied, "sid").join(numbers, ["grp", "key", "rec"], "left_semi")
+        telling = held.groupBy("sid", "key").agg(F.min("rec").alias("rec"), F.max("rec").alias("other")).where("rec = other").select("sid", "key", "rec")
+        agreed = told.join(telling, ["sid", "key"]).groupBy("id").agg(F.min("rec").alias("rec"), F.max("rec").alias("other"), F.first("matched").alias("matched"))
+        out = out.union(agreed.where("rec = other").select("id", "rec", "matched"))
     code = (F.length("word") >= IDENTIFIER_LENGTH) & F.col("word").rlike("[0-9]") & F.col("word").rlike("[^0-9]")
     alone = keyed.join(unknown, "id", "left_anti").join(top.select("id"), "id", "left_anti").join(holders(postings), ["grp", "key"])
     alone = alone.groupBy("id").agg(F.min("lo").alias("rec"), F.max("hi").alias("other"), F.bool_or(code).alias("code"), F.lit(1).cast("long").alias("matched")).where("rec = other AND code")
@@ -420,8 +430,6 @@ def narrowed(candidates: DataFrame, tokens: DataFrame, postings: DataFrame) -> D
 
     One pass per place in the names, of which there are few; no candidate list is gathered.
     """
-    from weftline.session import materialize
-
     last = tokens.agg(F.max("n")).first()[0]
     left = candidates.select("id", "grp", "rec")
     for n in range(0 if last is None else last + 1):
