@@ -153,3 +153,27 @@ def test_changed_rows_of_a_stream(spark, tmp_path):
     got = Q.run_to_table(Q.latest_states(Q.event_stream(spark, str(tmp_path), files_per_trigger=3)), "t", "update", ["user_id"]).collect()
     want = {u: max((t, i, e) for i, v, t, e in rows if v == u) for u in {x[1] for x in rows}}
     assert {x.user_id: (x.ts, x.event_type) for x in got} == {u: (t, e) for u, (t, _, e) in want.items()}
+
+
+def test_bounded_jobs(spark):
+    """What the queue can't hold is refused; the rest runs, faults stay with their job, waiting ones can be taken back."""
+    import threading
+
+    from weftline.plans.queue import BoundedJobs
+
+    go, jobs = threading.Event(), BoundedJobs(spark, capacity=3, workers=2)
+    running = [threading.Semaphore(0), go]
+
+    def hold(s):
+        running[0].release()
+        go.wait(30)
+        return s.range(5).count()
+
+    first = [jobs.submit(hold) for _ in range(2)]
+    for _ in first:
+        running[0].acquire(timeout=30)
+    waiting = [jobs.submit(lambda s: s.range(7).count()), jobs.submit(lambda s: 1 / 0), jobs.submit(lambda s: 3)]
+    assert jobs.submit(lambda s: 4) is None and all(waiting) and waiting[2].cancel()
+    go.set()
+    jobs.close()
+    assert [f.result(30) for f in first] == [5, 5] and waiting[0].result(30) == 7 and isinstance(waiting[1].exception(30), ZeroDivisionError)
