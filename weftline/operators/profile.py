@@ -24,19 +24,19 @@ def long_form(df: DataFrame, name: str) -> DataFrame:
 def profile(long: DataFrame) -> DataFrame:
     """(tab, col, n_rows, filled, n_values, max_length, kind, kept) of each column.
 
-    Values are counted once per column and value before they are looked at, so a value that fills a column
-    is one row. Kinds: key (all values distinct digits, long enough), number, mixed (letters and digits in one
+    Values are counted once per column and value, by 128 bits of it and what is asked of it, so that a value that fills
+    a column is one row and long texts aren't moved. Kinds: key (all values distinct digits, long enough), number, mixed (letters and digits in one
     value), category (few short values), text, and empty. A column that is filled too rarely is not kept.
     """
-    value = strip(F.col("value"))
-    counts = long.select("tab", "col", F.when(value != "", value).alias("value")).groupBy("tab", "col", "value").agg(F.count("*").alias("n"))
-    v, filled = F.col("value"), F.col("value").isNotNull()
-    mixed = v.rlike("[A-Za-z]") & v.rlike("[0-9]")
-    number = v.rlike("^[+-]?[0-9]+([.][0-9]+)?$")
+    v = F.when(strip(F.col("value")) != "", strip(F.col("value")))
+    told = long.select("tab", "col", v.alias("v")).select(
+        "tab", "col", F.col("v").isNotNull().alias("filled"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second half"), "v").alias("h2"), F.length("v").alias("length"),
+        F.col("v").rlike("^[+-]?[0-9]+([.][0-9]+)?$").alias("number"), (F.col("v").rlike("[A-Za-z]") & F.col("v").rlike("[0-9]")).alias("mixed"), F.col("v").rlike(f"^[0-9]{{{KEY_LENGTH},}}$").alias("digits"))
+    counts = told.groupBy("tab", "col", "filled", "h1", "h2", "length", "number", "mixed", "digits").agg(F.count("*").alias("n"))
     out = counts.groupBy("tab", "col").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("filled"), F.count("value").alias("n_values"),
-        F.coalesce(F.max(F.length(v)), F.lit(0)).alias("max_length"), F.coalesce(F.bool_and(number), F.lit(False)).alias("numbers"), F.coalesce(F.bool_or(mixed), F.lit(False)).alias("mixed"),
-        F.coalesce(F.bool_and(v.rlike(f"^[0-9]{{{KEY_LENGTH},}}$")), F.lit(False)).alias("digits"))
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("filled"), F.count_if("filled").alias("n_values"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("max_length"), F.coalesce(F.bool_and("number"), F.lit(False)).alias("numbers"), F.coalesce(F.bool_or("mixed"), F.lit(False)).alias("mixed"),
+        F.coalesce(F.bool_and("digits"), F.lit(False)).alias("digits"))
     kind = (F.when(F.col("n_values") == 0, "empty").when(F.col("digits") & (F.col("n_values") == F.col("filled")), "key").when(F.col("numbers"), "number").when(F.col("mixed"), "mixed")
             .when((F.col("n_values") <= CATEGORY_VALUES) & (F.col("max_length") <= CATEGORY_LENGTH), "category").otherwise("text"))
     return out.select("tab", "col", "n_rows", "filled", "n_values", "max_length", kind.alias("kind"), (F.col("filled") >= FILL_RATIO * F.col("n_rows")).alias("kept"))

@@ -13,11 +13,12 @@ from weftline.functions.text import strip
 from weftline.session import materialize, table
 
 FAMILY_COLUMNS = [("dedup_members", "family_id"), ("match_evidence", "final_family_id"), ("property_values", "family_id"), ("token_evidence", "family_id"), ("documents", "family_id")]
-PROFILED = ["customer", "part", "supplier", "nation", "dedup_members", "header_cells", "match_evidence", "token_evidence"]
+PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "worksheet_rows", "property_values", "header_cells", "translation_terms",
+            "match_evidence", "token_evidence", "dedup_members", "family_conflicts", "benchmark_items", "reading_labels", "source_trust"]
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Fill, distinct values, length and kind of every text column of several tables."""
+    """Fill, distinct values, length and kind of every column of all tables that is text or a whole number."""
     frames = []
     for t in PROFILED:
         df = table(spark, d, t)
@@ -567,7 +568,12 @@ _LONG = " UNION ALL ".join(
     f"SELECT '{t}' AS tab, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {t}"
     for t, cols in {
         "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-        "nation": ["n_nationkey", "n_name", "n_regionkey"],
+        "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"], "events": ["event_id", "user_id", "event_type", "props"],
+        "documents": ["doc_id", "text", "lang", "source", "n_chars", "doc_type", "family_id"], "embeddings": ["vec_id", "label"], "worksheet_rows": ["row_id", "source_file", "sheet_name", "row_index"],
+        "property_values": ["value_id", "family_id", "property_name"], "translation_terms": ["term_id", "term_domain", "canonical_id", "term"],
+        "family_conflicts": ["conflict_id", "family_id", "property_name", "reason_code", "source_kind"], "benchmark_items": ["item_id", "item_set", "lang", "text"],
+        "reading_labels": ["doc_id", "rater", "reading_level"], "source_trust": ["source_kind", "trust_rank"],
         "dedup_members": ["member_id", "group_id", "source_kind", "initial_full_name", "normalized_width", "normalized_height", "bytes_length", "checksum", "family_id", "color_name", "product_type", "caption"],
         "header_cells": ["header_id", "source_file", "sheet_name", "column_index", "raw_header", "canonical_name"],
         "match_evidence": ["evidence_id", "job_id", "image_id", "source_filename", "final_family_id", "ko_reason", "accepted_matcher_name", "image_ngp_summary"],
