@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.operators.packed_values import split_values
-from weftline.queries import matching, more, sheets, streams, strings, tables
+from weftline.queries import matching, more, sheets, streams, strings, tables, whole
 from weftline.session import table
 
 
@@ -34,3 +34,4 @@ ORACLE: dict = {
 for _module in (strings, matching, tables, streams, more, sheets):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
+ORACLE |= whole.ORACLE
