@@ -152,6 +152,16 @@ def test_joined_counts_give_the_same(spark, monkeypatch):
     assert run(spark, rows) == sent and len(sent) > 300
 
 
+def test_rounds_end_when_cuts_settle(spark, monkeypatch):
+    rows, _ = corpus(3)
+    entries = spark.createDataFrame([(n, e) for _, n, own in rows for e in own], "col string, entry string")
+    models, make = [], P._model
+    monkeypatch.setattr(P, "_model", lambda counts: (models.append(make(counts)), models[-1])[1])
+    P.learn(entries)
+    assert 4 <= len(models) <= 8 and P.moved(models[-2][0], models[-1][0]) <= P.SETTLED < P.moved(models[0][0], models[1][0])
+    assert P.moved(P.Model(np.zeros(0), np.zeros(0), {}, {}), P.Model(np.zeros(0), np.zeros(0), {}, {})) == 0
+
+
 def test_cuts_do_not_depend_on_other_columns(spark):
     rows, _ = corpus(2)
     alone = run(spark, rows)

@@ -16,6 +16,7 @@ are valued by their length alone, in linear time.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -38,11 +39,13 @@ CACHE = 200_000
 #: counts are joined to the lattices instead, with the same result.
 MODEL_KEYS = 20_000_000
 
-#: Weight in each round, and at the end, of what a kind of mark mostly does in its column against the values
+#: Weight in the first rounds, and from then on, of what a kind of mark mostly does in its column against the values
 #: beside it: at first mostly the values decide; at the end the marks weigh more, else values that return
 #: together in a few records are taken for one.
-ROUND_WEIGHTS = (1.0, 3.0, 6.0, 6.0)
+ROUND_WEIGHTS = (1.0, 3.0)
 MARK_WEIGHT = 6.0
+#: Share of the marks whose expected cuts may still move when the rounds end.
+SETTLED = 1e-4
 
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›", "”": "”"}
 _SURE = re.compile(r"\s*(?:\\r\\n|\\n|\\r|\\t|[\r\n\t  \x0b\x0c]|[;|•·]|,,+|//+)\s*")
@@ -461,6 +464,13 @@ def _model(counts: DataFrame) -> tuple[Model, DataFrame | None]:
     return model, joined
 
 
+def moved(a: Model, b: Model) -> float:
+    """Share of all columns' marks that are expected to cut in one model and not in the other."""
+    kinds = {k for c, k in (*a.cuts, *b.cuts) if c == "*"}
+    change = sum(abs(a.cuts.get(("*", k), (0.0, 0.0))[0] - b.cuts.get(("*", k), (0.0, 0.0))[0]) for k in kinds)
+    return change / max(1.0, sum(b.cuts.get(("*", k), (0.0, 0.0))[1] for k in kinds))
+
+
 def with_counts(ambiguous: DataFrame, keys: DataFrame | None) -> DataFrame:
     """The lattices with the counts of their keys, if these are to be joined: a key is one row on one side, so a popular
     one is a hot key that adaptive execution splits."""
@@ -507,8 +517,8 @@ def learn(entries: DataFrame) -> Learned:
     base = base.where("hash IS NULL").union(base.where("hash IS NOT NULL").join(asked, "hash", "left_semi").select("hash", "what", "col", "kind", "n"))
     base = materialize(base, "packed-sure")
     model, keys = _model(base)
-    for weight in ROUND_WEIGHTS:
-        model.mark_weight = weight
+    for weight in itertools.chain(ROUND_WEIGHTS, itertools.repeat(MARK_WEIGHT)):
+        model.mark_weight, before = weight, model
         held = sc.broadcast(model)
 
         def count_expected(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -518,6 +528,8 @@ def learn(entries: DataFrame) -> Learned:
 
         model, keys = _model(base.union(with_counts(ambiguous, keys).drop("atoms").mapInPandas(count_expected, COUNT_SCHEMA)))
         held.unpersist()
+        if weight == MARK_WEIGHT and moved(before, model) <= SETTLED:
+            break
     model.mark_weight = MARK_WEIGHT
     return Learned(model, ambiguous, keys)
 
