@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.functions import strings as S
 from weftline.operators import matching as M, ranking as R, rules as U
-from weftline.session import materialize
+from weftline.session import materialize, work_root
 
 
 def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None = None, synonyms: DataFrame | None = None, terms: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
@@ -26,19 +28,30 @@ def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None =
     index = materialize(M.holders(postings), "digit-index")
     own = cat.select("grp", "rec").distinct()
     settled = img.select("id").join(known.groupBy("id").agg(F.min("rec").alias("rec")), "id") if known is not None else img.select("id", F.lit(None).cast("string").alias("rec")).where("false")
-    found = materialize(settled.select("id", F.lit("known").alias("bracket"), "rec"), "found-known")
+    # what is found is read as one table of a part for each bracket, so that the plans don't grow with the brackets;
+    # parts are named one by one, as plans that read one folder at different times would pass for equal
+    spark, place, parts = images.sparkSession, f"{work_root(images.sparkSession)}/found-{uuid.uuid4().hex[:8]}", []
+    found = img
+
+    def keep(new: DataFrame) -> None:
+        nonlocal found
+        schema = T.StructType([T.StructField("id", img.schema["id"].dataType), T.StructField("bracket", T.StringType()), T.StructField("rec", T.StringType())])
+        path = f"{place}/{len(parts)}"
+        new.select("id", "bracket", "rec").write.parquet(path)
+        parts.append(path)
+        found = spark.read.schema(schema).parquet(*parts)
+
+    keep(settled.select("id", F.lit("known").alias("bracket"), "rec"))
 
     def left() -> DataFrame:
         return img.join(found.select("id"), "id", "left_anti")
 
     def add(bracket: str, matched: DataFrame) -> None:
-        nonlocal found
-        new = matched.join(found.select("id"), "id", "left_anti").select("id", F.lit(bracket).alias("bracket"), "rec")
-        found = found.union(materialize(new, "found"))
+        keep(matched.join(found.select("id"), "id", "left_anti").select("id", F.lit(bracket).alias("bracket"), "rec"))
 
     rest = left()
     numeric = M.first_bracket([("digits", M.by_digits(rest, index)), ("concatenated", M.by_concatenation(rest, index)), ("intersection", M.by_intersection(rest, postings))])
-    found = found.union(materialize(numeric, "numeric"))
+    keep(numeric)
     add("permuted", M.by_permutation(left(), index))
     lexicon = M.word_postings(cat)
     words = materialize(M.word_postings(cat, synonyms).unionByName(M.neighbour_words(cat)).distinct(), "word-postings")
@@ -62,7 +75,7 @@ def match_names(images: DataFrame, tokens: DataFrame, known: DataFrame | None =
     add("cell start", M.by_cell_start(left(), tokens))
     add("contained", M.by_containment(left(), index))
     profiles = materialize(M.rare_profiles(img), "profiles")
-    sure = found.select("id", "rec")
+    sure = materialize(found.select("id", "rec"), "sure")
     equal = materialize(M.by_equal_profile(profiles, sure), "equal")
     related = M.by_related_profile(profiles, sure).join(M.unknown_codes(left(), words, synonyms), "id", "left_anti")
     add("equal sibling", equal)
