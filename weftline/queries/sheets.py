@@ -55,7 +55,7 @@ QUERIES = {f.__name__: f for f in (header_search, sheet_keys)}
 _TRIM = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_GENERAL)
 _SHEETS = f"""cells AS (SELECT * FROM (
-  SELECT source_file AS file, sheet_name AS sheet, row_index AS row, row_id, generate_subscripts(cells, 1) - 1 AS col, unnest(cells) AS raw FROM worksheet_rows
+  SELECT source_file AS file, sheet_name AS sheet, row_index AS row, row_id, CAST(generate_subscripts(cells, 1) - 1 AS INT) AS col, unnest(cells) AS raw FROM worksheet_rows
   UNION ALL SELECT source_file, sheet_name, 0, 0, column_index, raw_header FROM header_cells) WHERE {_TRIM.format(x='raw')} <> ''),
 near AS (SELECT *, array_to_string(regexp_extract_all({FOLD.format(x='raw')}, '[a-z0-9]+'), ' ') AS phrase FROM cells WHERE row BETWEEN 0 AND 20 AND col BETWEEN 0 AND 20),
 terms AS (SELECT canonical_id, array_to_string(regexp_extract_all({FOLD.format(x='term')}, '[a-z0-9]+'), ' ') AS term FROM translation_terms WHERE term_domain = 'header'),
