@@ -84,3 +84,33 @@ def test_training_texts(spark, monkeypatch):
     labels = spark.createDataFrame([(i, "r", 3, 1) for i in range(20)], LABELS)
     got = R.training_texts(docs, labels).selectExpr("length(text) AS n", "fold").collect()
     assert len(got) == 7 and {r.n for r in got} <= {700_000, 5} and {r.fold for r in got} <= {0, 1}
+
+
+def test_all_rated_documents_count(spark):
+    """Beyond 8,000 rated documents, too, the model has the words and counts of all; every word stands in two documents."""
+    word = lambda n: "".join(chr(97 + int(x)) for x in str(n))
+    docs = [(i, f"the {word(i // 2)} the {word(i // 2)}") for i in range(8400)]
+    d = spark.createDataFrame([(i, t, "x", 1, "t") for i, t in docs], DOCS)
+    training = R.training_texts(d, spark.createDataFrame([(i, "r", i // 2 % 5 + 1, 1) for i, _ in docs], LABELS))
+    vocab, counts = R.fold_counts(R.ngram_counts(training))
+    assert training.count() == 8400 and set(vocab) == {"the", *(word(n) for n in range(4200)), *".!?\n"}
+    assert R.Counts.sum(counts).uni.sum() == 4 * 8400 and R.Counts.sum(counts).uni[vocab["the"]].tolist() == [2 * 1680] * 5
+
+
+def test_blocks_of_ranges_are_the_whole_fit(spark):
+    """Scores pooled within ranges on the executors give the isotonic map and the residual of all scores at once."""
+    r = np.random.default_rng(5)
+    level = r.integers(2, 11, 3000) / 2
+    scores = [np.round(level + r.normal(0, s, 3000), 2) for s in (0.3, 2)] + [np.full(3000, 1.5)]  # with ties; all alike
+    raters = np.where(level % 1 == 0, r.integers(1, 4, 3000), 2)
+    rows = [tuple(map(float, x[:4])) + (int(x[4]),) for x in zip(*scores, level, raters, strict=True)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = R.score_blocks(spark.createDataFrame(rows, "d0 double, d1 double, d2 double, level double, raters long"), ["d0", "d1", "d2"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for x, b in zip(scores, blocks, strict=True):
+        assert 1 <= len(b) < 300 and b[:, 3].sum() == raters.sum() and abs(b[:, 2].sum() - (level * raters).sum()) < 1e-9
+        (xs, ys), (own, fitted) = R.isotonic(x, level, raters), R.knots(R.pool(b))
+        assert xs.tolist() == own.tolist() and np.abs(ys - fitted).max() < 1e-12
+        assert abs(b[:, 4].sum() + R.residual(b[:, 0], b[:, 2] / b[:, 3], b[:, 3]) - R.residual(x, level, raters)) < 1e-6

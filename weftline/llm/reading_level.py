@@ -5,9 +5,9 @@ sentence's surprisal per word is taken under every model; the level at which a s
 ``SHARPNESS``) is its own, and the words' mean over the distribution of all sentences is the document's difficulty,
 which isotonic regression maps monotonically to the raters' scale.
 
-The rated documents are a bounded sample (``TRAIN_DOCS`` documents, chosen by a hash of their id). Their whole texts are
-counted and scored on the executors; the driver takes in counts of words and pairs that come more than once, and one
-score per rated document. Scoring is one narrow pass over all documents and whole texts: no shuffle.
+The models are fitted on all rated documents. Their whole texts are counted and scored on the executors, which also pool
+the scores to the blocks of the isotonic map; the driver takes in counts of words and pairs that come more than once, and
+the blocks. Scoring is one narrow pass over all documents and whole texts: no shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.session import materialize
 
-#: Bound of the training sample: rated documents.
-TRAIN_DOCS = 8000
+#: Number of rated documents to fit on, for trials on fewer of them. None: all, as every query has it.
+TRAIN_DOCS: int | None = None
 LEVELS = 5
 #: How sharply a sentence is given to the level of least surprisal, for each nat per word.
 SHARPNESS = 8.0
@@ -47,20 +47,29 @@ def words_and_stops(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def pool(rows: np.ndarray) -> np.ndarray:
+    """Pool adjacent violators: rows (left, right, total, weight, squared error) of rising, separate ranges become blocks
+    whose means, total / weight, rise too. Any run of rows may be pooled before: the blocks of blocks are those of the rows."""
+    out: list[tuple[float, ...]] = []
+    for left, right, total, weight, error in rows.tolist():
+        while out and out[-1][2] / out[-1][3] >= total / weight:
+            l0, _, t0, w0, e0 = out.pop()
+            error += e0 + (t0 / w0 - total / weight) ** 2 * w0 * weight / (w0 + weight)
+            left, total, weight = l0, t0 + total, w0 + weight
+        out.append((left, right, total, weight, error))
+    return np.array(out).reshape(-1, 5)
+
+
+def knots(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of each block, and its mean at either."""
+    return blocks[:, :2].ravel(), np.repeat(blocks[:, 2] / blocks[:, 3], 2)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit: block means of y that never fall as x rises; (x of the knots, values)."""
-    order = np.argsort(x, kind="stable")
-    mean, weight, left, right = [], [], [], []
-    for xi, yi, wi in zip(x[order], y[order], w[order], strict=True):
-        mean.append(float(yi)); weight.append(float(wi)); left.append(float(xi)); right.append(float(xi))  # noqa: E702
-        while len(mean) > 1 and (mean[-2] >= mean[-1] or right[-2] == left[-1]):
-            m, v, r = mean.pop(), weight.pop(), right.pop()
-            left.pop()
-            mean[-1] = (mean[-1] * weight[-1] + m * v) / (weight[-1] + v)
-            weight[-1] += v
-            right[-1] = r
-    xs = np.array([p for lr in zip(left, right, strict=True) for p in lr])
-    return xs, np.repeat(mean, 2)
+    """Pool-adjacent-violators fit: block means of y that never fall as x rises; (x of the knots, values). Equal x are one
+    point, so their order doesn't matter."""
+    points, at = np.unique(x, return_inverse=True)
+    return knots(pool(np.column_stack([points, points, np.bincount(at, y * w), np.bincount(at, w), np.zeros(len(points))])))
 
 
 @dataclass
@@ -167,12 +176,12 @@ def interpolated(vocab: dict[str, int], own: Counts, lam: tuple[float, float, fl
 
 
 def training_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, level, raters, text) of at most TRAIN_DOCS rated documents: mean rating, number of ratings, and one of two
-    halves by the hash of the id; of a repeated id the least text counts."""
-    rated = labels.where("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 5").groupBy("doc_id").agg(F.avg("reading_level").alias("_level"), F.count("*").alias("_raters"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    texts = documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.min("_level").alias("level"), F.min("_raters").alias("raters"), F.min("_text").alias("text"))
+    """(fold, level, raters, text) of all rated documents: mean rating, number of ratings, and one of two halves by the
+    hash of the id; of a repeated id the least text counts."""
+    rated = labels.where("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 5").groupBy("doc_id").agg(F.avg("reading_level").alias("level"), F.count("*").alias("raters"))
+    if TRAIN_DOCS is not None:
+        rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    texts = documents.where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).join(rated, "doc_id")
     return texts.select(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold"), "level", "raters", "text")
 
 
@@ -227,6 +236,28 @@ def residual(scores: np.ndarray, levels: np.ndarray, raters: np.ndarray) -> floa
     return float((raters * (np.interp(scores, *isotonic(scores, levels, raters)) - levels) ** 2).sum())
 
 
+def score_blocks(scored: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """For each of the named scores, the blocks (see ``pool``) of the levels by that score. They are pooled within ranges
+    of the score on the executors, and only what is left of a range reaches the driver."""
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            k, x, total, w, error = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = np.column_stack([x, x, total, w, error])
+            for i in np.unique(k).tolist():
+                own[i] = pool(np.concatenate([own.get(i, rows[:0]), rows[k == i]]))
+        for i, blocks in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), i, np.int32)), *map(pa.array, blocks.T)], names=["k", "x0", "x1", "total", "weight", "error"])
+
+    total = F.round(F.col("level") * F.col("raters"))  # ratings are whole numbers: their sums are exact in any order
+    rows = scored.select(F.posexplode(F.array(*names)).alias("k", "x"), total.alias("total"), F.col("raters").cast("double").alias("w"))
+    points = rows.groupBy("k", "x").agg(F.sum("total").alias("t"), F.sum("w").alias("w"), F.sum(F.expr("total * total / w")).alias("squares")).select("k", "x", "t", "w", F.expr("squares - t * t / w").alias("error"))
+    found = points.repartitionByRange("k", "x").sortWithinPartitions("k", "x").mapInArrow(pooled, "k int, x0 double, x1 double, total double, weight double, error double")
+    blocks = found.toPandas().sort_values(["k", "x0"])
+    return [blocks[blocks["k"] == k].drop(columns="k").to_numpy() for k in range(len(names))]
+
+
 def fit(training: DataFrame) -> LevelModels:
     """Models of all rated texts. The texts of either fold are scored by models of the other one; by these scores the
     interpolation is chosen and the isotonic map is fitted."""
@@ -248,13 +279,14 @@ def fit(training: DataFrame) -> LevelModels:
             yield pa.RecordBatch.from_arrays([*map(pa.array, d), batch.column(1), batch.column(2)], names=[*names, "level", "raters"])
 
     scored = training.select("fold", "level", "raters", "text").mapInArrow(score, ", ".join(f"{x} double" for x in names) + ", level double, raters long")
-    seen = scored.where("NOT isnan(d0)").toPandas().sort_values([*names, "level", "raters"], ignore_index=True)
-    levels, raters = seen["level"].to_numpy(), seen["raters"].to_numpy(float)
-    if len(seen) < 2:
+    scored = materialize(scored.where("NOT isnan(d0)"), "level-scores")
+    if len(scored.head(2)) < 2:
         return interpolated(vocab, Counts.sum(counts), WEIGHTS[0])
-    best = min(range(len(WEIGHTS)), key=lambda k: residual(seen[names[k]].to_numpy(), levels, raters))
+    blocks = score_blocks(scored, names)
+    left = [b[:, 4].sum() + residual(b[:, 0], b[:, 2] / b[:, 3], b[:, 3]) for b in blocks]
+    best = int(np.argmin(left))
     model = interpolated(vocab, Counts.sum(counts), WEIGHTS[best])
-    model.knots = isotonic(seen[names[best]].to_numpy(), levels, raters)
+    model.knots = knots(pool(blocks[best]))
     return model
 
 
