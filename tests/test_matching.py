@@ -129,3 +129,27 @@ def test_gates_of_words(spark):
     # 0: the number tells; 1: two numbers tell different records; 3: a code of one record; 4, 6: other words lead elsewhere; 5: a code of two
     assert got == {0: ("10000001", 2), 3: ("10000003", 1)}
     assert 0 not in {r.id for r in M.by_words(img, M.word_postings(cat)).collect()}
+
+
+def test_driver_holds_one_small_plan_at_a_time(spark, monkeypatch):
+    """No table that the whole job writes needs a large plan, and the driver's heap is given back behind each bracket."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    _, _, images, tokens = data(spark, ["red_boot.jpg", "12345678_a.jpg", "1234 5679.jpg"], [("20000001", "c", "red"), ("20000001", "t", "boot"), ("12345678", "x", "hat"), ("12345679", "color", "ivory")])
+    images = images.withColumn("image_ngp_summary", F.lit("color=ivory;type=scarf"))
+    known = spark.createDataFrame([(7, "20000006")], "id long, rec string")
+    terms = spark.createDataFrame([("color", "ivory", "c1"), ("producttype", "scarf", "t1")], "term_domain string, term string, canonical_id string")
+    sheets = spark.createDataFrame([(1, ["20000004", "hero-shot-x"])], "row_id long, cells array<string>")
+    write, sizes, full = DataFrameWriter.parquet, [], []
+
+    def counted(self, path, *args, **kwargs):
+        sizes.append(self._df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        if "/found-" in path:  # a bracket's table
+            full.append(sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    out = {r.id: r.bracket for r in match_names(images, tokens, known, terms.select("term", F.col("canonical_id").alias("group_id")), terms, sheets).collect()}
+    assert out == {0: "words", 1: "digits", 2: "digits"}
+    assert max(sizes) <= 24, sizes  # 64 when several brackets were planned as one
+    assert len(full) >= 10 and all(a < b for a, b in zip(full, full[1:])), full
